@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, language_id, quality_classifier
+from loomfield.llm import byte_bpe, language_id, quality_classifier, simhash
 from loomfield.llm.common import remainder
 from loomfield.session import table
 
@@ -29,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model, keep=keep)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, digests_only=True)
@@ -42,6 +46,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_language_id": op10_language_id,
 }
