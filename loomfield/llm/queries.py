@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, language_id, quality_classifier, simhash
+from loomfield.llm import byte_bpe, language_id, line_dedup, quality_classifier, simhash, warc
 from loomfield.llm.common import remainder
 from loomfield.session import table
 
@@ -29,6 +29,15 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model, keep=keep)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for its host."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = line_dedup.drop_lines(docs, "source", "text")
+    return out.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
@@ -38,6 +47,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, digests_only=True)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long")).alias(c)
+    out = out.select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+    return out.withColumnRenamed("record_id", "page_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(remainder("doc_id", 5) != 0))
@@ -46,8 +62,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_warc": op8_warc,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH line AS (
+            SELECT doc_id, source, text, i, trim(l, ' ' || chr(9) || chr(13)) AS bare, l
+            FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l,
+                         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+        ), total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+        often AS (
+            SELECT source, bare FROM (SELECT DISTINCT doc_id, source, bare FROM line WHERE bare <> '')
+            JOIN total USING (source) GROUP BY source, bare, pages
+            HAVING count(*) >= 5 AND count(*) > 0.1 * pages
+        ), marked AS (
+            SELECT line.*, often.bare IS NOT NULL AS dropped
+            FROM line LEFT JOIN often ON line.source = often.source AND line.bare = often.bare
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(dropped::INT) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+    "op8_warc": """
+        WITH page AS (
+            SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages
+        ), grouped AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM page)
+        SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+                (('0x' || substr(sha, (k // 4) * 5 + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31), 1)), '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM grouped
+    """,
+}
