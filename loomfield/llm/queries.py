@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, language_id, line_dedup, quality_classifier, simhash, warc
+from loomfield.llm import byte_bpe, language_id, line_dedup, quality_classifier, quality_rules, simhash, warc
 from loomfield.llm.common import remainder
 from loomfield.session import table
 
@@ -54,6 +54,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("record_id", "page_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(remainder("doc_id", 5) != 0))
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_warc": op8_warc,
+    "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
