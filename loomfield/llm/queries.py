@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, language_id, line_dedup, quality_classifier, quality_rules, simhash, warc
+from loomfield.llm import byte_bpe, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, warc
 from loomfield.llm.common import remainder
 from loomfield.session import table
 
@@ -22,6 +22,13 @@ def quality_model(docs: DataFrame, labels: DataFrame):
     return quality_classifier.train(rows)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counted = [n(k).alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS)]
+    return out.select("doc_id", *counted, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
