@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, warc
+from loomfield.llm import byte_bpe, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
 from loomfield.llm.common import remainder
 from loomfield.session import table
 
@@ -54,6 +54,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, digests_only=True)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"))
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long")).alias(c)
@@ -77,6 +81,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
