@@ -30,6 +30,8 @@ MEDIAN = 3.357
 FLOORS = {"x_word": 0.15, "x_symbol": 0.35, "x_line": 0.5, "x_repeat": 0.8}
 NAMES = tuple(FLOORS)
 RANK_ACCURACY = 10_000
+#: A group's rows are dealt out over so many keys when its estimate is joined back.
+SALTS = 32
 
 
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,14 +110,19 @@ def _moments(rows: DataFrame) -> DataFrame:
     return out.drop(*[f"s_{i}{j}" for i, j in pairs])
 
 
+def _beside(vectors: DataFrame, of_group: DataFrame) -> DataFrame:
+    """`vectors` (with a `salt`) joined with a table of one row a group, a large group's rows in many tasks."""
+    return vectors.join(of_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["group", "salt"])
+
+
 def estimates(vectors: DataFrame) -> DataFrame:
-    """Centre, factor and scale of each `group` of `vectors` (group and the statistics).
+    """Centre, factor and scale of each `group` of `vectors` (group, salt and the statistics).
 
     Starts from the medians and mean absolute deviations, then concentrates: each step takes the SUPPORT
     share of rows nearest to the last estimate, which never raises the determinant.
     """
     middle = vectors.groupBy("group").agg(*[F.percentile_approx(c, 0.5, RANK_ACCURACY).alias("m_" + c) for c in NAMES])
-    spread = vectors.join(middle, "group").groupBy("group").agg(
+    spread = _beside(vectors, middle).groupBy("group").agg(
         *[F.first("m_" + c).alias("m_" + c) for c in NAMES], *[F.avg(F.abs(F.col(c) - F.col("m_" + c))).alias("d_" + c) for c in NAMES]
     )
     for i, a in enumerate(NAMES):
@@ -123,10 +130,10 @@ def estimates(vectors: DataFrame) -> DataFrame:
             spread = spread.withColumn(f"l_{i}{j}", F.col("d_" + a) + FLOORS[a] if i == j else F.lit(0.0))
     now = materialize(spread.drop(*["d_" + c for c in NAMES]))
     for _ in range(STEPS):
-        measured = vectors.join(now, "group").select("group", *NAMES, _distance().alias("d"))
+        measured = _beside(vectors, now).select("group", "salt", *NAMES, _distance().alias("d"))
         cut = measured.groupBy("group").agg(F.percentile_approx("d", SUPPORT, RANK_ACCURACY).alias("cut"))
-        now = materialize(_moments(measured.join(cut, "group").where("d <= cut")))
-    measured = vectors.join(now, "group").select("group", _distance().alias("d"))
+        now = materialize(_moments(_beside(measured, cut).where("d <= cut")))
+    measured = _beside(vectors, now).select("group", _distance().alias("d"))
     scale = measured.groupBy("group").agg(F.percentile_approx("d", 0.5, RANK_ACCURACY).alias("middle"))
     return now.join(scale, "group").withColumn("scale", F.greatest(F.col("middle") / MEDIAN, F.lit(1.0)))
 
@@ -148,9 +155,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: t
         large = materialize(passed.groupBy(f"g{k}").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select(F.col(f"g{k}").alias(f"own{k}")))
         named = named.join(large, F.col(f"g{k}") == F.col(f"own{k}"), "left")
     group = F.coalesce(*[F.col(f"own{k}") for k in range(len(by))], F.lit("all"))
-    named = named.withColumn("group", group)
-    of = materialize(estimates(named.where("not base_failed").select("group", *NAMES)))
-    out = named.join(of, "group", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    salt = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    named = named.withColumn("group", group).withColumn("salt", salt)
+    of = estimates(named.where("not base_failed").select("group", "salt", *NAMES))
+    of = materialize(of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    out = named.join(of, ["group", "salt"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return out.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept")

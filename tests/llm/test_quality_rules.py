@@ -46,7 +46,7 @@ def test_estimate_is_that_of_numpy_and_rejects_planted_outliers(spark):
     rng = np.random.default_rng(4)
     x = np.abs(rng.normal([1.8, 0.3, 0.2, 0.4], [0.2, 0.3, 0.2, 0.4], (400, 4)))
     x[:60] += [0.0, 4.0, 0.0, 0.0]
-    table = spark.createDataFrame([("g", *map(float, r)) for r in x], ["group", *rules.NAMES])
+    table = spark.createDataFrame([("g", i % rules.SALTS, *map(float, r)) for i, r in enumerate(x)], ["group", "salt", *rules.NAMES])
     got = rules.estimates(table).first()
     floors = np.array(list(rules.FLOORS.values()))
     centre = np.array([np.sort(c)[199] for c in x.T])
