@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
+from loomfield.llm import byte_bpe, decontaminate, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
 from loomfield.llm.common import remainder
 from loomfield.session import table
 
@@ -36,6 +36,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model, keep=keep)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source stands for its host."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -78,6 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
