@@ -35,7 +35,8 @@ STOP_SHARE = 0.06
 COPY, PARAPHRASE = 0.8, 0.5
 #: Words that stand for the answer of an item that names none: those most telling by document frequency.
 ANSWER_WORDS = 4
-_BLOCK = 1 << 20
+#: Small enough for a block's vectors to stay in the cache.
+_BLOCK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A word is a run of ASCII letters, digits and bytes of other characters; upper case counts as lower.
