@@ -95,7 +95,7 @@ def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", orders
         table[own.loc[~rows, "bucket"], k] = own.loc[~rows, "n"]
     table += SMOOTHING
     table = np.log(table) - np.log(table.sum(axis=0))
-    return langs, table.astype(np.float32), np.log(prior) - np.log(prior.sum())
+    return langs, table.astype(np.float32), np.log(np.maximum(prior, 1e-9)) - np.log(max(prior.sum(), 1e-9))
 
 
 def predict(
