@@ -85,7 +85,7 @@ def xml_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n"))
 
 
 def clean_turn(text: Column, blocks: tuple[str, ...] = ("system-reminder", "command-name", "command-message", "command-args", "local-command-stdout")) -> Column:

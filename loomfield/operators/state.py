@@ -74,12 +74,12 @@ def embed_once(texts: DataFrame, cache: DataFrame, text: str, embed) -> DataFram
 def chunk_diff(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     """(owner, idx, hash, action) by (owner, idx, hash): keep its vector, drop or add."""
     keys = [owner, "idx", "hash"]
-    joined = old.select(*keys, F.lit(1).alias("o")).join(new.select(*keys, F.lit(1).alias("n")), keys, "full_outer")
-    return joined.select(*keys, F.when(F.col("o").isNull(), "add").when(F.col("n").isNull(), "drop").otherwise("keep").alias("action"))
+    joined = old.select(*keys, F.lit(1).alias("_o")).join(new.select(*keys, F.lit(1).alias("_n")), keys, "full_outer")
+    return joined.select(*keys, F.when(F.col("_o").isNull(), "add").when(F.col("_n").isNull(), "drop").otherwise("keep").alias("action"))
 
 
 def drift(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows on one side only, and whether they are at least five and a fifth of the old ones."""
-    joined = old.select(key, F.lit(1).alias("o")).distinct().join(new.select(key, F.lit(1).alias("n")).distinct(), key, "full_outer")
-    sums = joined.agg(F.count_if(F.col("o").isNull() | F.col("n").isNull()).alias("moved"), F.count("o").alias("had"))
+    joined = old.select(key, F.lit(1).alias("_o")).distinct().join(new.select(key, F.lit(1).alias("_n")).distinct(), key, "full_outer")
+    sums = joined.agg(F.count_if(F.col("_o").isNull() | F.col("_n").isNull()).alias("moved"), F.count("_o").alias("had"))
     return sums.select("moved", (F.col("moved") >= F.greatest(F.lit(5), F.ceil(F.col("had") * 0.2))).alias("stale"))
