@@ -56,7 +56,7 @@ def memory_session(files: DataFrame, path: str = "file", text: str = "value") ->
     body = F.when(front != "", F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 2)).otherwise(F.col(text))
     name = F.regexp_extract(front, r"(?m)^name:\s*(.+?)\s*$", 1)
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
-    return files.select(F.col(path).alias("file"), F.when(name != "", name).otherwise(stem).alias("title"), F.lit("memory").alias("role"), F.trim(body).alias("text"))
+    return files.select(F.col(path).alias("file"), F.when(name != "", name).otherwise(stem).alias("title"), F.lit("memory").alias("role"), F.btrim(body, F.lit(" \t\r\n")).alias("text"))
 
 
 def tool_calls(raw: DataFrame) -> DataFrame:
