@@ -9,18 +9,17 @@ from loomfield.plans.registry import query
 from loomfield.session import table
 
 
-@query("r01_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey // 40 AS a, 100000 + l_suppkey AS b FROM lineitem WHERE l_orderkey % 40 = 0 AND l_linenumber = 1),
+@query("r01_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_partkey AS b FROM lineitem),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) USING KEY (node) AS (SELECT a, a FROM u UNION SELECT u.b, min(r.seen) FROM r JOIN u ON u.a = r.node LEFT JOIN recurring.r k ON k.node = u.b WHERE r.seen < coalesce(k.seen, 1e12) GROUP BY u.b)
     SELECT node, seen AS component FROM r""")
 def components(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_orderkey % 40 = 0 AND l_linenumber = 1")
-    return linkage.group(line.select(F.expr("l_orderkey div 40").alias("a"), (F.lit(100000) + F.col("l_suppkey")).alias("b")))
+    return linkage.group(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.lit(1000000000) + F.col("l_partkey")).alias("b")))
 
 
 @query("r01_component_sizes")
 def sizes(spark, sf):
-    line = table(spark, sf, "lineitem")
-    edges = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") * 1000003).alias("b"))
+    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    edges = returned.select(F.col("l_orderkey").alias("a"), (F.lit(1000000000) + F.col("l_suppkey")).alias("b"))
     return linkage.group(edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
@@ -29,11 +28,11 @@ def pairs(spark, sf):
     return linkage.capped_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 15)
 
 
-@query("n25_file_kin", """WITH o AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS f FROM lineitem WHERE l_orderkey < 6000), n AS (SELECT count(DISTINCT s) AS n FROM o), i AS (SELECT f, count(*) AS df, ln((max(n) + 1) / (count(*) + 1)) AS w FROM o, n GROUP BY f),
+@query("n25_file_kin", """WITH o AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS f FROM lineitem), n AS (SELECT count(DISTINCT s) AS n FROM o), i AS (SELECT f, count(*) AS df, ln((max(n) + 1) / (count(*) + 1)) AS w FROM o, n GROUP BY f),
     r AS (SELECT * FROM o JOIN i USING (f)), t AS (SELECT s, sum(w) AS t FROM r GROUP BY s), b AS (SELECT a.s AS a, b.s AS b, sum(a.w) AS common FROM r a JOIN r b ON a.f = b.f AND a.s < b.s AND a.df <= 50 GROUP BY ALL)
     SELECT a, b, round(common / (x.t + y.t - common), 6) AS sim FROM b JOIN t x ON x.s = a JOIN t y ON y.s = b WHERE round(common / (x.t + y.t - common), 6) >= 0.25""")
 def kin(spark, sf):
-    return linkage.file_kin(table(spark, sf, "lineitem").where("l_orderkey < 6000"), "l_orderkey", "l_partkey")
+    return linkage.file_kin(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("n26_keys_in_text", "SELECT DISTINCT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = regexp_extract(c_name, '([0-9]+)', 1)::BIGINT")
@@ -43,10 +42,10 @@ def keys(spark, sf):
     return named.join(o, named.k.cast("long") == o.o_custkey).select("c_custkey", "o_orderkey").distinct()
 
 
-@query("x50_pair_scores", """WITH f AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id), t AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.lang = b.lang AND a.doc_id < b.doc_id AND a.doc_id % 2 = 0)
+@query("x50_pair_scores", """WITH f AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id), t AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.lang = b.lang AND a.doc_id < b.doc_id AND a.lang = 'en')
     SELECT round((SELECT count(*) FROM f JOIN t USING (a, b)) / (SELECT count(*) FROM f), 6) AS precision, round((SELECT count(*) FROM f JOIN t USING (a, b)) / (SELECT count(*) FROM t), 6) AS recall,
         round(2 * (SELECT count(*) FROM f JOIN t USING (a, b)) / ((SELECT count(*) FROM f) + (SELECT count(*) FROM t)), 6) AS f1""")
 def pair_scores(spark, sf):
     d = table(spark, sf, "documents").select(F.sha1(F.col("text").cast("binary")).alias("h"), "lang", "doc_id")
     pairs = d.select("h", F.col("doc_id").alias("a"), F.col("lang").alias("la")).join(d.select("h", F.col("doc_id").alias("b"), F.col("lang").alias("lb")), "h").where("a < b")
-    return evaluate.pair_scores(pairs, pairs.where("la = lb AND a % 2 = 0"), ["a", "b"])
+    return evaluate.pair_scores(pairs, pairs.where("la = lb AND la = 'en'"), ["a", "b"])

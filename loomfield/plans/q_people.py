@@ -62,7 +62,7 @@ def resolve(spark, sf):
 
 @query("r05_teams")
 def teams(spark, sf):
-    pairs = linkage.capped_pairs(table(spark, sf, "lineitem").where("l_orderkey % 50 = 0"), "l_orderkey", "l_suppkey", 15)
+    pairs = linkage.capped_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 15)
     return people.teams(pairs.select(F.lit(0).alias("block"), "a", "b", (F.col("n") / 2.0).alias("sim")))
 
 
@@ -95,12 +95,12 @@ def layout(spark, sf):
     return cluster.layout(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
-@query("r09_place_new", """WITH n AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0),
+@query("r09_place_new", """WITH n AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS r FROM n) SELECT id, round(sum(greatest(sim, 0.001) * other) / sum(greatest(sim, 0.001)), 4) AS x FROM k WHERE r <= 5 GROUP BY id""")
 def place(spark, sf):
     e = table(spark, sf, "embeddings")
-    placed = e.where("vec_id % 50 <> 0").select("vec_id", "embedding", F.col("vec_id").cast("double").alias("x"))
-    return cluster.place_new(e.where("vec_id % 50 = 0"), placed, "vec_id", "embedding", ["x"], 5).select(F.col("vec_id").alias("id"), F.round("x", 4).alias("x"))
+    placed = e.where("vec_id % 100 <> 0").select("vec_id", "embedding", F.col("vec_id").cast("double").alias("x"))
+    return cluster.place_new(e.where("vec_id % 100 = 0"), placed, "vec_id", "embedding", ["x"], 5).select(F.col("vec_id").alias("id"), F.round("x", 4).alias("x"))
 
 
 @query("x46_representatives", """WITH c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL) GROUP BY label)
@@ -109,10 +109,10 @@ def representatives(spark, sf):
     return cluster.representatives(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 24)
 
 
-@query("r06_set_similarity", """WITH s AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 200 AS k FROM lineitem WHERE l_suppkey <= 40), n AS (SELECT a, count(*) AS n FROM s GROUP BY a)
+@query("r06_set_similarity", """WITH s AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS k FROM lineitem), n AS (SELECT a, count(*) AS n FROM s GROUP BY a)
     SELECT x.a AS a, y.a AS b, round(count(*) / (max(nx.n) + max(ny.n) - count(*)), 6) AS sim FROM s x JOIN s y ON x.k = y.k AND x.a < y.a JOIN n nx ON nx.a = x.a JOIN n ny ON ny.a = y.a GROUP BY ALL""")
 def set_similarity(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_suppkey <= 40").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 200).alias("k")).distinct()
+    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("k")).distinct()
     sized = s.withColumn("n", F.count("*").over(Window.partitionBy("a")))
     both = sized.join(sized.withColumnsRenamed({"a": "b", "n": "m"}), "k").where("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
     return both.select("a", "b", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("sim"))

@@ -125,10 +125,10 @@ def difference(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).exceptAll(table(spark, sf, "orders").where("o_totalprice > 100000").select("o_custkey").distinct())
 
 
-@query("u04_drift", "WITH o AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0), m AS (SELECT count(*) AS moved FROM (SELECT doc_id FROM documents WHERE (doc_id % 5 <> 0) <> (doc_id % 7 <> 0))) SELECT moved, moved >= greatest(5, ceil((SELECT count(*) FROM o) * 0.2)) AS stale FROM m")
+@query("u04_drift", "WITH o AS (SELECT doc_id FROM documents WHERE n_chars > 500), m AS (SELECT count(*) AS moved FROM documents WHERE (n_chars > 500) <> (lang <> 'de')) SELECT moved, moved >= greatest(5, ceil((SELECT count(*) FROM o) * 0.2)) AS stale FROM m")
 def drift(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
-    return state.drift(d.where("doc_id % 5 <> 0"), d.where("doc_id % 7 <> 0"), "doc_id")
+    d = table(spark, sf, "documents")
+    return state.drift(d.where("n_chars > 500"), d.where("lang <> 'de'"), "doc_id")
 
 
 @query("u05_corpora_merge", "SELECT 'document' AS kind, doc_id AS id, length(text) AS size FROM documents UNION ALL SELECT 'page', page_id, length(html) FROM pages UNION ALL SELECT 'turn', conv_id * 100 + turn, length(text) FROM conversations")
@@ -146,13 +146,13 @@ def prepend(spark, sf):
     return first.unionByName(rest.join(first, "doc_id", "left_anti"))
 
 
-_OLD, _NEW = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0", "SELECT c_custkey, c_name || '!' AS c_name, round(c_acctbal + (c_custkey % 2), 2) AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0"
+_OLD, _NEW = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0", "SELECT c_custkey, c_name || '!' AS c_name, round(c_acctbal + c_nationkey - 9, 2) AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'"
 
 
 def _sides(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    new = c.where("c_custkey % 4 <> 0").withColumns({"c_name": F.concat("c_name", F.lit("!")), "c_acctbal": F.round(F.col("c_acctbal") + F.col("c_custkey") % 2, 2)})
-    return c.where("c_custkey % 3 <> 0"), new
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
+    new = c.where("c_mktsegment <> 'BUILDING'").withColumns({"c_name": F.concat("c_name", F.lit("!")), "c_acctbal": F.round(F.col("c_acctbal") + F.col("c_nationkey") - 9, 2)})
+    return c.where("c_acctbal > 0").drop("c_nationkey"), new.drop("c_nationkey")
 
 
 @query("k02_upsert", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(o.c_name, n.c_name) AS c_name, CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal WHEN o.c_custkey IS NULL THEN n.c_acctbal ELSE greatest(o.c_acctbal, n.c_acctbal) END AS c_acctbal, CASE WHEN n.c_custkey IS NULL THEN o.c_mktsegment ELSE n.c_mktsegment END AS c_mktsegment FROM o FULL JOIN n ON o.c_custkey = n.c_custkey")

@@ -61,18 +61,19 @@ def session_repo(spark, sf):
     return work.session_repo(touches, cwd, share=0.6)
 
 
-@query("x18_coworkers", """WITH f AS (SELECT o_custkey AS task, o_orderpriority AS folder FROM orders WHERE o_orderkey % 100 = 0), c AS (SELECT o_orderkey AS sha, o_custkey AS author, o_orderdate AS made, o_orderpriority AS folder FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01' - INTERVAL 21 DAY)
+@query("x18_coworkers", """WITH f AS (SELECT o_custkey AS task, o_orderpriority || (o_custkey % 50) AS folder FROM orders), c AS (SELECT o_orderkey AS sha, o_custkey AS author, o_orderdate AS made, o_orderpriority || (o_custkey % 50) AS folder FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01' - INTERVAL 21 DAY)
     SELECT task, author, count(*) AS commits FROM (SELECT DISTINCT task, author, sha FROM f JOIN c USING (folder) WHERE task <> author) GROUP BY ALL""")
 def coworkers(spark, sf):
     o = table(spark, sf, "orders")
-    touched = o.where("o_orderkey % 100 = 0").select(F.col("o_custkey").alias("task"), F.col("o_custkey").alias("me"), F.col("o_orderpriority").alias("folder"))
-    commits = o.select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("at"), F.concat("o_orderpriority", F.lit("/f")).alias("path"))
+    folder = F.concat("o_orderpriority", (F.col("o_custkey") % 50).cast("string"))
+    touched = o.select(F.col("o_custkey").alias("task"), F.col("o_custkey").alias("me"), folder.alias("folder"))
+    commits = o.select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("at"), F.concat(folder, F.lit("/f")).alias("path"))
     return work.coworkers(touched, commits, _now()).select("task", "author", "commits")
 
 
-@query("x38_due", "SELECT c_custkey AS source FROM customer WHERE c_acctbal < 0 OR c_custkey % 7 = 0")
+@query("x38_due", "SELECT c_custkey AS source FROM customer WHERE c_acctbal < 0 OR c_nationkey = 7")
 def due(spark, sf):
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("source"), F.when(F.col("c_acctbal") >= 0, F.when(F.col("c_custkey") % 7 == 0, F.to_timestamp(F.lit("2001-06-01"))).otherwise(_now())).alias("collected_at"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("source"), F.when(F.col("c_acctbal") >= 0, F.when(F.col("c_nationkey") == 7, F.to_timestamp(F.lit("2001-06-01"))).otherwise(_now())).alias("collected_at"))
     return work.due(rows, _now(), 86400).select("source")
 
 
@@ -121,24 +122,24 @@ def older(spark, sf):
     return table(spark, sf, "part").select("p_partkey").join(line.where("l_shipdate >= '2001-05-01'"), "p_partkey", "left_semi").join(line.where("l_shipdate < '1995-06-01'"), "p_partkey", "left_anti")
 
 
-@query("x40_with_members", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (1, 2, 3))")
+@query("x40_with_members", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def members(spark, sf):
-    named = table(spark, sf, "lineitem").where(F.col("l_suppkey").isin(1, 2, 3)).select(F.col("l_orderkey").alias("o_orderkey"))
+    named = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, sf, "orders").select("o_orderkey").join(named, "o_orderkey", "left_semi")
 
 
-@query("x22_lines_kept", "WITH w AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS line FROM lineitem WHERE l_linenumber <= 4), a AS (SELECT DISTINCT l_partkey AS line FROM lineitem WHERE l_suppkey <= 50) SELECT s, count(*) AS written, count(a.line) AS found, count(a.line) >= least(3, count(*)) AS on_branch FROM w LEFT JOIN a USING (line) GROUP BY s")
+@query("x22_lines_kept", "WITH w AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS line FROM lineitem), a AS (SELECT DISTINCT l_partkey AS line FROM lineitem WHERE l_returnflag = 'N') SELECT s, count(*) AS written, count(a.line) AS found, count(a.line) >= least(3, count(*)) AS on_branch FROM w LEFT JOIN a USING (line) GROUP BY s")
 def kept(spark, sf):
     line = table(spark, sf, "lineitem")
-    written = line.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("line")).distinct()
-    added = line.where("l_suppkey <= 50").select(F.col("l_partkey").alias("line"), F.lit(1).alias("hit")).distinct()
+    written = line.select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("line")).distinct()
+    added = line.where("l_returnflag = 'N'").select(F.col("l_partkey").alias("line"), F.lit(1).alias("hit")).distinct()
     rows = written.join(added, "line", "left").groupBy("s").agg(F.count("*").alias("written"), F.count("hit").alias("found"))
     return rows.withColumn("on_branch", F.col("found") >= F.least(F.lit(3), F.col("written")))
 
 
-@query("x16_kin", "WITH k AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS sink FROM lineitem WHERE l_suppkey <= 5) SELECT a.s AS s, count(DISTINCT b.s) AS kin FROM k a JOIN k b ON a.sink = b.sink AND a.s <> b.s GROUP BY a.s")
+@query("x16_kin", "WITH k AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS sink FROM lineitem) SELECT a.s AS s, count(DISTINCT b.s) AS kin FROM k a JOIN k b ON a.sink = b.sink AND a.s <> b.s GROUP BY a.s")
 def kin(spark, sf):
-    k = table(spark, sf, "lineitem").where("l_suppkey <= 5").select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("sink")).distinct()
+    k = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("sink")).distinct()
     return k.join(k.withColumnRenamed("s", "t"), "sink").where("s <> t").groupBy("s").agg(F.count_distinct("t").alias("kin"))
 
 
@@ -148,11 +149,11 @@ def involvement(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("project")).agg(F.count("*").alias("n"), F.count_distinct("o_orderstatus").alias("roles"), F.round(F.sum(F.pow(F.lit(0.5), age / 1000)), 5).alias("score"))
 
 
-@query("r04_stable_ids", "WITH o AS (SELECT l_suppkey AS old, l_partkey AS k FROM lineitem WHERE l_linenumber = 1), n AS (SELECT l_suppkey % 30 AS new, l_partkey AS k FROM lineitem WHERE l_linenumber = 2), c AS (SELECT new, old, count(DISTINCT k) AS n FROM o JOIN n USING (k) GROUP BY ALL) SELECT new, old FROM (SELECT *, row_number() OVER (PARTITION BY new ORDER BY n DESC, old) AS r FROM c) WHERE r = 1")
+@query("r04_stable_ids", "WITH o AS (SELECT l_suppkey AS old, l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT l_suppkey % 30 AS new, l_partkey AS k FROM lineitem WHERE l_returnflag = 'N'), c AS (SELECT new, old, count(DISTINCT k) AS n FROM o JOIN n USING (k) GROUP BY ALL) SELECT new, old FROM (SELECT *, row_number() OVER (PARTITION BY new ORDER BY n DESC, old) AS r FROM c) WHERE r = 1")
 def stable(spark, sf):
     from loomfield.operators.search import best_per_key
 
     line = table(spark, sf, "lineitem")
-    old, new = line.where("l_linenumber = 1").select(F.col("l_suppkey").alias("old"), F.col("l_partkey").alias("k")), line.where("l_linenumber = 2").select((F.col("l_suppkey") % 30).alias("new"), F.col("l_partkey").alias("k"))
+    old, new = line.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("old"), F.col("l_partkey").alias("k")), line.where("l_returnflag = 'N'").select((F.col("l_suppkey") % 30).alias("new"), F.col("l_partkey").alias("k"))
     counts = old.join(new, "k").groupBy("new", "old").agg(F.count_distinct("k").alias("n"))
     return best_per_key(counts, "new", [F.desc("n"), F.col("old")]).select("new", "old")
