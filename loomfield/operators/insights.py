@@ -45,9 +45,9 @@ def streaks(days: DataFrame, key: list[str], day: str, first: Column, today: Col
 def rank_share(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """`place`, the number strictly better plus one, and `percentile`, 100 x (beaten + half of the ties) / others."""
     w = Window.partitionBy(*by)
-    out = rows.withColumns({"n": F.count("*").over(w), "place": F.rank().over(w.orderBy(F.desc(value))), "same": F.count("*").over(Window.partitionBy(*by, value))})
-    beaten = F.col("n") - F.col("place") - F.col("same") + 1
-    return out.withColumn("percentile", 100 * (beaten + 0.5 * F.col("same")) / F.col("n")).drop("same")
+    out = rows.withColumns({"_all_n": F.count("*").over(w), "place": F.rank().over(w.orderBy(F.desc(value))), "_same": F.count("*").over(Window.partitionBy(*by, value))})
+    beaten = F.col("_all_n") - F.col("place") - F.col("_same") + 1
+    return out.withColumn("percentile", 100 * (beaten + 0.5 * F.col("_same")) / F.col("_all_n")).drop("_same", "_all_n")
 
 
 def momentum(series: list[Column], quiet: Column) -> Column:

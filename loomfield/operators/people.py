@@ -102,3 +102,34 @@ def teams(similar: DataFrame, block: str = "block", neighbours: int = 6, least:
 
     kind = similar.schema["a"].dataType.simpleString()
     return similar.groupBy(block).applyInPandas(run, f"member {kind}, team {kind}")
+
+
+def ego(edges: DataFrame, me, top: int = 20) -> DataFrame:
+    """(person, weight): who is tied to one person, the strongest first; ties by person."""
+    mine = edges.where((F.col("a") == F.lit(me)) | (F.col("b") == F.lit(me)))
+    person = F.when(F.col("a") == F.lit(me), F.col("b")).otherwise(F.col("a"))
+    return mine.select(person.alias("person"), "weight").orderBy(F.desc("weight"), "person").limit(top)
+
+
+def peers(counts: DataFrame, person: str, value: str) -> DataFrame:
+    """(person, value, place, percentile) among all; the share beaten counts half of the ties."""
+    from loomfield.operators.insights import rank_share
+
+    return rank_share(counts.withColumn("_all", F.lit(1)), ["_all"], value).select(person, value, "place", "percentile")
+
+
+def decayed_pairs(old: DataFrame, new: DataFrame, factor: float, least: float = 0.05) -> DataFrame:
+    """(a, b, n): pair counts of before, decayed, plus the new ones; what falls below `least` goes."""
+    rows = old.select("a", "b", (F.col("n") * factor).alias("n")).unionByName(new.select("a", "b", F.col("n").cast("double").alias("n")))
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def merge_records(records: DataFrame, keys: list[str], longest: str) -> DataFrame:
+    """One record a component of records (id, keys...) that share a strong key: blanks are filled, the longest name wins."""
+    from loomfield.operators.linkage import group
+
+    named = records.select(F.concat(F.lit("r:"), F.col("id").cast("string")).alias("a"), F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.col(k)) for k in keys])).alias("b"))
+    of = group(named.where("b IS NOT NULL")).where(F.col("node").startswith("r:")).select(F.substring("node", 3, 100).alias("_id"), "component")
+    rows = records.join(of, records.id.cast("string") == F.col("_id"), "left").withColumn("component", F.coalesce("component", F.concat(F.lit("r:"), F.col("id").cast("string"))))
+    first = [F.min_by(k, F.when(F.col(k).isNotNull(), F.col("id"))).alias(k) for k in keys]
+    return rows.groupBy("component").agg(F.min("id").alias("id"), *first, F.max_by(longest, F.struct(F.length(longest), -F.col("id"))).alias(longest)).drop("component")

@@ -118,3 +118,57 @@ def tiered_scores(rows: DataFrame, tier: list[Column], score: str, key: str) ->
     by_tier = rows.withColumn("_place", F.row_number().over(everything.orderBy(*tier, key)))
     by_score = rows.select(F.col(score).alias("tier_score"), F.row_number().over(everything.orderBy(F.desc(score), key)).alias("_place"))
     return by_tier.join(by_score, "_place").drop("_place")
+
+
+def code_rank(rows: DataFrame, key: str, dense: str = "sim", lexical: str = "bm", text: str = "text", path: str = "path", phrase: str = "", name: str = "") -> DataFrame:
+    """(key, rank_score) of candidate chunks: z(dense) + 0.2 z(lexical), less 0.5 in tests, more for the phrase and its count,
+    for its case, for the name by how few chunks have it, and for its definition if three at most define it."""
+    from loomfield.functions.text import is_test_path
+
+    everything = Window.partitionBy(F.lit(1))  # the candidates of one query
+    out = blend(rows, dense, lexical).withColumn("rank_score", F.col("blend") - F.when(is_test_path(F.col(path)), 0.5).otherwise(0.0))
+    if phrase:
+        times = (F.length(F.lower(text)) - F.length(F.replace(F.lower(text), F.lit(phrase.lower()), F.lit("")))) / len(phrase)
+        cased = F.contains(text, F.lit(phrase)).cast("int")
+        out = out.withColumn("rank_score", F.col("rank_score") + F.when(times > 0, 3 + F.log1p(times) + cased).otherwise(0.0))
+    if name:
+        has = F.contains(text, F.lit(name))
+        defined = F.col(text).rlike(rf"\b(?:def|class|func|fn|function|struct|interface|type)\s+{name}\b")
+        out = out.withColumns({"_has": F.count_if(has).over(everything), "_def": F.count_if(defined).over(everything)})
+        bonus = F.when(has, 2 / F.log2(1.0 + F.col("_has"))).otherwise(0.0) + F.when(defined & (F.col("_def") <= 3), 2.0).otherwise(0.0)
+        out = out.withColumn("rank_score", F.col("rank_score") + bonus)
+    return out.select(key, "rank_score")
+
+
+def path_match(path: Column, wanted: list[str]) -> Column:
+    """Share of the words that a path has; a word of four or more letters also matches by prefix. 0.15 more if its last part has one."""
+    parts = F.transform(F.split(F.lower(path), "/"), words)
+
+    def hit(among: Column, word: str) -> Column:
+        return F.exists(among, lambda w: (w == word) | (w.startswith(word) if len(word) >= 4 else F.lit(False)))
+
+    cover = F.lit(0.0)
+    for word in wanted:
+        cover = cover + hit(F.flatten(parts), word).cast("double") / len(wanted)
+    last = F.lit(False)
+    for word in wanted:
+        last = last | hit(F.element_at(parts, -1), word)
+    return cover + F.when(last, 0.15).otherwise(0.0)
+
+
+def focus_line(text: Column, terms: list[str], phrase: str = "", name: str = "") -> Column:
+    """(n, score, line) of the best line: stems in common, three for the phrase, four for the name; the first of equals."""
+    from loomfield.functions.text import stems
+
+    wanted = F.array(*[F.lit(t[:6].lower()) for t in terms]) if terms else F.array().cast("array<string>")
+
+    def rated(line: Column, i: Column) -> Column:
+        score = F.size(F.array_intersect(stems(line), wanted))
+        if phrase:
+            score = score + 3 * F.contains(F.lower(line), F.lit(phrase.lower())).cast("int")
+        if name:
+            score = score + 4 * F.contains(line, F.lit(name)).cast("int")
+        return F.struct(score.alias("score"), (-i).alias("back"), line.alias("line"))
+
+    best = F.array_max(F.transform(F.split(text, "\n", -1), rated))
+    return F.struct((1 - best["back"]).cast("int").alias("n"), best["score"].alias("score"), best["line"].alias("line"))

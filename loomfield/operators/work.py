@@ -87,3 +87,45 @@ def due(sources: DataFrame, now: Column, every_seconds: int) -> DataFrame:
     """Sources never collected or collected longer ago than `every_seconds`, the oldest first."""
     age = F.unix_seconds(now) - F.unix_seconds(F.col("collected_at").cast("timestamp"))
     return sources.where(F.col("collected_at").isNull() | (age >= every_seconds)).orderBy(F.col("collected_at").asc_nulls_first(), "source")
+
+
+def apply_claims(members: DataFrame, holders: DataFrame) -> DataFrame:
+    """`members` (thread, branch) of branches that another thread holds go; those stay as `contributed`."""
+    own = members.join(holders.select("branch", "holder"), "branch", "left")
+    return own.withColumn("contributed", F.col("holder").isNotNull() & (F.col("holder") != F.col("thread"))).drop("holder")
+
+
+def related(sinks: DataFrame, files: DataFrame, top: int = 5) -> DataFrame:
+    """(a, b, reason): cards that share a sink, then cards that share files; one reason a pair, the `top` of each card."""
+    pairs = lambda rows, key, why, rank: rows.select(key, F.col("card").alias("a")).join(rows.select(key, F.col("card").alias("b")), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", F.lit(why).alias("reason"), F.lit(rank).alias("p"), "n")
+    both = pairs(sinks.distinct(), "sink", "sink", 0).unionByName(pairs(files.distinct(), "file", "files", 1))
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("p"))).where("r = 1")
+    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("p", F.desc("n"), "b")))
+    return ranked.where(F.col("r") <= top).select("a", "b", "reason")
+
+
+def project_groups(items: DataFrame, sources: tuple[str, ...] = ("parent", "linear", "component", "milestone")) -> DataFrame:
+    """(item, project): the first grouping that an item has; items without one stand alone."""
+    named = [F.concat(F.lit(f"{s}:"), F.col(s).cast("string")) for s in sources]
+    return items.select("item", F.coalesce(*named, F.concat(F.lit("item:"), F.col("item").cast("string"))).alias("project"))
+
+
+def my_messages(turns: DataFrame, session: str = "conv_id", turn: str = "turn", last: int = 3, least: int = 20) -> DataFrame:
+    """(session, turn, text): the last substantive user turns."""
+    own = turns.where((F.col("role") == "user") & (F.length(F.trim("text")) >= least))
+    return own.withColumn("r", F.row_number().over(Window.partitionBy(session).orderBy(F.desc(turn)))).where(F.col("r") <= last).select(session, turn, "text")
+
+
+def last_reply(turns: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(session, reply, question): the first agent turn after the last user turn, and its last question."""
+    asked = turns.where("role = 'user'").groupBy(session).agg(F.max(turn).alias("asked"))
+    after = turns.where("role = 'assistant'").join(asked, session).where(F.col(turn) > F.col("asked"))
+    reply = after.groupBy(session).agg(F.min_by("text", turn).alias("reply"))
+    return reply.withColumn("question", F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all("reply", F.lit(r"([^.?!\n]+\?)"), F.lit(1))), -1))
+
+
+def attention(rows: DataFrame, now: Column, active_hours: int = 24) -> DataFrame:
+    """`active` and `reasons` of cards (at, state, n_open)."""
+    active = F.col("at") >= now - F.make_dt_interval(F.lit(0), F.lit(active_hours))
+    tags = F.array(F.when(active, "active"), F.when(F.col("state") == "close", "review"), F.when(F.col("n_open") == 1, "one left"))
+    return rows.withColumns({"active": active, "reasons": F.array_compact(tags)})
