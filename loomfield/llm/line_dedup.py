@@ -45,7 +45,7 @@ def drop_lines(
 
     Lines end at \\n and are compared without spaces, tabs and carriage returns at their ends; lines that
     are blank stay. A page counts once for a line it repeats, and every repeat is dropped. Repeated rows
-    are pages of their own. A null text stays null with no lines, and rows without a host stay as they
+    are pages of their own; columns of these two names are replaced. A null text stays null with no lines, and rows without a host stay as they
     are. A page may end up empty; its row stays.
     """
     salt = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(SALTS))
@@ -60,6 +60,6 @@ def drop_lines(
     kept = F.when(
         F.col("_lines").isNotNull(), F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_lines", _key(x)), F.lit(False)))
     ).otherwise(lines)
-    out = joined.select(*[docs[c] for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), kept.alias("_kept"))
+    out = joined.select(*[docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")], F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), kept.alias("_kept"))
     out = out.withColumn("n_dropped", F.when(F.col("_kept").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(0))
     return out.withColumn(text_col, F.array_join("_kept", "\n")).drop("_kept")

@@ -81,7 +81,7 @@ def test_lines_on_too_many_pages_of_a_host_go(spark):
     rng = random.Random(3)
     rows = [(i, f"h{i % 3}", "\n".join(rng.choice(["menu", " menu\t", f"own {i}", "", "footer" if i % 9 == 0 else f"x{i}"]) for _ in range(rng.randrange(8))), "k") for i in range(90)]
     rows += [(90, None, "menu", "k"), (91, "h0", None, "k"), (92, "h0", "", "k"), (0, "h0", rows[0][2], "k")]
-    table = spark.createDataFrame(rows, "doc_id long, source string, text string, n_lines string").drop("n_lines")
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string, n_lines string")
     total, seen = {}, {}
     for _, h, t, _ in rows:
         total[h] = total.get(h, 0) + 1
