@@ -44,9 +44,12 @@ def streaks(days: DataFrame, key: list[str], day: str, first: Column, today: Col
 
 def rank_share(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """`place`, the number strictly better plus one, and `percentile`, 100 x (beaten + half of the ties) / others."""
+    same = rows.groupBy(*by, value).agg(F.count("*").alias("_same"))  # windows run over the distinct values alone
     w = Window.partitionBy(*by)
-    out = rows.withColumns({"_all_n": F.count("*").over(w), "place": F.rank().over(w.orderBy(F.desc(value))), "_same": F.count("*").over(Window.partitionBy(*by, value))})
+    better = F.coalesce(F.sum("_same").over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = same.withColumns({"place": better + 1, "_all_n": F.sum("_same").over(w)})
     beaten = F.col("_all_n") - F.col("place") - F.col("_same") + 1
+    out = rows.join(placed, [*by, value])
     return out.withColumn("percentile", 100 * (beaten + 0.5 * F.col("_same")) / F.col("_all_n")).drop("_same", "_all_n")
 
 

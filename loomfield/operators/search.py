@@ -91,17 +91,52 @@ def similar(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k
     return ranked.where(F.col("rank") <= k)
 
 
-def z(column: str, partition: list[str] | None = None) -> Column:
-    """Population z-score over the candidates."""
-    over = Window.partitionBy(*(partition or [F.lit(1)]))
+def z(column: str, partition: list[str]) -> Column:
+    """Population z-score within groups."""
+    over = Window.partitionBy(*partition)
     return (F.col(column) - F.avg(column).over(over)) / (F.stddev_pop(column).over(over) + 1e-9)
 
 
+def standardise(rows: DataFrame, *columns: str) -> DataFrame:
+    """Population z-scores of columns as z_<column>; a missing value counts as the least seen.
+
+    The moments come from one aggregation, combined before its shuffle, whose single row goes to all tasks;
+    no window gathers the rows in one place.
+    """
+    sums = []
+    for c in columns:
+        v = F.col(c).cast("double")
+        sums += [F.min(v).alias(f"_min_{c}"), F.avg(v).alias(f"_avg_{c}"), F.var_pop(v).alias(f"_var_{c}"), F.count(v).alias(f"_n_{c}")]
+    moments = rows.agg(F.count("*").alias("_n"), *sums)
+    out = rows.crossJoin(F.broadcast(moments))
+    for c in columns:
+        held, least, mean, n = F.col(f"_n_{c}"), F.col(f"_min_{c}"), F.col(f"_avg_{c}"), F.col("_n")
+        all_mean = (held * mean + (n - held) * least) / n
+        spread = (held * (F.col(f"_var_{c}") + F.pow(mean - all_mean, F.lit(2))) + (n - held) * F.pow(least - all_mean, F.lit(2))) / n
+        filled = F.coalesce(F.col(c).cast("double"), least)
+        out = out.withColumn(c, filled).withColumn(f"z_{c}", (filled - all_mean) / (F.sqrt(spread) + 1e-9))
+    return out.drop("_n", *[f"_{k}_{c}" for k in ("min", "avg", "var", "n") for c in columns])
+
+
 def blend(candidates: DataFrame, dense: str, lexical: str, weight: float = 0.2) -> DataFrame:
     """`blend` = z(dense) + weight x z(lexical) over a candidate set; a signal that is missing counts as the least seen."""
-    over = Window.partitionBy(F.lit(1))
-    filled = candidates.withColumns({c: F.coalesce(F.col(c), F.min(c).over(over)) for c in (dense, lexical)})
-    return filled.withColumn("blend", z(dense) + weight * z(lexical))
+    out = standardise(candidates, dense, lexical)
+    return out.withColumn("blend", F.col(f"z_{dense}") + weight * F.col(f"z_{lexical}")).drop(f"z_{dense}", f"z_{lexical}")
+
+
+def global_rank(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """`rows` with `name`, the place of each in a total order, from 1.
+
+    Rows are dealt out by ranges of the order and numbered within a range; a row for each range, with what
+    the ranges before it hold, goes to all tasks. The dealt rows are checkpointed, so the ranges stay.
+    """
+    from loomfield.operators.linkage import _cut
+
+    dealt = _cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}))
+    first = dealt.groupBy("_range").agg(F.count("*").alias("_size"), F.min("_nth").alias("_first"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    placed = dealt.join(F.broadcast(first.select("_range", "_first", before.alias("_before"))), "_range")
+    return placed.withColumn(name, F.col("_before") + F.col("_nth") - F.col("_first") + 1).drop("_range", "_nth", "_first", "_before")
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, key: list[str], weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
@@ -114,9 +149,8 @@ def reciprocal_rank_fusion(ranked: DataFrame, key: list[str], weights: dict[str,
 
 def tiered_scores(rows: DataFrame, tier: list[Column], score: str, key: str) -> DataFrame:
     """Hands the sorted scores out in the order of the tiers: the first row by tier gets the largest score."""
-    everything = Window.partitionBy(F.lit(1))
-    by_tier = rows.withColumn("_place", F.row_number().over(everything.orderBy(*tier, key)))
-    by_score = rows.select(F.col(score).alias("tier_score"), F.row_number().over(everything.orderBy(F.desc(score), key)).alias("_place"))
+    by_tier = global_rank(rows, "_place", *tier, F.col(key))
+    by_score = global_rank(rows.select(F.col(score).alias("tier_score"), key), "_place", F.desc("tier_score"), F.col(key)).select("tier_score", "_place")
     return by_tier.join(by_score, "_place").drop("_place")
 
 
@@ -125,7 +159,6 @@ def code_rank(rows: DataFrame, key: str, dense: str = "sim", lexical: str = "bm"
     for its case, for the name by how few chunks have it, and for its definition if three at most define it."""
     from loomfield.functions.text import is_test_path
 
-    everything = Window.partitionBy(F.lit(1))  # the candidates of one query
     out = blend(rows, dense, lexical).withColumn("rank_score", F.col("blend") - F.when(is_test_path(F.col(path)), 0.5).otherwise(0.0))
     if phrase:
         times = (F.length(F.lower(text)) - F.length(F.replace(F.lower(text), F.lit(phrase.lower()), F.lit("")))) / len(phrase)
@@ -134,7 +167,7 @@ def code_rank(rows: DataFrame, key: str, dense: str = "sim", lexical: str = "bm"
     if name:
         has = F.contains(text, F.lit(name))
         defined = F.col(text).rlike(rf"\b(?:def|class|func|fn|function|struct|interface|type)\s+{name}\b")
-        out = out.withColumns({"_has": F.count_if(has).over(everything), "_def": F.count_if(defined).over(everything)})
+        out = out.crossJoin(F.broadcast(rows.agg(F.count_if(has).alias("_has"), F.count_if(defined).alias("_def"))))
         bonus = F.when(has, 2 / F.log2(1.0 + F.col("_has"))).otherwise(0.0) + F.when(defined & (F.col("_def") <= 3), 2.0).otherwise(0.0)
         out = out.withColumn("rank_score", F.col("rank_score") + bonus)
     return out.select(key, "rank_score")

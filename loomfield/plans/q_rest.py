@@ -262,7 +262,7 @@ def territory(spark, sf):
     e = table(spark, sf, "embeddings")
     sims = search.nearest(e, _vector(spark, sf), "vec_id", "embedding", 1 << 30).join(e.select("vec_id", "label"), "vec_id")
     m = sims.groupBy("label").agg(F.max("sim").alias("near"), F.avg("sim").alias("mean"))
-    return m.select("label", F.round(0.55 * search.z("near") + 0.45 * search.z("mean"), 4).alias("interest"))
+    return search.standardise(m, "near", "mean").select("label", F.round(0.55 * F.col("z_near") + 0.45 * F.col("z_mean"), 4).alias("interest"))
 
 
 @query("t06_changed_views", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) <> count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2001-06-01')")

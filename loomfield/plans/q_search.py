@@ -188,9 +188,9 @@ def z_score(spark, sf):
     SELECT doc_id, round(sum(CASE source WHEN 'k' THEN 0.3 ELSE 1 END / (60 + r)), 8) AS rrf FROM l GROUP BY doc_id""")
 def rrf(spark, sf):
     rows = _signals(spark, sf)
-    place = lambda c: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(c), "doc_id"))
     lexical = _bm25(spark, sf).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm"))
-    ranked = rows.select("doc_id", F.lit("d").alias("source"), place("sim").alias("rank")).unionByName(lexical.select("doc_id", F.lit("k").alias("source"), place("bm").alias("rank")))
+    place = lambda r, c, s: search.global_rank(r.select("doc_id", c), "rank", F.desc(c), F.col("doc_id")).select("doc_id", F.lit(s).alias("source"), "rank")
+    ranked = place(rows, "sim", "d").unionByName(place(lexical, "bm", "k"))
     return search.reciprocal_rank_fusion(ranked, ["doc_id"], {"k": 0.3}).select("doc_id", F.round("rrf", 8).alias("rrf"))
 
 
