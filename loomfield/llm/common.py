@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -50,12 +50,20 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `materialize` wrote and that nothing will read again."""
+    for table in tables:
+        for name in {n.rpartition("/")[0] for n in table.inputFiles()}:
+            for path in [p for p in _written if p.rpartition("/")[2] == name.rpartition("/")[2]]:
+                remove(_written.pop(path), path)
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             remove(spark, path)
         except Exception:  # the JVM may be gone at exit; the cluster's own cleaning applies then

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import materialize
+from loomfield.llm.common import discard, materialize
 
 ROUNDS = 64
 
@@ -43,6 +43,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before = mark
-        now = materialize(_star(_star(now, True), False))
+        before, last = mark, now
+        now = materialize(_star(_star(last, True), False))
+        discard(last)
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

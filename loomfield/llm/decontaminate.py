@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import blocks, text_buffer
+from loomfield.llm.common import blocks, materialize, text_buffer
 
 #: Benchmark items that are searched for in one go; a larger benchmark takes more passes.
 ITEMS = 4096
@@ -356,5 +356,6 @@ def matches(ids, bounds, rows, queries, owners, checks: Checks):
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """`docs` without the rows whose id has a match. Rows with a null id stay."""
-    found = contaminated(docs, benchmark, id_col, text_col, **names).select(id_col).distinct()
+    # The written ids' size tells the planner whether to send them to all or to shuffle.
+    found = materialize(contaminated(docs, benchmark, id_col, text_col, **names).select(id_col).distinct())
     return docs.join(found, id_col, "left_anti")

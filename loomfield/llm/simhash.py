@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.common import materialize
@@ -251,9 +251,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], ["a", "b", "bits"])
             yield out.filter(pa.array(bits <= MOST_BITS))
 
-    keys = materialize(nodes.select("node", "print").mapInArrow(keyed, "key long, node long"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = keys.join(materialize(hubs), "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    keys = nodes.select("node", "print").mapInArrow(keyed, "key long, node long")
+    # The least node of a key comes first in its order; one exchange of narrow rows, and a key of any size spills.
+    hub = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = keys.withColumn("hub", hub).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     left, right = (nodes.select(F.col("node").alias(c), F.col("print").alias(p)) for c, p in (("a", "x"), ("b", "y")))
     return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(apart, "a long, b long, bits int")
 
