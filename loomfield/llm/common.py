@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,33 @@ def code_points(data: bytes | memoryview, offsets: np.ndarray) -> tuple[np.ndarr
     return points, heads[offsets]
 
 
+def maybe_in(ids: DataFrame, column: str, bits: int = 24) -> Column:
+    """Whether `column` may be among those of `ids`, by a filter of a fixed size (2 MB): never false for one that is.
+
+    It spares a join the rows that have no partner; what passes is still joined. With very many ids it
+    lets everything through, and the join is what it would have been.
+    """
+    low = F.xxhash64(column).bitwiseAND((1 << bits) - 1)
+    words = ids.select(low.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
+    got = words.toPandas()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return held(low)
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """`rows` whose `column` is not in the written table `gone`; rows that cannot be in it are not shuffled. Null stays."""
+    maybe = maybe_in(gone, column)
+    return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, column, "left_anti"))
+
+
 def by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of `values` between bounds, in double precision; an empty row's is zero."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])

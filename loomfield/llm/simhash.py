@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import materialize
+from loomfield.llm.common import materialize, maybe_in, without
 from loomfield.llm.components import components
 
 #: Bits of the three segments of a 64-bit fingerprint, from the highest.
@@ -280,8 +280,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = nodes.select("node", "first")
     texts = docs.select(F.col(id_col).alias("first"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     open_pairs = materialize(open_pairs.join(firsts.withColumnsRenamed({"node": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"node": "b", "first": "fb"}), "b"))
-    wanted = open_pairs.select(F.col("fa").alias("first")).union(open_pairs.select("fb")).distinct()
-    texts = materialize(texts.join(wanted, "first", "left_semi").dropDuplicates(["first"]))
+    wanted = materialize(open_pairs.select(F.col("fa").alias("first")).union(open_pairs.select("fb")).distinct())
+    texts = materialize(texts.where(maybe_in(wanted, "first")).join(wanted, "first", "left_semi").dropDuplicates(["first"]))
     both = open_pairs.join(texts.withColumnsRenamed({"first": "fa", "text": "ta"}), "fa").join(texts.withColumnsRenamed({"first": "fb", "text": "tb"}), "fb")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,4 +304,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that share an id stay or go together; rows with a null id stay.
     """
     gone = near_copies(docs, id_col, text_col, words, least).where(F.col(id_col) != F.col("group")).select(id_col).distinct()
-    return docs.join(materialize(gone), id_col, "left_anti")
+    return without(docs, materialize(gone), id_col)
