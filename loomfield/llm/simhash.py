@@ -268,15 +268,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     missed: at a similarity of 0.8 about one in ten of the lone pairs. Documents with a null id stand alone.
     """
     known = materialize(_wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words).withColumn("node", F.xxhash64("print")))
-    nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.first("print").alias("print")))
+    nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.min("print").alias("print")))
     pairs = materialize(_candidates(nodes))
     sure = pairs.where(F.col("bits") <= SURE_BITS).select("a", "b")
     of = materialize(components(sure))
     one, two = (of.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
     open_pairs = pairs.where(F.col("bits") > SURE_BITS).join(one, "a", "left").join(two, "b", "left")
     ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-    # One pair of nodes stands for two components that are not joined yet.
-    open_pairs = open_pairs.where(ca != cb).groupBy(F.least(ca, cb), F.greatest(ca, cb)).agg(F.min_by(F.struct("a", "b"), "bits").alias("p")).select("p.*")
+    # The nearest pair of nodes stands for two components that are not joined yet.
+    open_pairs = open_pairs.where(ca != cb).groupBy(F.least(ca, cb), F.greatest(ca, cb)).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
     firsts = nodes.select("node", "first")
     texts = docs.select(F.col(id_col).alias("first"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     open_pairs = materialize(open_pairs.join(firsts.withColumnsRenamed({"node": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"node": "b", "first": "fb"}), "b"))
