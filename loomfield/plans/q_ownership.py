@@ -32,9 +32,9 @@ def top_owner(spark, sf):
 
 @query("a02_merge_maps", "SELECT l_partkey AS file, l_suppkey AS author, sum(l_quantity)::BIGINT AS lines FROM lineitem GROUP BY ALL")
 def merge_maps(spark, sf):
-    line = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")), F.col("l_quantity").cast("long")))).alias("authors"))
-    out = line.select("l_partkey", F.explode("authors").alias("who", "lines"))
-    return out.groupBy(F.col("l_partkey").alias("file"), F.substring_index("who", ":", 1).cast("long").alias("author")).agg(F.sum("lines").alias("lines"))
+    line = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("file"), "l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("lines"))
+    chunks = line.groupBy("l_orderkey", "file").agg(F.map_from_entries(F.collect_list(F.struct("l_suppkey", "lines"))).alias("authors"))
+    return own.from_maps(chunks, "file", "authors")
 
 
 @query("a08_departed", f"WITH {OWNERS_SQL}, {_GONE} SELECT author, gone FROM gone")

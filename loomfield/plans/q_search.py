@@ -187,7 +187,7 @@ def z_score(spark, sf):
         UNION ALL SELECT doc_id, 'k', row_number() OVER (ORDER BY round(s, 6) DESC, doc_id) FROM bm)
     SELECT doc_id, round(sum(CASE source WHEN 'k' THEN 0.3 ELSE 1 END / (60 + r)), 8) AS rrf FROM l GROUP BY doc_id""")
 def rrf(spark, sf):
-    rows = _signals(spark, sf)
+    rows = search.nearest(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", 1 << 30).withColumnRenamed("vec_id", "doc_id")
     lexical = _bm25(spark, sf).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm"))
     place = lambda r, c, s: search.global_rank(r.select("doc_id", c), "rank", F.desc(c), F.col("doc_id")).select("doc_id", F.lit(s).alias("source"), "rank")
     ranked = place(rows, "sim", "d").unionByName(place(lexical, "bm", "k"))
