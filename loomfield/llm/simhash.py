@@ -179,19 +179,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies of a given similarity. Texts that share 0.8 of their five-word shingles differ in about a
 # seventh of their fingerprint bits, so few segments of 23 bits differ in little enough to decode alike: the
-# fingerprint gets 20 segments, and a key is the nearest codeword indices of two of them.
+# fingerprint gets 28 segments, and a key is the nearest codeword indices of two of them.
 
-WIDE_SEGMENTS = 20
+WIDE_SEGMENTS = 28
 WIDE_BITS = 23 * WIDE_SEGMENTS
 #: Differing bits of WIDE_BITS at which a similarity of 0.8 is certain, and beyond which it is out of the question.
-SURE_BITS, MOST_BITS = 46, 105
+SURE_BITS, MOST_BITS = 64, 147
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
-_SALTS = np.random.default_rng(17).integers(1, 1 << 63, 8, np.uint64)
+_SALTS = np.random.default_rng(17).integers(1, 1 << 63, -(-WIDE_BITS // 64), np.uint64)
 
 
 def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
     """WIDE_BITS bits, each 1 if set in over half of the shingles' hashes, as packed bytes."""
-    ones, total = np.zeros(512, np.int64), 0
+    ones, total = np.zeros(64 * len(_SALTS), np.int64), 0
     for hashes in shingle_hashes(text, words):
         for i in range(0, len(hashes), 1 << 13):
             part = hashes[i : i + (1 << 13)]
@@ -240,9 +240,9 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(ids), 2048):
-                keys = wide_keys(prints[i : i + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[i : i + 2048], keys.shape[1]))], ["key", "node"])
+            for i in range(0, len(ids), 1024):
+                keys = wide_keys(prints[i : i + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[i : i + 1024], keys.shape[1]))], ["key", "node"])
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,12 +44,12 @@ def test_near_copies_go_and_others_stay(spark):
 def test_wide_prints_and_keys():
     a = simhash.wide_fingerprint(b"one two three four five six seven eight")
     b = simhash.wide_fingerprint(b"ONE two  three four five six seven eight")
-    assert a == b and len(a) == 58 and simhash.wide_fingerprint(b"") == bytes(58)
+    assert a == b and len(a) == 81 and simhash.wide_fingerprint(b"") == bytes(81)
     import numpy as np
 
     prints = np.frombuffer(a + simhash.wide_fingerprint(b"other words here"), np.uint8).reshape(2, -1)
     keys = simhash.wide_keys(prints)
-    assert keys.shape == (2, 190) and (keys[0] >> 24 == np.arange(190)).all()
+    assert keys.shape == (2, 378) and (keys[0] >> 24 == np.arange(378)).all()
 
 
 def test_stages_run_in_order_and_keep_the_columns(spark, docs):
