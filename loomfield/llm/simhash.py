@@ -183,26 +183,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WIDE_SEGMENTS = 28
 WIDE_BITS = 23 * WIDE_SEGMENTS
-#: Differing bits of WIDE_BITS at which a similarity of 0.8 is certain, and beyond which it is out of the question.
-SURE_BITS, MOST_BITS = 64, 147
+#: Differing bits of WIDE_BITS beyond which a similarity of 0.8 is out of the question.
+MOST_BITS = 147
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
 _SALTS = np.random.default_rng(17).integers(1, 1 << 63, -(-WIDE_BITS // 64), np.uint64)
 
 
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    parts = [np.unique(part) for part in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
-    """WIDE_BITS bits, each 1 if set in over half of the shingles' hashes, as packed bytes."""
-    ones, total = np.zeros(64 * len(_SALTS), np.int64), 0
-    for hashes in shingle_hashes(text, words):
-        for i in range(0, len(hashes), 1 << 13):
-            part = hashes[i : i + (1 << 13)]
-            with np.errstate(over="ignore"):
-                h = (part[:, None] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            lanes = _LANES[(h ^ (h >> np.uint64(29))).view(np.uint8)]
-            # Eight counters of a byte each in a number hold 255 shingles.
-            ones += np.add.reduceat(lanes, np.arange(0, len(part), 255)).view(np.uint8).sum(axis=0, dtype=np.int64)
-        total += len(hashes)
-    return np.packbits(2 * ones[:WIDE_BITS] > total).tobytes() if total else bytes(-(-WIDE_BITS // 8))
+    """WIDE_BITS bits, each 1 if set in over half of the distinct shingles' hashes, as packed bytes."""
+    return _print_of(shingle_set(text, words))
+
+
+def _print_of(hashes: np.ndarray) -> bytes:
+    ones = np.zeros(64 * len(_SALTS), np.int64)
+    for i in range(0, len(hashes), 1 << 13):
+        part = hashes[i : i + (1 << 13)]
+        with np.errstate(over="ignore"):
+            h = (part[:, None] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        lanes = _LANES[(h ^ (h >> np.uint64(29))).view(np.uint8)]
+        # Eight counters of a byte each in a number hold 255 shingles.
+        ones += np.add.reduceat(lanes, np.arange(0, len(part), 255)).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones[:WIDE_BITS] > len(hashes)).tobytes() if len(hashes) else bytes(-(-WIDE_BITS // 8))
 
 
 def wide_keys(prints: np.ndarray) -> np.ndarray:
@@ -218,19 +226,30 @@ def wide_keys(prints: np.ndarray) -> np.ndarray:
 
 def similarity(a: str, b: str, words: int = 5) -> float:
     """Jaccard similarity of two texts' sets of shingles; texts without words are alike."""
-    x, y = ({int(v) for part in shingle_hashes(t.encode(), words) for v in part} for t in (a, b))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    x, y = (shingle_set(t.encode(), words) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, print, node, size): `node` is a digest of the set of shingles, so texts of one node have similarity 1."""
+    import xxhash
+
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint((t.as_py() or "").encode(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["id", "print"])
+            prints, marks, sizes = [], [], []
+            for t in batch.column(1):
+                own = shingle_set((t.as_py() or "").encode(), words)
+                prints.append(_print_of(own))
+                marks.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+            marks = np.array(marks, np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array(prints, pa.binary()), pa.array(marks), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "print", "node", "size"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, print binary")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, print binary, node long, size int")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -262,21 +281,13 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(id, group): documents with others of `least` similarity, directly or by a chain; `group` is the least id.
 
-    Equal fingerprints are one node, so copies are never paired. Each key links its nodes to the least of
-    them, in proportion to their number. Pairs few bits apart count as similar; of the others only pairs
-    that those do not yet join are fetched and compared shingle by shingle. Links that no key finds are
+    Texts with the same set of shingles are one node, so copies are never paired. Each key links its nodes to
+    the least of them, in proportion to their number. Every pair is compared shingle by shingle. Links that no key finds are
     missed: at a similarity of 0.8 about one in ten of the lone pairs. Documents with a null id stand alone.
     """
-    known = materialize(_wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words).withColumn("node", F.xxhash64("print")))
-    nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.min("print").alias("print")))
-    pairs = materialize(_candidates(nodes))
-    sure = pairs.where(F.col("bits") <= SURE_BITS).select("a", "b")
-    of = materialize(components(sure))
-    one, two = (of.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
-    open_pairs = pairs.where(F.col("bits") > SURE_BITS).join(one, "a", "left").join(two, "b", "left")
-    ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-    # The nearest pair of nodes stands for two components that are not joined yet.
-    open_pairs = open_pairs.where(ca != cb).groupBy(F.least(ca, cb), F.greatest(ca, cb)).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
+    known = materialize(_wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
+    nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.min("print").alias("print"), F.min("size").alias("size")))
+    open_pairs = _candidates(nodes).select("a", "b")
     firsts = nodes.select("node", "first")
     texts = docs.select(F.col(id_col).alias("first"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     open_pairs = materialize(open_pairs.join(firsts.withColumnsRenamed({"node": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"node": "b", "first": "fb"}), "b"))
@@ -290,8 +301,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             got = [(a, b) for a, b, x, y in rows if similarity(x, y, words) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    near = sure.unionByName(both.select("a", "b", "ta", "tb").mapInArrow(compared, "a long, b long"))
-    joined = components(near)
+    joined = components(both.select("a", "b", "ta", "tb").mapInArrow(compared, "a long, b long"))
     grouped = nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     groups = grouped.groupBy("component").agg(F.min("first").alias("group"))
     of_node = materialize(grouped.join(groups, "component").select("node", "group"))

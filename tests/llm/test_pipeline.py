@@ -52,6 +52,14 @@ def test_wide_prints_and_keys():
     assert keys.shape == (2, 378) and (keys[0] >> 24 == np.arange(378)).all()
 
 
+def test_texts_ruled_by_one_repeated_shingle_are_no_copies(spark):
+    rng = random.Random(4)
+    rows = [(i, "nan " * 400 + prose(rng, 100)) for i in range(6)]
+    assert max(simhash.similarity(rows[0][1], t) for _, t in rows[1:]) < 0.1
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.group == r.doc_id for r in simhash.near_copies(table).collect())
+
+
 def test_stages_run_in_order_and_keep_the_columns(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "byte-level BPE"]
