@@ -185,6 +185,8 @@ WIDE_SEGMENTS = 28
 WIDE_BITS = 23 * WIDE_SEGMENTS
 #: Differing bits of WIDE_BITS beyond which a similarity of 0.8 is out of the question.
 MOST_BITS = 147
+#: Nearest open pairs of a component that are compared in the first round.
+FIRST_PAIRS = 1
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
 _SALTS = np.random.default_rng(17).integers(1, 1 << 63, -(-WIDE_BITS // 64), np.uint64)
 
@@ -231,10 +233,14 @@ def similarity(a: str, b: str, words: int = 5) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, print, node, size): `node` is a digest of the set of shingles, so texts of one node have similarity 1."""
+def _node_of(hashes: np.ndarray) -> int:
     import xxhash
 
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
+
+
+def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, print, node, size): `node` is a digest of the set of shingles, so texts of one node have similarity 1."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +249,7 @@ def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
             for t in batch.column(1):
                 own = shingle_set((t.as_py() or "").encode(), words)
                 prints.append(_print_of(own))
-                marks.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                marks.append(_node_of(own))
                 sizes.append(len(own))
             marks = np.array(marks, np.uint64).view(np.int64)
             columns = [batch.column(0), pa.array(prints, pa.binary()), pa.array(marks), pa.array(sizes, pa.int32())]
@@ -252,8 +258,11 @@ def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, print binary, node long, size int")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, bits): nodes (node, print) with a key in common with the least node of the key, MOST_BITS apart at most."""
+def _candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, bits): nodes (node, print, size) with a key in common with the least node of the key, MOST_BITS apart at most.
+
+    Two sets whose sizes have a ratio below `least` cannot be that similar.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +274,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[2:])
-            bits = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32)
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[2:4])
+            bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], ["a", "b", "bits"])
             yield out.filter(pa.array(bits <= MOST_BITS))
 
@@ -274,26 +283,25 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     # The least node of a key comes first in its order; one exchange of narrow rows, and a key of any size spills.
     hub = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edges = keys.withColumn("hub", hub).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    left, right = (nodes.select(F.col("node").alias(c), F.col("print").alias(p)) for c, p in (("a", "x"), ("b", "y")))
-    return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(apart, "a long, b long, bits int")
+    left, right = (nodes.select(F.col("node").alias(c), F.col("print").alias(p), F.col("size").alias(n)) for c, p, n in (("a", "x", "m"), ("b", "y", "n")))
+    found = edges.join(left, "a").join(right, "b").where(F.least("m", "n") >= least * F.greatest("m", "n"))
+    return found.select("a", "b", "x", "y").mapInArrow(apart, "a long, b long, bits int")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, group): documents with others of `least` similarity, directly or by a chain; `group` is the least id.
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float, known: DataFrame | None = None) -> DataFrame:
+    """The links (a, b) of `least` similarity among the written `pairs` (a, b, bits) that join all that the pairs can join.
 
-    Texts with the same set of shingles are one node, so copies are never paired. Each key links its nodes to
-    the least of them, in proportion to their number. Every pair is compared shingle by shingle. Links that no key finds are
-    missed: at a similarity of 0.8 about one in ten of the lone pairs. Documents with a null id stand alone.
+    In a round each component has its nearest open pairs compared shingle by shingle, FIRST_PAIRS at first and
+    eight times as many in each further round. Compared pairs go, as do those within one component; it ends when
+    no pair is left, so a refused pair never speaks for another. `known` are links found before.
     """
-    known = materialize(_wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
-    nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.min("print").alias("print"), F.min("size").alias("size")))
-    open_pairs = _candidates(nodes).select("a", "b")
-    firsts = nodes.select("node", "first")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    of_first = materialize(nodes.select("node", "first").join(ends, "node", "left_semi"))
+    wanted = materialize(of_first.select("first").distinct())
     texts = docs.select(F.col(id_col).alias("first"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    open_pairs = materialize(open_pairs.join(firsts.withColumnsRenamed({"node": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"node": "b", "first": "fb"}), "b"))
-    wanted = materialize(open_pairs.select(F.col("fa").alias("first")).union(open_pairs.select("fb")).distinct())
-    texts = materialize(texts.where(maybe_in(wanted, "first")).join(wanted, "first", "left_semi").dropDuplicates(["first"]))
-    both = open_pairs.join(texts.withColumnsRenamed({"first": "fa", "text": "ta"}), "fa").join(texts.withColumnsRenamed({"first": "fb", "text": "tb"}), "fb")
+    # Rows that repeat an id may differ in text; the one whose shingles make the node is meant.
+    texts = texts.where(maybe_in(wanted, "first")).join(of_first, "first").select("node", "text")
+    texts = materialize(_of_node(texts, words).dropDuplicates(["node"]))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +309,48 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             got = [(a, b) for a, b, x, y in rows if similarity(x, y, words) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    joined = components(both.select("a", "b", "ta", "tb").mapInArrow(compared, "a long, b long"))
+    links, left, most = known, pairs, FIRST_PAIRS
+    while True:
+        if links is not None:
+            of = components(links)
+            one, two = (of.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
+            left = left.join(one, "a", "left").join(two, "b", "left")
+            left = left.select("a", "b", "bits", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        else:
+            left = left.select("a", "b", "bits", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        place = [F.row_number().over(Window.partitionBy(c).orderBy("bits", "a", "b")) for c in ("ca", "cb")]
+        ranked = materialize(left.select("a", "b", "bits", F.least(*place).alias("place")))
+        if ranked.isEmpty():
+            return links if links is not None else pairs.select("a", "b")
+        both = ranked.where(F.col("place") <= most).join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
+        both = both.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+        near = materialize(both.mapInArrow(compared, "a long, b long"))
+        links = near if links is None else materialize(links.unionByName(near))
+        left, most = ranked.where(F.col("place") > most).select("a", "b", "bits"), 8 * most
+
+
+def _of_node(texts: DataFrame, words: int) -> DataFrame:
+    """Rows (node, text) whose text has the node's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_node_of(shingle_set(t.as_py().encode(), words)) for t in batch.column(1)]
+            yield batch.filter(pa.array(np.array(own, np.uint64).view(np.int64) == batch.column(0).to_numpy(zero_copy_only=False)))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, group): documents with others of `least` similarity, directly or by a chain; `group` is the least id.
+
+    Texts with the same set of shingles are one node, so copies are never paired. Each key links its nodes to
+    the least of them, in proportion to their number. Pairs are compared shingle by shingle, nearest first,
+    until their nodes are joined or none is left. Links that no key finds are missed: at a similarity of 0.8
+    about one in ten of the lone pairs. Documents with a null id stand alone.
+    """
+    known = materialize(_wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
+    nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.min("print").alias("print"), F.min("size").alias("size")))
+    joined = components(_linked(materialize(_candidates(nodes, least)), nodes, docs, id_col, text_col, words, least))
     grouped = nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     groups = grouped.groupBy("component").agg(F.min("first").alias("group"))
     of_node = materialize(grouped.join(groups, "component").select("node", "group"))

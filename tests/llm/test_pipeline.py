@@ -60,6 +60,23 @@ def test_texts_ruled_by_one_repeated_shingle_are_no_copies(spark):
     assert all(r.group == r.doc_id for r in simhash.near_copies(table).collect())
 
 
+def test_a_refused_pair_does_not_speak_for_two_groups(spark):
+    rng = random.Random(9)
+    base, other = prose(rng, 100).split(), prose(rng, 100).split()
+    rows = [(i, " ".join(other[: 6 * i] + base[6 * i :])) for i in range(4)]
+    alike = lambda a, b: simhash.similarity(rows[a][1], rows[b][1]) >= 0.8
+    assert alike(0, 1) and alike(1, 2) and alike(2, 3) and not alike(0, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = simhash.materialize(simhash._wide_prints(docs, "doc_id", "text", 5))
+    of = {r.id: r.node for r in known.collect()}
+    # Of the pairs between {0, 1} and {2, 3} the nearest by bits is refused.
+    pairs = [(of[0], of[1], 5), (of[2], of[3], 5), (of[0], of[3], 80), (of[1], of[2], 90)]
+    table = simhash.materialize(spark.createDataFrame(pairs, "a long, b long, bits int"))
+    links = simhash._linked(table, known.withColumnRenamed("id", "first"), docs, "doc_id", "text", 5, 0.8)
+    got = {r.node: r.component for r in simhash.components(links).collect()}
+    assert len(got) == 4 and len(set(got.values())) == 1
+
+
 def test_stages_run_in_order_and_keep_the_columns(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "byte-level BPE"]
