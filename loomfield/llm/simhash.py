@@ -187,6 +187,8 @@ WIDE_BITS = 23 * WIDE_SEGMENTS
 MOST_BITS = 147
 #: Nearest open pairs of a component that are compared in the first round.
 FIRST_PAIRS = 1
+#: Nodes of a bucket that are all paired at once, and of a tile of a larger one whose components differ.
+FEW, TILE = 8, 1024
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
 _SALTS = np.random.default_rng(17).integers(1, 1 << 63, -(-WIDE_BITS // 64), np.uint64)
 
@@ -258,19 +260,58 @@ def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, print binary, node long, size int")
 
 
-def _candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b, bits): nodes (node, print, size) with a key in common with the least node of the key, MOST_BITS apart at most.
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(key, a, b) of the nodes' keys: all pairs of a bucket's first FEW nodes, with a null key where it has no more.
 
-    Two sets whose sizes have a ratio below `least` cannot be that similar.
+    A larger bucket links each further node to its least one, and lists all its nodes by (key, least, node).
     """
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(ids), 1024):
-                keys = wide_keys(prints[i : i + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[i : i + 1024], keys.shape[1]))], ["key", "node"])
+                own = wide_keys(prints[i : i + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids[i : i + 1024], own.shape[1]))], ["key", "node"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The open bucket goes from batch to batch as its first FEW nodes and its number of nodes.
+        held, count = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True))
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+            rank = np.arange(len(key)) - head[group]
+            rank[len(held[0]) :][group[len(held[0]) :] == 0] += count - len(held[0])
+            hub = node[head][group]
+            first, second = [], []
+            for d in range(1, FEW):
+                at = np.flatnonzero((rank[d:] < FEW) & (group[d:] == group[:-d])) + d
+                first.append(node[at - d])
+                second.append(node[at])
+            large = np.zeros(len(head), bool)
+            large[group[rank >= FEW]] = True
+            listed = np.flatnonzero(large[group])
+            n = sum(len(f) for f in first)
+            null = np.concatenate([np.ones(n, bool), np.zeros(len(listed), bool)])
+            keyed = pa.array(np.concatenate([np.zeros(n, np.int64), key[listed]]), mask=null)
+            a, b = np.concatenate([*first, hub[listed]]), np.concatenate([*second, node[listed]])
+            yield pa.RecordBatch.from_arrays([keyed, pa.array(a), pa.array(b)], ["key", "a", "b"])
+            last = head[-1]
+            count = int(rank[-1]) + 1
+            held = key[last : last + FEW], node[last : last + FEW]
+
+    all_keys = nodes.select("node", "print").mapInArrow(keys, "key long, node long")
+    return all_keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(pairs, "key long, a long, b long").distinct()
+
+
+def _candidates(nodes: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(a, b, bits) of the `links` (a, b) of nodes (node, print, size) that are MOST_BITS apart at most.
+
+    Two sets whose sizes have a ratio below `least` cannot be that similar.
+    """
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,15 +320,44 @@ def _candidates(nodes: DataFrame, least: float) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], ["a", "b", "bits"])
             yield out.filter(pa.array(bits <= MOST_BITS))
 
-    keys = nodes.select("node", "print").mapInArrow(keyed, "key long, node long")
-    # The least node of a key comes first in its order; one exchange of narrow rows, and a key of any size spills.
-    hub = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = keys.withColumn("hub", hub).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     left, right = (nodes.select(F.col("node").alias(c), F.col("print").alias(p), F.col("size").alias(n)) for c, p, n in (("a", "x", "m"), ("b", "y", "n")))
-    found = edges.join(left, "a").join(right, "b").where(F.least("m", "n") >= least * F.greatest("m", "n"))
+    found = links.join(left, "a").join(right, "b").where(F.least("m", "n") >= least * F.greatest("m", "n"))
     return found.select("a", "b", "x", "y").mapInArrow(apart, "a long, b long, bits int")
 
 
+def _rest(large: DataFrame, of: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, bits): all pairs of different components in the buckets (key, node), MOST_BITS apart at most.
+
+    A bucket is dealt in tiles of two times TILE nodes, so that one of any size is compared in bounded memory.
+    """
+    rows = large.join(of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rows = rows.join(materialize(mixed), "key").withColumn("slot", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
+    rows = rows.withColumn("slot", F.floor(F.col("slot") / TILE)).withColumn("last", F.max("slot").over(Window.partitionBy("key")))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda t: F.struct(F.least(t, F.col("slot")).alias("i"), F.greatest(t, F.col("slot")).alias("j")))
+    rows = rows.select("key", "node", "component", "slot", F.explode(tiles).alias("tile")).join(nodes.select("node", "print", "size"), "node")
+
+    def compared(tile: pa.Table) -> pa.Table:
+        node, component, slot, size = (tile.column(c).to_numpy() for c in ("node", "component", "slot", "size"))
+        prints = np.frombuffer(b"".join(tile.column("print").to_pylist()), np.uint8).reshape(len(node), -1)
+        left, right = np.flatnonzero(slot == slot.min()), np.flatnonzero(slot == slot.max())
+        i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        for at in range(0, len(left), 32):
+            part = left[at : at + 32]
+            bits = np.bitwise_count(prints[part][:, None] ^ prints[right][None]).sum(axis=2, dtype=np.int32)
+            near = (bits <= MOST_BITS) & (component[part][:, None] != component[right])
+            near &= np.minimum(size[part][:, None], size[right]) >= least * np.maximum(size[part][:, None], size[right])
+            x, y = np.nonzero(near)
+            a, b = node[part[x]], node[right[y]]
+            keep = a < b if i == j else np.ones(len(a), bool)
+            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], bits[x, y][keep]))
+        return pa.table(dict(zip(("a", "b", "bits"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    flat = rows.select("key", "tile.i", "tile.j", "node", "component", "slot", "print", "size")
+    return flat.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long, bits int").distinct()
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float, known: DataFrame | None = None) -> DataFrame:
     """The links (a, b) of `least` similarity among the written `pairs` (a, b, bits) that join all that the pairs can join.
 
@@ -343,14 +413,22 @@ def _of_node(texts: DataFrame, words: int) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(id, group): documents with others of `least` similarity, directly or by a chain; `group` is the least id.
 
-    Texts with the same set of shingles are one node, so copies are never paired. Each key links its nodes to
-    the least of them, in proportion to their number. Pairs are compared shingle by shingle, nearest first,
-    until their nodes are joined or none is left. Links that no key finds are missed: at a similarity of 0.8
+    Texts with the same set of shingles are one node, so copies are never paired. A key's first FEW nodes
+    are paired with one another and further ones with the least of them; then all pairs of the key that those
+    did not join. Pairs are compared shingle by shingle, nearest first, until their nodes are joined or none is
+    left: all that share a key are joined or compared, or are out of the question by bits or sizes. Links that no key finds are missed: at a similarity of 0.8
     about one in ten of the lone pairs. Documents with a null id stand alone.
     """
     known = materialize(_wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
     nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.min("print").alias("print"), F.min("size").alias("size")))
-    joined = components(_linked(materialize(_candidates(nodes, least)), nodes, docs, id_col, text_col, words, least))
+    keyed = materialize(_keyed(nodes))
+    pairs = materialize(_candidates(nodes, keyed.where("a <> b").select("a", "b").distinct(), least))
+    links = _linked(pairs, nodes, docs, id_col, text_col, words, least)
+    joined = materialize(components(links))
+    large = keyed.where("key IS NOT NULL").select("key", F.col("b").alias("node"))
+    more = materialize(_rest(large, joined, nodes, least).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        joined = components(_linked(more, nodes, docs, id_col, text_col, words, least, links))
     grouped = nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     groups = grouped.groupBy("component").agg(F.min("first").alias("group"))
     of_node = materialize(grouped.join(groups, "component").select("node", "group"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -77,6 +78,20 @@ def test_a_refused_pair_does_not_speak_for_two_groups(spark):
     assert len(got) == 4 and len(set(got.values())) == 1
 
 
+def test_pairs_of_a_key_are_compared_when_its_least_node_is_a_stranger(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for g in range(12):
+        base = prose(rng, 90).split()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(["changed", *base[1:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # One key for all: its bucket is large and holds twelve groups, in tiles of five.
+    monkeypatch.setattr(simhash, "wide_keys", lambda prints: np.zeros((len(prints), 1), np.int64))
+    monkeypatch.setattr(simhash, "TILE", 5)
+    assert all(r.group == r.doc_id // 2 * 2 for r in simhash.near_copies(docs).collect())
+    assert all(r.group == r.doc_id // 2 * 2 for r in simhash.near_copies(docs.where("doc_id < 6")).collect())
+
+
 def test_stages_run_in_order_and_keep_the_columns(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "byte-level BPE"]
