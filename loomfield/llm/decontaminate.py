@@ -5,7 +5,8 @@ the corpus gathers document frequencies and a random sketch of the passages' Gra
 number of columns; the driver turns the sketch into the leading singular vectors of the TF-IDF matrix
 (the Nystrom form of randomised SVD: inverse document frequencies scale rows, so they can be applied
 after the pass). A second pass folds overlapping windows and benchmark passages into the latent space;
-pairs whose cosine reaches a threshold are candidates. Candidates are verified by the longest common
+pairs whose cosine reaches a threshold are candidates, as are places that hold as many of an item's rarest
+words as any match must. Candidates are verified by the longest common
 subsequence of words; a subsequence that is long but not near complete also needs the item's answer.
 
 What is broadcast is bounded by ITEMS benchmark items at a time, whatever the corpus.
@@ -259,11 +260,11 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
     queries = np.array(queries, np.float32)
     queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
     names = [x[0] for x in items]
-    shared = docs.sparkSession.sparkContext.broadcast((words, telling, rows, queries, np.array(owners), sequences, answers, names))
+    shared = docs.sparkSession.sparkContext.broadcast((words, telling, rows, queries, np.array(owners), sequences, answers, names, seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, telling, rows, queries, owners, sequences, answers, names = shared.value
-        checks = Checks(telling, sequences, answers)
+        words, telling, rows, queries, owners, sequences, answers, names, seen = shared.value
+        checks = Checks(telling, sequences, answers, seen)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             raw = np.frombuffer(data, np.uint8)
@@ -282,9 +283,13 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
 
 
 class Checks:
-    """What verification needs of the items: member[item, term], least telling words in common, sequences, answers."""
+    """What verification needs of the items: member[item, term], least telling words in common, sequences, answers.
 
-    def __init__(self, telling: np.ndarray, sequences: list[np.ndarray], answers: list[np.ndarray]):
+    An item's anchors are its rarest words, so many that a common subsequence of PARAPHRASE leaves `need` of
+    them at least; `posted` and `holders` list the items of each term that is an anchor.
+    """
+
+    def __init__(self, telling: np.ndarray, sequences: list[np.ndarray], answers: list[np.ndarray], seen: np.ndarray):
         self.telling, self.sequences, self.answers = telling, sequences, answers
         self.sizes = np.array([len(s) for s in sequences])
         plain = np.array([np.count_nonzero(~telling[s]) for s in sequences])
@@ -292,6 +297,38 @@ class Checks:
         self.member = np.zeros((len(sequences), len(telling)), bool)
         for k, s in enumerate(sequences):
             self.member[k, s] = True
+        self.need = np.maximum(1, self.sizes // 8)
+        kept = np.ceil(PARAPHRASE * self.sizes).astype(np.int64)
+        anchors = [np.unique(s[np.argsort(seen[s], kind="stable")][: n - m + k]) for s, n, m, k in zip(sequences, self.sizes, kept, self.need, strict=True)]
+        terms, holders = np.concatenate(anchors), np.repeat(np.arange(len(anchors)), [len(x) for x in anchors])
+        self.holders = holders[np.argsort(terms, kind="stable")]
+        self.posted = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(telling)))])
+
+
+def anchored(ids: np.ndarray, bounds: np.ndarray, checks: Checks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, item) of the surroundings of all places with `need` of an item's anchors within its words and half a window.
+
+    A copy or paraphrase that is no longer than that holds such a place, whatever its cosine.
+    """
+    known = np.flatnonzero(ids >= 0)
+    n = checks.posted[ids[known] + 1] - checks.posted[ids[known]]
+    known, n = known[n > 0], n[n > 0]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(checks.posted[ids[known]], n)
+    item, at = checks.holders[place], np.repeat(known, n)
+    row = np.searchsorted(bounds, at, side="right") - 1
+    key = row * len(checks.sizes) + item
+    order = np.argsort(key, kind="stable")
+    key, item, at, row = key[order], item[order], at[order], row[order]
+    last = np.arange(len(key)) + checks.need[item] - 1
+    inside = last < len(key)
+    last = np.where(inside, last, 0)
+    hit = np.flatnonzero(inside & (key[last] == key) & (at[last] - at < checks.sizes[item] + WINDOW // 2))
+    # One of the places that start in a stride stands for all of them.
+    slot = at[hit] // STRIDE
+    hit = hit[(np.diff(key[hit], prepend=-1) != 0) | (np.diff(slot, prepend=-1) != 0)]
+    row, item, at = row[hit], item[hit], at[hit]
+    start = np.maximum(at - checks.sizes[item], bounds[row])
+    return row, start, np.minimum(at + checks.sizes[item] + STRIDE + WINDOW // 2, bounds[row + 1]), item
 
 
 def candidates(ids: np.ndarray, bounds: np.ndarray, telling: np.ndarray, rows: np.ndarray, queries: np.ndarray):
@@ -327,14 +364,23 @@ def candidates(ids: np.ndarray, bounds: np.ndarray, telling: np.ndarray, rows: n
             yield owner[part][w], bounds[owner[part][w]] + STRIDE * nth[part][w], q, cosine[w, q] / norm[w]
 
 
+def regions(ids, bounds, rows, queries, owners, checks: Checks):
+    """(row, start, end, item, cosine) to verify: around near windows, and around anchors, whose cosine is found later."""
+    for row, start, query, cosine in candidates(ids, bounds, checks.telling, rows, queries):
+        item = owners[query]
+        reach = np.maximum(checks.sizes[item] // 2, STRIDE)
+        yield row, np.maximum(start - reach, bounds[row]), np.minimum(start + WINDOW + reach, bounds[row + 1]), item, cosine
+    row, start, end, item = anchored(ids, bounds, checks)
+    for i in range(0, len(row), 4096):
+        part = slice(i, i + 4096)
+        yield row[part], start[part], end[part], item[part], np.full(len(row[part]), np.nan)
+
+
 def matches(ids, bounds, rows, queries, owners, checks: Checks):
     """(row, item, kind, share, cosine, start, end) of the best verified window of each row and item."""
     best: dict[tuple[int, int], tuple] = {}
     telling = np.flatnonzero((ids >= 0) & checks.telling[ids])
-    for row, start, query, cosine in candidates(ids, bounds, checks.telling, rows, queries):
-        item = owners[query]
-        reach = np.maximum(checks.sizes[item] // 2, STRIDE)
-        start, end = np.maximum(start - reach, bounds[row]), np.minimum(start + WINDOW + reach, bounds[row + 1])
+    for row, start, end, item, cosine in regions(ids, bounds, rows, queries, owners, checks):
         # The subsequence has no more telling words than the item and the window with its surroundings share.
         low = np.searchsorted(telling, start)
         n = np.searchsorted(telling, end) - low
@@ -349,7 +395,11 @@ def matches(ids, bounds, rows, queries, owners, checks: Checks):
             key = int(row[k]), int(item[k])
             if key not in best or share > best[key][1]:
                 span = int(start[k] - bounds[row[k]]), int(end[k] - bounds[row[k]])
-                best[key] = ("copy" if share >= COPY else "paraphrase", float(share), float(cosine[k]), *span)
+                near = cosine[k]
+                if np.isnan(near):
+                    vector = rows[around[around >= 0]].sum(axis=0)
+                    near = (queries[owners == item[k]] @ vector).max() / max(np.linalg.norm(vector), 1e-6)
+                best[key] = ("copy" if share >= COPY else "paraphrase", float(share), float(near), *span)
     for (row, item), got in sorted(best.items()):
         yield row, item, *got
 

@@ -77,3 +77,21 @@ def test_subsequence_and_latent_space():
     _, s, v = np.linalg.svd(counts * idf, full_matrices=False)
     want = (idf[:, None] * v[:10].T / np.sqrt(s[:10])) @ (idf[:, None] * v[:10].T / np.sqrt(s[:10])).T
     assert np.allclose(rows @ rows.T, want, atol=1e-2 * abs(want).max())
+
+
+def test_copies_outside_the_leading_directions_are_found(spark, monkeypatch):
+    docs, items, planted = corpus()
+    monkeypatch.setattr(dc, "COSINE", 2.0)
+    table = spark.createDataFrame(docs, "doc_id long, text string, x string").drop("x")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(table, bench).collect()} == planted
+
+
+def test_items_of_common_words_are_found(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.sample(words, 30))) for i in range(6)]
+    docs = [(i, " ".join(f"f{i}x{j}" for j in range(90)) + " " + items[i][1]) for i in range(6)] + [(9, "other words " * 50)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(table, bench).collect() if r.kind == "copy"}
+    assert got == {(i, i) for i in range(6)}
