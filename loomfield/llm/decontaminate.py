@@ -7,7 +7,8 @@ number of columns; the driver turns the sketch into the leading singular vectors
 after the pass). A second pass folds overlapping windows and benchmark passages into the latent space;
 pairs whose cosine reaches a threshold are candidates, as are places that hold as many of an item's rarest
 words as any match must. Candidates are verified by the longest common
-subsequence of words; a subsequence that is long but not near complete also needs the item's answer.
+subsequence of words; a subsequence that is long but not near complete also needs the item's answer, or
+where it names none enough of its words weighed by inverse document frequency.
 
 What is broadcast is bounded by ITEMS benchmark items at a time, whatever the corpus.
 """
@@ -34,8 +35,8 @@ COSINE = 0.4
 STOP_SHARE = 0.06
 #: Shares of the item's words in the common subsequence: enough alone, and enough with the answer.
 COPY, PARAPHRASE = 0.8, 0.5
-#: Words that stand for the answer of an item that names none: those most telling by document frequency.
-ANSWER_WORDS = 4
+#: Share of an item's words by inverse document frequency that a paraphrase has of an item that names no answer.
+TELLING_SHARE = 0.5
 #: Small enough for a block's vectors to stay in the cache.
 _BLOCK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -247,11 +248,7 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
     passages, seen, raw = sketch(docs, text_col, words, telling, omega)
     idf, rows = latent(passages, seen, raw, omega)
     rows[~telling] = 0
-    answers = []
-    for sequence, x in zip(sequences, items, strict=True):
-        own = np.unique(sequence)
-        order = np.lexsort((-idf[own], ~telling[own]))
-        answers.append(words.ids(x[2]) if x[2] is not None and len(x[2]) else own[order][:ANSWER_WORDS])
+    answers = [words.ids(x[2]) if x[2] is not None and len(x[2]) else None for x in items]
     queries, owners = [], []
     for k, sequence in enumerate(sequences):
         for part in np.array_split(sequence, -(-len(sequence) // QUERY)):
@@ -260,11 +257,11 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
     queries = np.array(queries, np.float32)
     queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
     names = [x[0] for x in items]
-    shared = docs.sparkSession.sparkContext.broadcast((words, telling, rows, queries, np.array(owners), sequences, answers, names, seen))
+    shared = docs.sparkSession.sparkContext.broadcast((words, telling, rows, queries, np.array(owners), sequences, answers, names, seen, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, telling, rows, queries, owners, sequences, answers, names, seen = shared.value
-        checks = Checks(telling, sequences, answers, seen)
+        words, telling, rows, queries, owners, sequences, answers, names, seen, idf = shared.value
+        checks = Checks(telling, sequences, answers, seen, idf)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             raw = np.frombuffer(data, np.uint8)
@@ -289,11 +286,13 @@ class Checks:
     them at least; `posted` and `holders` list the items of each term that is an anchor.
     """
 
-    def __init__(self, telling: np.ndarray, sequences: list[np.ndarray], answers: list[np.ndarray], seen: np.ndarray):
+    def __init__(self, telling: np.ndarray, sequences: list[np.ndarray], answers: list[np.ndarray | None], seen: np.ndarray, idf: np.ndarray):
         self.telling, self.sequences, self.answers = telling, sequences, answers
         self.sizes = np.array([len(s) for s in sequences])
         plain = np.array([np.count_nonzero(~telling[s]) for s in sequences])
         self.least = np.ceil(PARAPHRASE * self.sizes - plain)
+        self.weights = [idf[s] - 1 for s in sequences]
+        self.scratch = np.zeros(len(telling) + 1, bool)
         self.member = np.zeros((len(sequences), len(telling)), bool)
         for k, s in enumerate(sequences):
             self.member[k, s] = True
@@ -304,6 +303,28 @@ class Checks:
         self.holders = holders[np.argsort(terms, kind="stable")]
         self.posted = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(telling)))])
 
+    def open(self, item: int, around: np.ndarray) -> bool:
+        """Whether the words alone, in any order, allow a match."""
+        self.scratch[around] = True
+        self.scratch[-1] = False
+        held = self.scratch[self.sequences[item]]
+        answered = self.answers[item] is not None and bool(self.scratch[self.answers[item]].all())
+        self.scratch[around] = False
+        n = np.count_nonzero(held)
+        if n >= COPY * len(held):
+            return True
+        if n < PARAPHRASE * len(held) or self.answers[item] is not None:
+            return n >= PARAPHRASE * len(held) and answered
+        weight = self.weights[item]
+        return 0 < TELLING_SHARE * weight.sum() <= weight[held].sum()
+
+    def told(self, item: int, around: np.ndarray) -> bool:
+        """Whether a paraphrase says what the item says: its answer, or where it names none enough of its telling words."""
+        if self.answers[item] is not None:
+            return bool(np.isin(self.answers[item], around).all())
+        weight = self.weights[item]
+        return 0 < TELLING_SHARE * weight.sum() <= weight[np.isin(self.sequences[item], around)].sum()
+
 
 def anchored(ids: np.ndarray, bounds: np.ndarray, checks: Checks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, item) of the surroundings of all places with `need` of an item's anchors within its words and half a window.
@@ -389,8 +410,10 @@ def matches(ids, bounds, rows, queries, owners, checks: Checks):
         common = np.bincount(pair, weights=checks.member[item[pair], ids[telling[place]]], minlength=len(n))
         for k in np.flatnonzero(common >= checks.least[item]):
             own, around = checks.sequences[item[k]], ids[start[k] : end[k]]
-            share = common_subsequence(own, around) / len(own)
-            if share < PARAPHRASE or (share < COPY and not np.isin(checks.answers[item[k]], around).all()):
+            if not checks.open(item[k], around):
+                continue
+            share = common_subsequence(own, around[around >= 0]) / len(own)
+            if share < PARAPHRASE or (share < COPY and not checks.told(item[k], around)):
                 continue
             key = int(row[k]), int(item[k])
             if key not in best or share > best[key][1]:

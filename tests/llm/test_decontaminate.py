@@ -95,3 +95,19 @@ def test_items_of_common_words_are_found(spark):
     table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(table, bench).collect() if r.kind == "copy"}
     assert got == {(i, i) for i in range(6)}
+
+
+def test_paraphrases_of_items_without_an_answer_are_found(spark):
+    docs, items, _ = corpus()
+    rng = random.Random(6)
+    docs = [d for d in docs if d[0] % 10]
+    want = set()
+    for i, (k, text) in enumerate(items):
+        own = text.split()
+        changed = set(rng.sample(range(len(own)), int(len(own) * (0.25, 0.35, 0.45)[k % 3])))
+        docs.append((1000 + i, " ".join("zzz" if j in changed else w for j, w in enumerate(own)) + " " + docs[i][1], "x"))
+        want.add((1000 + i, k))
+    table = spark.createDataFrame(docs, "doc_id long, text string, x string").drop("x")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(table, bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
