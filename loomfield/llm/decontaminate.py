@@ -231,7 +231,12 @@ def contaminated(
     item_kind = benchmark.select(item_col).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, kind string, share double, cosine double, start_word long, end_word long"
     items = [(i, _hashes(t), _hashes(a) if a else None) for i, t, a in _items(benchmark, item_col, item_text_col, answer_col)]
-    items = [x for x in items if len(x[1])]
+    # Items of the same words and answer are searched for once and named by all their ids.
+    same: dict[tuple, tuple] = {}
+    for i, own, answer in items:
+        if len(own):
+            same.setdefault((own.tobytes(), answer.tobytes() if answer is not None else None), ([], own, answer))[0].append(i)
+    items = list(same.values())
     out = None
     for i in range(0, len(items), ITEMS):
         part = _search(docs, items[i : i + ITEMS], id_col, text_col, schema)
@@ -270,9 +275,9 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
                 hashes, bounds = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = words.ids(hashes)
                 for row, k, *rest in matches(ids, bounds, rows, queries, owners, checks):
-                    found.append((batch.column(0)[i + row].as_py(), names[k], *rest))
+                    found.extend((batch.column(0)[i + row].as_py(), name, *rest) for name in names[k])
             columns = list(zip(*found, strict=True)) or [[] for _ in range(7)]
-            types = [batch.schema[0].type, pa.array(names).type, pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            types = [batch.schema[0].type, pa.array([n for own in names for n in own]).type, pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], target)
 
     target = [id_col, schema.split("`")[3], "kind", "share", "cosine", "start_word", "end_word"]

@@ -111,3 +111,11 @@ def test_paraphrases_of_items_without_an_answer_are_found(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(table, bench).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_an_item_under_two_ids_is_found_under_both(spark):
+    docs, items, planted = corpus()
+    table = spark.createDataFrame(docs, "doc_id long, text string, x string").drop("x")
+    bench = spark.createDataFrame([(n + k, t) for k, t in items[:10] for n in (0, 100)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in dc.contaminated(table, bench).collect()}
+    assert set(got) == {(i, n + k) for i, k in planted if k < 10 for n in (0, 100)}
