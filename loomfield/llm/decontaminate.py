@@ -251,6 +251,8 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
     within = np.bincount(np.concatenate([np.unique(x) for x in sequences]), minlength=len(words.hashes))
     telling = within <= max(1, STOP_SHARE * len(items))
     passages, seen, raw = sketch(docs, text_col, words, telling, omega)
+    # The sketch counts terms only; of the other words the share of the items that have them stands for that of the passages.
+    seen = np.where(telling, seen, passages * within / len(items))
     idf, rows = latent(passages, seen, raw, omega)
     rows[~telling] = 0
     answers = [words.ids(x[2]) if x[2] is not None and len(x[2]) else None for x in items]
