@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,31 +106,132 @@ def code_points(data: bytes | memoryview, offsets: np.ndarray) -> tuple[np.ndarr
     return points, heads[offsets]
 
 
-def maybe_in(ids: DataFrame, column: str, bits: int = 24) -> Column:
-    """Whether `column` may be among those of `ids`, by a filter of a fixed size (2 MB): never false for one that is.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-    It spares a join the rows that have no partner; what passes is still joined. With very many ids it
-    lets everything through, and the join is what it would have been.
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+#: Bytes that are hashed at once.
+PART = 1 << 20
+
+
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, inside: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of some rows' bytes, and the rows' offsets counted in words.
+
+    A word is a run of bytes that `inside` (256 booleans) marks; `value` (256 numbers) is equal for bytes that count as
+    equal. A long row is read in parts that end where no word goes on; a word alone is never cut.
+    """
+    found, at = [], 0
+    while at < len(raw):
+        end = at + PART
+        if end < len(raw):
+            gap = np.flatnonzero(~inside[raw[at:end]])
+            while not len(gap) and end < len(raw):
+                gap = np.flatnonzero(~inside[raw[end : end + PART]]) + (end - at)
+                end += PART
+            end = at + int(gap[-1]) + 1 if len(gap) else len(raw)
+        end = min(end, len(raw))
+        cuts = bounds[(bounds > at) & (bounds < end)] - at
+        start, h = _hashed(raw[at:end], cuts, inside, value)
+        found.append((start + at, h))
+        at = end
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    start, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, np.searchsorted(start, bounds)
+
+
+def _hashed(raw: np.ndarray, cuts: np.ndarray, inside: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word; words end at `cuts` too. A hash is the difference of a running sum, freed of its
+    place by the powers' inverse."""
+    n = len(raw)
+    within = np.zeros(n + 2, bool)
+    within[1:-1] = inside[raw]
+    head = within[1:-1] & ~within[:-2]
+    head[cuts] = within[1:-1][cuts]
+    start = np.flatnonzero(head)
+    tail = within[1:-1] & ~within[2:]
+    tail[cuts - 1] = within[1:-1][cuts - 1]
+    stop = np.flatnonzero(tail) + 1
+    with np.errstate(over="ignore"):
+        power, inverse = np.full(n + 1, _BASE), np.full(n + 1, _BACK)
+        power[0] = inverse[0] = 1
+        power, inverse = np.cumprod(power), np.cumprod(inverse)
+        running = np.zeros(n + 1, np.uint64)
+        np.cumsum(value[raw] * power[:n], out=running[1:])
+        return start, mixed((running[stop] - running[start]) * inverse[start])
+
+
+def text_parts(raw: np.ndarray, most: int, ahead: int) -> Iterator[tuple[int, int, int]]:
+    """(start, stop, end) in bytes: own parts of about `most` bytes of a long text, each with `ahead` bytes or more to look ahead.
+
+    A part stops before white space if its last 64 KB have some, else between two characters.
     """
-    low = F.xxhash64(column).bitwiseAND((1 << bits) - 1)
-    words = ids.select(low.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
-    got = words.toPandas()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+    start, n = 0, len(raw)
+    while n - start > 2 * most:
+        stop = start + most
+        blank = np.flatnonzero(raw[max(start + 1, stop - (1 << 16)) : stop] <= 32)
+        stop = max(start + 1, stop - (1 << 16)) + int(blank[-1]) if len(blank) else stop
+        while raw[stop] & 0xC0 == 0x80:
+            stop += 1
+        end = min(n, stop + ahead)
+        while end < n and raw[end] & 0xC0 == 0x80:
+            end += 1
+        yield start, stop, end
+        start = stop
+    yield start, n, n
+
+
+def give_back() -> None:
+    """Gives memory that this process no longer uses back to the host."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """`run` (an Arrow map's function), after which the worker, which waits for its next task, holds no spare memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
 
-    @F.pandas_udf("boolean")
-    def held(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+#: Bits of the filter that tells which rows may have a partner.
+FILTER_BITS = 24
 
-    return held(low)
+
+def marked(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """`rows` with `_maybe`: whether `column` may be among those of `ids`; never false for one that is, null included.
+
+    A filter of a fixed size (2^18 rows of 64 bits at most, so it can be broadcast) spares a join the rows that have no
+    partner; what passes is still joined. With very many ids it lets everything through.
+    """
+    low = lambda c: F.xxhash64(c).bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")
+    words = ids.select(low(F.col(column)).alias("_low")).groupBy(F.shiftright("_low", 6).alias("_word")).agg(F.bit_or(bit("_low")).alias("_bits"))
+    hashed = rows.withColumn("_low", low(F.col(column))).withColumn("_word", F.shiftright("_low", 6))
+    joined = hashed.join(F.broadcast(words), "_word", "left")
+    held = F.coalesce(F.col("_bits").bitwiseAND(bit("_low")) != 0, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], held.alias("_maybe"))
 
 
 def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """`rows` whose `column` is not in the written table `gone`; rows that cannot be in it are not shuffled. Null stays."""
-    maybe = maybe_in(gone, column)
-    return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, column, "left_anti"))
+    known = marked(rows, gone, column)
+    apart = known.where(~F.col("_maybe")).drop("_maybe")
+    return apart.unionByName(known.where("_maybe").drop("_maybe").join(gone, column, "left_anti"))
 
 
 def by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

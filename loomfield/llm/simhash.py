@@ -15,14 +15,13 @@ share one, so a chain of links through each point costs a number of rows in prop
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import materialize, maybe_in, without
+from loomfield.llm.common import materialize, tidy
 from loomfield.llm.components import components
 
 #: Bits of the three segments of a 64-bit fingerprint, from the highest.
@@ -73,10 +72,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = [fingerprint((t.as_py() or "").encode(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["id", "fingerprint"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fingerprint long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), f"id {kind}, fingerprint long")
 
 
-@cache
 def _golay() -> tuple[np.ndarray, np.ndarray]:
     """The syndrome of each bit, and the error pattern of each syndrome: at most three bits."""
     bits = np.zeros(23, np.uint32)
@@ -96,9 +94,13 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
     return bits, errors
 
 
+#: Plain arrays, so that they travel with the functions that use them.
+_SYNDROMES = _golay()
+
+
 def golay_indices(segment: np.ndarray) -> np.ndarray:
     """[n, 24] indices (12 bits) of the codewords nearest to each 23-bit word and its one-bit neighbours."""
-    bits, errors = _golay()
+    bits, errors = _SYNDROMES
     segment = segment.astype(np.uint32)
     syndrome = np.zeros(len(segment), np.uint32)
     for i in range(23):
@@ -143,7 +145,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 row, key = keys_of(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part[row])], ["key", "fp"])
 
-    keys = materialize(distinct.select("fingerprint").mapInArrow(run, "key long, fp long"))
+    keys = materialize(distinct.select("fingerprint").mapInArrow(tidy(run), "key long, fp long"))
     sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     small = keys.join(sizes.where(F.col("n") <= SMALL_BUCKET), "key").groupBy("key").agg(F.collect_list("fp").alias("all"))
     small = small.select(F.explode("all").alias("a"), "all")
@@ -175,270 +177,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return known.join(of, "fingerprint", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-# Near copies of a given similarity. Texts that share 0.8 of their five-word shingles differ in about a
-# seventh of their fingerprint bits, so few segments of 23 bits differ in little enough to decode alike: the
-# fingerprint gets 28 segments, and a key is the nearest codeword indices of two of them.
-
-WIDE_SEGMENTS = 28
-WIDE_BITS = 23 * WIDE_SEGMENTS
-#: Differing bits of WIDE_BITS beyond which a similarity of 0.8 is out of the question.
-MOST_BITS = 147
-#: Nearest open pairs of a component that are compared in the first round.
-FIRST_PAIRS = 1
-#: Nodes of a bucket that are all paired at once, and of a tile of a larger one whose components differ.
-FEW, TILE = 8, 1024
-_LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
-_SALTS = np.random.default_rng(17).integers(1, 1 << 63, -(-WIDE_BITS // 64), np.uint64)
-
-
-def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
-    """The distinct shingle hashes of a text, in order."""
-    parts = [np.unique(part) for part in shingle_hashes(text, words)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
-    """WIDE_BITS bits, each 1 if set in over half of the distinct shingles' hashes, as packed bytes."""
-    return _print_of(shingle_set(text, words))
-
-
-def _print_of(hashes: np.ndarray) -> bytes:
-    ones = np.zeros(64 * len(_SALTS), np.int64)
-    for i in range(0, len(hashes), 1 << 13):
-        part = hashes[i : i + (1 << 13)]
-        with np.errstate(over="ignore"):
-            h = (part[:, None] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        lanes = _LANES[(h ^ (h >> np.uint64(29))).view(np.uint8)]
-        # Eight counters of a byte each in a number hold 255 shingles.
-        ones += np.add.reduceat(lanes, np.arange(0, len(part), 255)).view(np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones[:WIDE_BITS] > len(hashes)).tobytes() if len(hashes) else bytes(-(-WIDE_BITS // 8))
-
-
-def wide_keys(prints: np.ndarray) -> np.ndarray:
-    """[n, pairs of segments] keys of packed fingerprints [n, bytes]."""
-    bits, errors = _golay()
-    parts = np.unpackbits(prints, axis=1)[:, :WIDE_BITS].reshape(len(prints), WIDE_SEGMENTS, 23).astype(np.uint32)
-    segment = (parts << np.arange(23, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
-    syndrome = np.bitwise_xor.reduce(parts * bits, axis=2)
-    nearest = (segment ^ errors[syndrome]) >> np.uint32(11)
-    i, j = np.triu_indices(WIDE_SEGMENTS, 1)
-    return np.arange(len(i), dtype=np.int64) << 24 | nearest[:, i].astype(np.int64) << 12 | nearest[:, j].astype(np.int64)
-
-
-def similarity(a: str, b: str, words: int = 5) -> float:
-    """Jaccard similarity of two texts' sets of shingles; texts without words are alike."""
-    x, y = (shingle_set(t.encode(), words) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def _node_of(hashes: np.ndarray) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(hashes.tobytes())
-
-
-def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, print, node, size): `node` is a digest of the set of shingles, so texts of one node have similarity 1."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, marks, sizes = [], [], []
-            for t in batch.column(1):
-                own = shingle_set((t.as_py() or "").encode(), words)
-                prints.append(_print_of(own))
-                marks.append(_node_of(own))
-                sizes.append(len(own))
-            marks = np.array(marks, np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array(prints, pa.binary()), pa.array(marks), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "print", "node", "size"])
-
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, print binary, node long, size int")
-
-
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """(key, a, b) of the nodes' keys: all pairs of a bucket's first FEW nodes, with a null key where it has no more.
-
-    A larger bucket links each further node to its least one, and lists all its nodes by (key, least, node).
-    """
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(ids), 1024):
-                own = wide_keys(prints[i : i + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids[i : i + 1024], own.shape[1]))], ["key", "node"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The open bucket goes from batch to batch as its first FEW nodes and its number of nodes.
-        held, count = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True))
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
-            rank = np.arange(len(key)) - head[group]
-            rank[len(held[0]) :][group[len(held[0]) :] == 0] += count - len(held[0])
-            hub = node[head][group]
-            first, second = [], []
-            for d in range(1, FEW):
-                at = np.flatnonzero((rank[d:] < FEW) & (group[d:] == group[:-d])) + d
-                first.append(node[at - d])
-                second.append(node[at])
-            large = np.zeros(len(head), bool)
-            large[group[rank >= FEW]] = True
-            listed = np.flatnonzero(large[group])
-            n = sum(len(f) for f in first)
-            null = np.concatenate([np.ones(n, bool), np.zeros(len(listed), bool)])
-            keyed = pa.array(np.concatenate([np.zeros(n, np.int64), key[listed]]), mask=null)
-            a, b = np.concatenate([*first, hub[listed]]), np.concatenate([*second, node[listed]])
-            yield pa.RecordBatch.from_arrays([keyed, pa.array(a), pa.array(b)], ["key", "a", "b"])
-            last = head[-1]
-            count = int(rank[-1]) + 1
-            held = key[last : last + FEW], node[last : last + FEW]
-
-    all_keys = nodes.select("node", "print").mapInArrow(keys, "key long, node long")
-    return all_keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(pairs, "key long, a long, b long").distinct()
-
-
-def _candidates(nodes: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(a, b, bits) of the `links` (a, b) of nodes (node, print, size) that are MOST_BITS apart at most.
-
-    Two sets whose sizes have a ratio below `least` cannot be that similar.
-    """
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[2:4])
-            bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], ["a", "b", "bits"])
-            yield out.filter(pa.array(bits <= MOST_BITS))
-
-    left, right = (nodes.select(F.col("node").alias(c), F.col("print").alias(p), F.col("size").alias(n)) for c, p, n in (("a", "x", "m"), ("b", "y", "n")))
-    found = links.join(left, "a").join(right, "b").where(F.least("m", "n") >= least * F.greatest("m", "n"))
-    return found.select("a", "b", "x", "y").mapInArrow(apart, "a long, b long, bits int")
-
-
-def _rest(large: DataFrame, of: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b, bits): all pairs of different components in the buckets (key, node), MOST_BITS apart at most.
-
-    A bucket is dealt in tiles of two times TILE nodes, so that one of any size is compared in bounded memory.
-    """
-    rows = large.join(of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rows = rows.join(materialize(mixed), "key").withColumn("slot", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
-    rows = rows.withColumn("slot", F.floor(F.col("slot") / TILE)).withColumn("last", F.max("slot").over(Window.partitionBy("key")))
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda t: F.struct(F.least(t, F.col("slot")).alias("i"), F.greatest(t, F.col("slot")).alias("j")))
-    rows = rows.select("key", "node", "component", "slot", F.explode(tiles).alias("tile")).join(nodes.select("node", "print", "size"), "node")
-
-    def compared(tile: pa.Table) -> pa.Table:
-        node, component, slot, size = (tile.column(c).to_numpy() for c in ("node", "component", "slot", "size"))
-        prints = np.frombuffer(b"".join(tile.column("print").to_pylist()), np.uint8).reshape(len(node), -1)
-        left, right = np.flatnonzero(slot == slot.min()), np.flatnonzero(slot == slot.max())
-        i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-        for at in range(0, len(left), 32):
-            part = left[at : at + 32]
-            bits = np.bitwise_count(prints[part][:, None] ^ prints[right][None]).sum(axis=2, dtype=np.int32)
-            near = (bits <= MOST_BITS) & (component[part][:, None] != component[right])
-            near &= np.minimum(size[part][:, None], size[right]) >= least * np.maximum(size[part][:, None], size[right])
-            x, y = np.nonzero(near)
-            a, b = node[part[x]], node[right[y]]
-            keep = a < b if i == j else np.ones(len(a), bool)
-            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], bits[x, y][keep]))
-        return pa.table(dict(zip(("a", "b", "bits"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    flat = rows.select("key", "tile.i", "tile.j", "node", "component", "slot", "print", "size")
-    return flat.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long, bits int").distinct()
-
-
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float, known: DataFrame | None = None) -> DataFrame:
-    """The links (a, b) of `least` similarity among the written `pairs` (a, b, bits) that join all that the pairs can join.
-
-    In a round each component has its nearest open pairs compared shingle by shingle, FIRST_PAIRS at first and
-    eight times as many in each further round. Compared pairs go, as do those within one component; it ends when
-    no pair is left, so a refused pair never speaks for another. `known` are links found before.
-    """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    of_first = materialize(nodes.select("node", "first").join(ends, "node", "left_semi"))
-    wanted = materialize(of_first.select("first").distinct())
-    texts = docs.select(F.col(id_col).alias("first"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Rows that repeat an id may differ in text; the one whose shingles make the node is meant.
-    texts = texts.where(maybe_in(wanted, "first")).join(of_first, "first").select("node", "text")
-    texts = materialize(_of_node(texts, words).dropDuplicates(["node"]))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
-            got = [(a, b) for a, b, x, y in rows if similarity(x, y, words) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    links, left, most = known, pairs, FIRST_PAIRS
-    while True:
-        if links is not None:
-            of = components(links)
-            one, two = (of.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
-            left = left.join(one, "a", "left").join(two, "b", "left")
-            left = left.select("a", "b", "bits", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        else:
-            left = left.select("a", "b", "bits", F.col("a").alias("ca"), F.col("b").alias("cb"))
-        place = [F.row_number().over(Window.partitionBy(c).orderBy("bits", "a", "b")) for c in ("ca", "cb")]
-        ranked = materialize(left.select("a", "b", "bits", F.least(*place).alias("place")))
-        if ranked.isEmpty():
-            return links if links is not None else pairs.select("a", "b")
-        both = ranked.where(F.col("place") <= most).join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
-        both = both.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-        near = materialize(both.mapInArrow(compared, "a long, b long"))
-        links = near if links is None else materialize(links.unionByName(near))
-        left, most = ranked.where(F.col("place") > most).select("a", "b", "bits"), 8 * most
-
-
-def _of_node(texts: DataFrame, words: int) -> DataFrame:
-    """Rows (node, text) whose text has the node's shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [_node_of(shingle_set(t.as_py().encode(), words)) for t in batch.column(1)]
-            yield batch.filter(pa.array(np.array(own, np.uint64).view(np.int64) == batch.column(0).to_numpy(zero_copy_only=False)))
-
-    return texts.mapInArrow(run, texts.schema)
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, group): documents with others of `least` similarity, directly or by a chain; `group` is the least id.
-
-    Texts with the same set of shingles are one node, so copies are never paired. A key's first FEW nodes
-    are paired with one another and further ones with the least of them; then all pairs of the key that those
-    did not join. Pairs are compared shingle by shingle, nearest first, until their nodes are joined or none is
-    left: all that share a key are joined or compared, or are out of the question by bits or sizes. Links that no key finds are missed: at a similarity of 0.8
-    about one in ten of the lone pairs. Documents with a null id stand alone.
-    """
-    known = materialize(_wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
-    nodes = materialize(known.groupBy("node").agg(F.min("id").alias("first"), F.min("print").alias("print"), F.min("size").alias("size")))
-    keyed = materialize(_keyed(nodes))
-    pairs = materialize(_candidates(nodes, keyed.where("a <> b").select("a", "b").distinct(), least))
-    links = _linked(pairs, nodes, docs, id_col, text_col, words, least)
-    joined = materialize(components(links))
-    large = keyed.where("key IS NOT NULL").select("key", F.col("b").alias("node"))
-    more = materialize(_rest(large, joined, nodes, least).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        joined = components(_linked(more, nodes, docs, id_col, text_col, words, least, links))
-    grouped = nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    groups = grouped.groupBy("component").agg(F.min("first").alias("group"))
-    of_node = materialize(grouped.join(groups, "component").select("node", "group"))
-    return known.join(of_node, "node").select(F.col("id").alias(id_col), "group")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """`docs` with one document of each group of near copies, that of the least id.
-
-    Rows that share an id stay or go together; rows with a null id stay.
-    """
-    gone = near_copies(docs, id_col, text_col, words, least).where(F.col(id_col) != F.col("group")).select(id_col).distinct()
-    return without(docs, materialize(gone), id_col)

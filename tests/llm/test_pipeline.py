@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomfield.llm import simhash
+from loomfield.llm import near_copies as nc
+from loomfield.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,62 +35,114 @@ def test_near_copies_go_and_others_stay(spark):
     rows += [(900, rows[3][1]), (None, rows[0][1]), (901, None), (902, ""), (903, "short one"), (904, "Short ONE")]
     expected |= {900: expected[rows[3][0]], 901: 901, 902: 901, 903: 903, 904: 903}
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.group for r in simhash.near_copies(table).collect()}
-    alike = [i for i in expected if simhash.similarity(dict(rows)[expected[i]] or "", dict(rows)[i] or "") >= 0.8]
+    got = {r.doc_id: r.group for r in nc.near_copies(table).collect()}
+    alike = [i for i in expected if nc.similarity(dict(rows)[expected[i]] or "", dict(rows)[i] or "") >= 0.8]
     assert all(got[i] == expected[i] for i in alike) and len(alike) > 90
     assert all(got[i] in (i, expected[i]) for i in got)
-    left = sorted(simhash.drop_near_copies(table).collect(), key=str)
+    left = sorted(nc.drop_near_copies(table).collect(), key=str)
     assert {r.doc_id for r in left} == {None} | {i for i in got if got[i] == i}
 
 
-def test_wide_prints_and_keys():
-    a = simhash.wide_fingerprint(b"one two three four five six seven eight")
-    b = simhash.wide_fingerprint(b"ONE two  three four five six seven eight")
-    assert a == b and len(a) == 81 and simhash.wide_fingerprint(b"") == bytes(81)
-    import numpy as np
-
-    prints = np.frombuffer(a + simhash.wide_fingerprint(b"other words here"), np.uint8).reshape(2, -1)
-    keys = simhash.wide_keys(prints)
-    assert keys.shape == (2, 378) and (keys[0] >> 24 == np.arange(378)).all()
+def test_decoding_finds_the_nearest_codeword():
+    words = nc.codewords()
+    assert words.shape == (4096, 23)
+    near = words[:64].astype(int) @ words.astype(int).T  # 23 less two for each differing place
+    assert sorted(set(near.ravel().tolist())) == [23 - 2 * d for d in (23, 16, 15, 12, 11, 8, 7, 0)]
+    rows = np.random.default_rng(1).normal(size=(40, nc.BITS)).round(3).astype(np.float32)
+    got = nc.decoded(rows, words)
+    for row, own in zip(rows.reshape(40, nc.SEGMENTS, 23), got, strict=True):
+        assert [max(range(4096), key=lambda k: float(words[k] @ part)) for part in row[:2]] == own[:2].tolist()
+
+
+def test_shingles_and_prints_are_those_of_plain_versions():
+    text = "One two\tTHREE four  five six\nseven one two three four five " * 3
+    found = text.lower().split()
+    assert len(nc.shingle_set(text.encode())) == len({tuple(found[i : i + 5]) for i in range(len(found) - 4)})
+    assert np.array_equal(nc.shingle_set(text.encode()), nc.shingle_set(" ".join(found).encode()))
+    assert len(nc.shingle_set(b" \n")) == 0 and len(nc.shingle_set(b"one")) == 1
+    assert nc.shingle_set("É two".encode())[0] != nc.shingle_set("é two".encode())[0]
+    long = " ".join(f"w{i % 70001}" for i in range(400_000))  # over two parts
+    assert len(nc.shingle_set(long.encode())) == 70001
+    marks = nc.sketch(nc.margins(nc.shingle_set(text.encode()))[None])
+    assert marks.shape == (1, 2) and not nc.margins(np.zeros(0, np.uint64)).any()
+
+
+def brute_groups(rows, least=0.8):
+    """Least id of each row's component by all pairs of texts."""
+    sets = {}
+    for i, text in rows:
+        found = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        k = min(5, len(found))
+        sets[i] = frozenset(tuple(found[j : j + k]) for j in range(len(found) - k + 1)) if found else frozenset()
+    of, ids = {i: i for i in sets}, sorted(sets)
+    links = []
+    for a in ids:
+        for b in ids:
+            if a < b and (sets[a] == sets[b] or min(len(sets[a]), len(sets[b])) >= least * max(len(sets[a]), len(sets[b]))):
+                if sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                    links.append((a, b))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(of[a], of[b])
+            changed |= of[a] != low or of[b] != low
+            of[a] = of[b] = low
+    return of
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_groups([tuple(r) for r in table.collect()])
+    got = {r.doc_id: r.group for r in nc.near_copies(table).collect()}
+    joined = [i for i in want if want[i] != i]
+    assert all(want[got[i]] == want[i] for i in got), "a link that all pairs lack"
+    assert len(joined) > 50 and sum(got[i] == want[i] for i in joined) >= 0.95 * len(joined)
 
 
 def test_texts_ruled_by_one_repeated_shingle_are_no_copies(spark):
     rng = random.Random(4)
     rows = [(i, "nan " * 400 + prose(rng, 100)) for i in range(6)]
-    assert max(simhash.similarity(rows[0][1], t) for _, t in rows[1:]) < 0.1
+    assert max(nc.similarity(rows[0][1], t) for _, t in rows[1:]) < 0.1
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    assert all(r.group == r.doc_id for r in simhash.near_copies(table).collect())
+    assert all(r.group == r.doc_id for r in nc.near_copies(table).collect())
 
 
-def test_a_refused_pair_does_not_speak_for_two_groups(spark):
+def test_blocks_join_what_any_pair_joins(spark, monkeypatch):
     rng = random.Random(9)
-    base, other = prose(rng, 100).split(), prose(rng, 100).split()
-    rows = [(i, " ".join(other[: 6 * i] + base[6 * i :])) for i in range(4)]
-    alike = lambda a, b: simhash.similarity(rows[a][1], rows[b][1]) >= 0.8
-    assert alike(0, 1) and alike(1, 2) and alike(2, 3) and not alike(0, 3)
+    rows = []
+    for g in range(3):
+        base, other = prose(rng, 100).split(), prose(rng, 100).split()
+        rows += [(10 * g + i, " ".join(other[: 6 * i] + base[6 * i :])) for i in range(6)]
+    want = brute_groups(rows)
+    assert len(set(want.values())) < len(rows)
+    monkeypatch.setattr(nc, "NEAREST", 1)
+    monkeypatch.setattr(nc, "BLOCK", 2)
+    # With one key for all there is one bucket, dealt out in tiles.
+    monkeypatch.setattr(nc, "TILE", 4)
+    monkeypatch.setattr(nc, "decoded", lambda of_rows, words: np.zeros((len(of_rows), 16), np.int64))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    known = simhash.materialize(simhash._wide_prints(docs, "doc_id", "text", 5))
-    of = {r.id: r.node for r in known.collect()}
-    # Of the pairs between {0, 1} and {2, 3} the nearest by bits is refused.
-    pairs = [(of[0], of[1], 5), (of[2], of[3], 5), (of[0], of[3], 80), (of[1], of[2], 90)]
-    table = simhash.materialize(spark.createDataFrame(pairs, "a long, b long, bits int"))
-    links = simhash._linked(table, known.withColumnRenamed("id", "first"), docs, "doc_id", "text", 5, 0.8)
-    got = {r.node: r.component for r in simhash.components(links).collect()}
-    assert len(got) == 4 and len(set(got.values())) == 1
+    assert {r.doc_id: r.group for r in nc.near_copies(docs).collect()} == want
 
 
-def test_pairs_of_a_key_are_compared_when_its_least_node_is_a_stranger(spark, monkeypatch):
+def test_large_group_of_a_chain_of_copies(spark):
     rng = random.Random(21)
+    base = prose(rng, 300).split()
     rows = []
-    for g in range(12):
-        base = prose(rng, 90).split()
-        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(["changed", *base[1:]]))]
+    for i in range(200):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(len(copy))] = f"changed{i}"
+        rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    # One key for all: its bucket is large and holds twelve groups, in tiles of five.
-    monkeypatch.setattr(simhash, "wide_keys", lambda prints: np.zeros((len(prints), 1), np.int64))
-    monkeypatch.setattr(simhash, "TILE", 5)
-    assert all(r.group == r.doc_id // 2 * 2 for r in simhash.near_copies(docs).collect())
-    assert all(r.group == r.doc_id // 2 * 2 for r in simhash.near_copies(docs.where("doc_id < 6")).collect())
+    assert {r.doc_id: r.group for r in nc.near_copies(docs).collect()} == brute_groups(rows)
+
+
+def test_rows_without_text_or_id_and_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id string, text string, key int")
+    assert nc.near_copies(docs).collect() == [] and nc.drop_near_copies(docs).collect() == []
+    docs = spark.createDataFrame([("b", None, 1), ("a", "", 2), (None, "x", 3), ("c", "x", 4), ("c", "y", 5)], "doc_id string, text string, key int")
+    assert sorted(map(tuple, nc.drop_near_copies(docs).collect()), key=str) == sorted([("a", "", 2), (None, "x", 3), ("c", "x", 4), ("c", "y", 5)], key=str)
 
 
 def test_stages_run_in_order_and_keep_the_columns(spark, docs):
@@ -97,7 +150,7 @@ def test_stages_run_in_order_and_keep_the_columns(spark, docs):
     assert names == ["quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "byte-level BPE"]
     now, counts = docs, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = simhash.materialize(stage(spark, now, SF))
+        now = materialize(stage(spark, now, SF))
         assert now.columns == docs.columns, name
         counts.append(now.count())
     assert counts == sorted(counts, reverse=True) and counts[1] < counts[0] and counts[-1] > counts[0] // 2
