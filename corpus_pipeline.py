@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, decontaminate, line_dedup, quality_classifier, simhash
+from loomfield.llm import byte_bpe, decontaminate, line_dedup, near_copies, quality_classifier
 from loomfield.llm.common import materialize
 from loomfield.llm.queries import RANK_FILE, quality_model
 from loomfield.session import table
@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document of least id stays."""
-    return simhash.drop_near_copies(docs, "doc_id", "text").select(*COLUMNS)
+    return near_copies.drop_near_copies(docs, "doc_id", "text").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
