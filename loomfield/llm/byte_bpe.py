@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.llm.common import tidy
+
 LONG = 1 << 16
 _CUT = re.compile(r"[A-Za-z0-9](?= [A-Za-z0-9])")
 
@@ -34,11 +36,16 @@ def pieces(text: str, most: int = LONG) -> Iterator[str]:
 
 
 def encoding(rank_file: str, pattern: str):
+    """The codec, built once in a process: the library's own table of encodings holds it from one task to the next."""
     import tiktoken
+    from tiktoken import registry
 
-    with open(rank_file, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    name = f"{rank_file} {pattern}"
+    if name not in registry.ENCODINGS:
+        with open(rank_file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        registry.ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return registry.ENCODINGS[name]
 
 
 def encode_text(codec, text: str | None, most: int = LONG) -> list[int]:
@@ -88,7 +95,7 @@ def encode(
             yield pa.RecordBatch.from_arrays(out, fields)
 
     result = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        run, f"{id_col} {schema[0].dataType.simpleString()}, {names}"
+        tidy(run), f"{id_col} {schema[0].dataType.simpleString()}, {names}"
     )
     return result
 
@@ -110,4 +117,4 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
             got = [decode_ids(codec, ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], [id_col, "bytes"])
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind}, bytes binary")
+    return tokens.select(id_col, ids_col).mapInArrow(tidy(run), f"{id_col} {kind}, bytes binary")

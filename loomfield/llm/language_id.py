@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import blocks, by_row, code_points, text_buffer
+from loomfield.llm.common import blocks, by_row, code_points, text_buffer, text_parts, tidy
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: The model has languages x buckets numbers; more languages than this are refused.
 MOST_LANGUAGES = 256
 SMOOTHING = 0.5
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _ODD = 2654435761  # an odd 32-bit multiplier
 
 
@@ -37,6 +37,18 @@ def ngrams(points: np.ndarray, bounds: np.ndarray, order: int, buckets: int) ->
     return h >> np.uint32(32 - int(buckets).bit_length() + 1), np.arange(n) + order <= ends
 
 
+def _parts(data, offsets: np.ndarray, orders: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, bounds, own) of a block of rows; a long row comes in parts, `own` code points of which start n-grams."""
+    start, stop = int(offsets[0]), int(offsets[-1])
+    if len(offsets) > 2 or stop - start <= 2 * _BLOCK:
+        points, bounds = code_points(data[start:stop], offsets - start)
+        yield points, bounds, len(points)
+        return
+    for a, own, end in text_parts(np.frombuffer(data[start:stop], np.uint8), _BLOCK, 4 * max(orders)):
+        points, bounds = code_points(data[start + a : start + end], np.array([0, own - a, end - a]))
+        yield points, bounds[[0, 2]], int(bounds[1])
+
+
 def counts(docs: DataFrame, text_col: str, lang_col: str, orders: tuple = ORDERS, buckets: int = BUCKETS) -> DataFrame:
     """(lang, bucket, n): n-gram counts by language, and at bucket -1 the number of rows."""
 
@@ -47,18 +59,19 @@ def counts(docs: DataFrame, text_col: str, lang_col: str, orders: tuple = ORDERS
             data, offsets = text_buffer(batch.column(0))
             langs = batch.column(1).to_pylist()
             for i, j in blocks(offsets, _BLOCK):
-                points, bounds = code_points(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 names = langs[i:j]
                 for name in names:
                     rows[name] = rows.get(name, 0) + 1
                 known = sorted(set(names))
-                code = np.repeat(np.searchsorted(known, names), np.diff(bounds))
-                for order in orders:
-                    bucket, whole = ngrams(points, bounds, order, buckets)
-                    got = np.bincount((code * buckets + bucket)[whole], minlength=buckets * len(known))
-                    for k, name in enumerate(known):
-                        total.setdefault(name, np.zeros(buckets, np.int64))
-                        total[name] += got[k * buckets : (k + 1) * buckets]
+                for points, bounds, own in _parts(data, offsets[i : j + 1], orders):
+                    code = np.repeat(np.searchsorted(known, names), np.diff(bounds))
+                    for order in orders:
+                        bucket, whole = ngrams(points, bounds, order, buckets)
+                        whole[own:] = False
+                        got = np.bincount((code * buckets + bucket)[whole], minlength=buckets * len(known))
+                        for k, name in enumerate(known):
+                            total.setdefault(name, np.zeros(buckets, np.int64))
+                            total[name] += got[k * buckets : (k + 1) * buckets]
         for name, of in total.items():
             at = np.flatnonzero(of)
             yield pa.RecordBatch.from_arrays(
@@ -72,7 +85,7 @@ def counts(docs: DataFrame, text_col: str, lang_col: str, orders: tuple = ORDERS
 
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(lang_col).cast("string"))
     rows = rows.where(F.col(lang_col).isNotNull())
-    partial = rows.mapInArrow(run, "lang string, bucket int, n long")
+    partial = rows.mapInArrow(tidy(run), "lang string, bucket int, n long")
     return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -127,13 +140,14 @@ def predict(
             letters = np.array(batch.column("_letters").to_pylist(), bool)
             best, score = np.zeros(len(letters), np.int64), np.zeros(len(letters))
             for i, j in blocks(offsets, _BLOCK) if width else ():
-                points, bounds = code_points(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sums, seen = np.zeros((j - i, width)), np.zeros(j - i)
-                for order in orders:
-                    bucket, whole = ngrams(points, bounds, order, buckets)
-                    for k in range(width):
-                        sums[:, k] += by_row(np.where(whole, logs[bucket, k], np.float32(0)), bounds)
-                    seen += np.maximum(np.diff(bounds) - order + 1, 0)
+                for points, bounds, own in _parts(data, offsets[i : j + 1], orders):
+                    for order in orders:
+                        bucket, whole = ngrams(points, bounds, order, buckets)
+                        whole[own:] = False
+                        for k in range(width):
+                            sums[:, k] += by_row(np.where(whole, logs[bucket, k], np.float32(0)), bounds)
+                        seen += by_row(whole, bounds)
                 total = first + sums / np.sqrt(np.maximum(seen, 1))[:, None]
                 best[i:j] = (first + sums).argmax(axis=1)
                 share = np.exp(total - total.max(axis=1, keepdims=True))
@@ -150,4 +164,4 @@ def predict(
         F.col(id_col), *[c.alias(n) for n, c in (keep or {}).items()], text.alias("_text"), text.rlike(r"\p{L}").alias("_letters")
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: 1 + len(names)])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")

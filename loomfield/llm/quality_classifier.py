@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import blocks, by_row, code_points, text_buffer
+from loomfield.llm.common import blocks, by_row, code_points, text_buffer, text_parts, tidy
 
 BUCKETS = 1 << 18
 ORDERS = (3, 4, 5)
@@ -25,7 +25,7 @@ RATE = 4.0
 #: Labelled rows of each class to learn from, the first by a hash of the id, and their bytes in all.
 SAMPLE_PER_CLASS = 2000
 SAMPLE_BYTES = 24 << 20
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 
 def features(points: np.ndarray, bounds: np.ndarray, orders: tuple, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,6 +73,20 @@ def features(points: np.ndarray, bounds: np.ndarray, orders: tuple, buckets: int
     yield np.full(int(again.sum()), 1, np.uint32), start[again]
 
 
+def _block_features(data, offsets: np.ndarray, orders: tuple, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, code points, row bounds) of the features of a block of rows; a long row is read in parts."""
+    start, stop = int(offsets[0]), int(offsets[-1])
+    if len(offsets) > 2 or stop - start <= 2 * _BLOCK:
+        points, bounds = code_points(data[start:stop], offsets - start)
+        yield from ((b, at, bounds) for b, at in features(points, bounds, orders, buckets))
+        return
+    for a, own, end in text_parts(np.frombuffer(data[start:stop], np.uint8), _BLOCK, 4 * max(orders)):
+        points, bounds = code_points(data[start + a : start + end], np.array([0, own - a, end - a]))
+        # What lies ahead belongs to the part's row as far as n-grams go, but starts no feature of it.
+        for bucket, at in features(points, bounds[[0, 2]], orders, buckets):
+            yield bucket, at, bounds[:2]
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, size: int) -> list[tuple[str, int]]:
     """At most `rows` labelled texts of each class and `size` bytes in all, in the order of a hash of the id."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -103,23 +117,29 @@ def train(
 
     Classes weigh the same. Without rows of both classes the score is that of the class seen, or 0.5.
     """
-    found = []
-    for text, label in rows:
-        points, bounds = code_points(text.encode(), np.array([0, len(text.encode())]))
-        parts = [b for b, _ in features(points, bounds, orders, buckets)]
-        ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0))
-        found.append((ids, (n / max(1, n.sum())).astype(np.float32), label))
-    share = [sum(1 for f in found if f[2] == k) for k in (0, 1)]
+    share = [sum(1 for _, label in rows if label == k) for k in (0, 1)]
     if not all(share):
         return np.zeros(buckets, np.float32), 0.0 if not any(share) else (3.0 if share[1] else -3.0)
-    weight = [len(found) / (2 * n) for n in share]
+    # Three flat arrays for all rows: they go back to the host at once when training is done.
+    ids, counts, ends = [], [], [0]
+    for text, _ in rows:
+        points, bounds = code_points(text.encode(), np.array([0, len(text.encode())]))
+        parts = [b for b, _ in features(points, bounds, orders, buckets)]
+        own, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0, int))
+        ids.append(own.astype(np.uint32))
+        counts.append(n.astype(np.uint32))
+        ends.append(ends[-1] + len(own))
+    all_ids, all_counts = np.concatenate(ids), np.concatenate(counts)
+    del ids, counts
+    weight = [len(rows) / (2 * n) for n in share]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer, bias = rng.uniform(-0.5, 0.5, (2, dim)).astype(np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * len(found), 0
+    steps, done = epochs * len(rows), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(found)):
-            ids, part, label = found[k]
+        for k in rng.permutation(len(rows)):
+            ids, part, label = all_ids[ends[k] : ends[k + 1]], all_counts[ends[k] : ends[k + 1]], rows[k][1]
+            part = (part / max(1, part.sum())).astype(np.float32)
             now = rate * (1 - done / steps)
             done += 1
             mean = part @ vectors[ids] if len(ids) else np.zeros(dim, np.float32)
@@ -154,9 +174,8 @@ def score(
             data, offsets = text_buffer(batch.column(len(names)))
             odds = np.full(batch.num_rows, intercept)
             for i, j in blocks(offsets, _BLOCK):
-                points, bounds = code_points(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sums, seen = np.zeros(j - i), np.zeros(j - i)
-                for bucket, at in features(points, bounds, orders, len(table)):
+                for bucket, at, bounds in _block_features(data, offsets[i : j + 1], orders, len(table)):
                     cuts = np.searchsorted(at, bounds)
                     sums += by_row(table[bucket], cuts)
                     seen += np.diff(cuts)
@@ -169,4 +188,4 @@ def score(
 
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_scored_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(names)])
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"{fields}, score double, predicted int")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import byte_bpe, decontaminate, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
-from loomfield.llm.common import remainder
+from loomfield.llm.common import give_back, remainder
 from loomfield.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -19,7 +19,9 @@ def quality_model(docs: DataFrame, labels: DataFrame):
     rows = quality_classifier.sample(
         docs, known, "doc_id", "text", "quality", quality_classifier.SAMPLE_PER_CLASS, quality_classifier.SAMPLE_BYTES
     )
-    return quality_classifier.train(rows)
+    model = quality_classifier.train(rows)
+    give_back()
+    return model
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
