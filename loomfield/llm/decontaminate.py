@@ -10,7 +10,8 @@ words as any match must. Candidates are verified by the longest common
 subsequence of words; a subsequence that is long but not near complete also needs the item's answer, or
 where it names none enough of its words weighed by inverse document frequency.
 
-What is broadcast is bounded by ITEMS benchmark items at a time, whatever the corpus.
+A large benchmark is searched for in blocks of items of WORDS words in all, whatever the corpus; which words tell
+items apart, and what they weigh, is counted over all items, so blocks don't change what is verified.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import blocks, materialize, text_buffer
+from loomfield.llm.common import blocks, materialize, text_buffer, tidy, word_hashes
 
-#: Benchmark items that are searched for in one go; a larger benchmark takes more passes.
-ITEMS = 4096
+#: Words of the benchmark items that are searched for in one go (one item at least); a larger benchmark takes more passes.
+WORDS = 1 << 15
 #: Words of a passage of the sketch, between search windows, and of a benchmark passage. A window is three strides.
 PASSAGE, STRIDE, QUERY = 64, 16, 40
 WINDOW = 3 * STRIDE
@@ -39,44 +40,14 @@ COPY, PARAPHRASE = 0.8, 0.5
 TELLING_SHARE = 0.5
 #: Small enough for a block's vectors to stay in the cache.
 _BLOCK = 1 << 17
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A word is a run of ASCII letters, digits and bytes of other characters; upper case counts as lower.
 _LETTER = np.array([chr(c).isalnum() or c >= 128 for c in range(256)])
 _VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of some rows' bytes, and the rows' offsets counted in words."""
-    n = len(raw)
-    inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _LETTER[raw]
-    head = inside[1:-1] & ~inside[:-2]
-    rows = bounds[:-1][np.diff(bounds) > 0]
-    head[rows] = inside[1:-1][rows]
-    start = np.flatnonzero(head)
-    tail = inside[1:-1] & ~inside[2:]
-    lasts = bounds[1:][np.diff(bounds) > 0] - 1
-    tail[lasts] = inside[1:-1][lasts]
-    stop = np.flatnonzero(tail) + 1
-    with np.errstate(over="ignore"):
-        size = 1 << max(20, n.bit_length())
-        power, inverse = _powers(size)
-        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * power[:n])])
-        h = (running[stop] - running[start]) * inverse[start]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32)), np.searchsorted(start, bounds)
-
-
-_made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    if size not in _made:
-        one = np.ones(1, np.uint64)
-        _made[size] = np.concatenate([one, np.cumprod(np.full(size, _BASE))]), np.concatenate([one, np.cumprod(np.full(size, _BACK))])
-    return _made[size]
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(raw, bounds, _LETTER, _VALUE)
 
 
 class Vocabulary:
@@ -138,7 +109,7 @@ def sketch(docs: DataFrame, text_col: str, vocabulary: Vocabulary, telling: np.n
             data, offsets = text_buffer(batch.column(0))
             raw = np.frombuffer(data, np.uint8)
             for i, j in blocks(offsets, _BLOCK):
-                found, bounds = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found, bounds = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 term, seen, part, passages = term_rows(words.ids(found), bounds, terms, columns)
                 total[term, 0] += seen
                 total[term, 1:] += part
@@ -160,7 +131,7 @@ def sketch(docs: DataFrame, text_col: str, vocabulary: Vocabulary, telling: np.n
 
     schema = "term long, values array<double>"
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    summed = text.mapInArrow(gather, schema).repartition("term").mapInArrow(add, schema)
+    summed = text.mapInArrow(tidy(gather), schema).repartition("term").mapInArrow(tidy(add), schema)
     total = np.zeros((len(omega) + 1, width + 1))
     for row in summed.toLocalIterator():
         total[row["term"]] += row["values"]
@@ -208,7 +179,7 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str |
 
 def _hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return word_hashes(raw, np.array([0, len(raw)]))[0]
+    return _words(raw, np.array([0, len(raw)]))[0]
 
 
 def contaminated(
@@ -237,22 +208,30 @@ def contaminated(
         if len(own):
             same.setdefault((own.tobytes(), answer.tobytes() if answer is not None else None), ([], own, answer))[0].append(i)
     items = list(same.values())
+    if not items:
+        return spark.createDataFrame([], schema)
+    known, within = np.unique(np.concatenate([np.unique(x[1]) for x in items]), return_counts=True)
+    size = np.cumsum([len(x[1]) for x in items])
     out = None
-    for i in range(0, len(items), ITEMS):
-        part = _search(docs, items[i : i + ITEMS], id_col, text_col, schema)
+    for block in np.split(np.arange(len(items)), np.flatnonzero(np.diff(size // WORDS)) + 1):
+        part = _search(docs, [items[k] for k in block], (known, within, len(items)), id_col, text_col, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out
 
 
-def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, schema: str) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple], frequency: tuple[np.ndarray, np.ndarray, int], id_col: str, text_col: str, schema: str) -> DataFrame:
+    """Matches of `items`; `frequency` has the words of all items, the items that have each, and the number of items."""
     words = Vocabulary(np.concatenate([x[1] for x in items] + [x[2] for x in items if x[2] is not None]))
     omega = np.random.default_rng(5).choice(np.array([-1, 1], np.float32), (len(words.hashes), RANK + OVERSAMPLE))
     sequences = [words.ids(x[1]) for x in items]
-    within = np.bincount(np.concatenate([np.unique(x) for x in sequences]), minlength=len(words.hashes))
-    telling = within <= max(1, STOP_SHARE * len(items))
+    known, counted, total = frequency
+    # A word of an answer alone is in no item.
+    place = np.minimum(np.searchsorted(known, words.hashes), len(known) - 1)
+    within = np.where(known[place] == words.hashes, counted[place], 0)
+    telling = within <= max(1, STOP_SHARE * total)
     passages, seen, raw = sketch(docs, text_col, words, telling, omega)
     # The sketch counts terms only; of the other words the share of the items that have them stands for that of the passages.
-    seen = np.where(telling, seen, passages * within / len(items))
+    seen = np.where(telling, seen, passages * within / total)
     idf, rows = latent(passages, seen, raw, omega)
     rows[~telling] = 0
     answers = [words.ids(x[2]) if x[2] is not None and len(x[2]) else None for x in items]
@@ -274,7 +253,7 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
             raw = np.frombuffer(data, np.uint8)
             found = []
             for i, j in blocks(offsets, _BLOCK):
-                hashes, bounds = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                hashes, bounds = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = words.ids(hashes)
                 for row, k, *rest in matches(ids, bounds, rows, queries, owners, checks):
                     found.extend((batch.column(0)[i + row].as_py(), name, *rest) for name in names[k])
@@ -283,11 +262,11 @@ def _search(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, sch
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], target)
 
     target = [id_col, schema.split("`")[3], "kind", "share", "cosine", "start_word", "end_word"]
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(tidy(run), schema)
 
 
 class Checks:
-    """What verification needs of the items: member[item, term], least telling words in common, sequences, answers.
+    """What verification needs of the items: sequences, answers, weights, and which words an item has.
 
     An item's anchors are its rarest words, so many that a common subsequence of PARAPHRASE leaves `need` of
     them at least; `posted` and `holders` list the items of each term that is an anchor.
@@ -296,13 +275,20 @@ class Checks:
     def __init__(self, telling: np.ndarray, sequences: list[np.ndarray], answers: list[np.ndarray | None], seen: np.ndarray, idf: np.ndarray):
         self.telling, self.sequences, self.answers = telling, sequences, answers
         self.sizes = np.array([len(s) for s in sequences])
-        plain = np.array([np.count_nonzero(~telling[s]) for s in sequences])
-        self.least = np.ceil(PARAPHRASE * self.sizes - plain)
+        self.plain = np.array([np.count_nonzero(~telling[s]) for s in sequences])
         self.weights = [idf[s] - 1 for s in sequences]
+        self.idf = idf - 1
+        # Least weight in telling words that a paraphrase has of an item without an answer.
+        self.floor = np.array([TELLING_SHARE * w.sum() - w[~telling[s]].sum() for w, s in zip(self.weights, sequences, strict=True)])
+        self.floor[[a is not None for a in answers]] = 0
+        #: Times that an item has one of its telling words.
+        self.times = np.array([np.unique(s[telling[s]], return_counts=True)[1].max(initial=1) for s in sequences])
         self.scratch = np.zeros(len(telling) + 1, bool)
-        self.member = np.zeros((len(sequences), len(telling)), bool)
+        # Whether an item has a word, by a table of hashed pairs: true for all pairs there are, and for few others.
+        self.mask = (1 << max(12, (16 * int(self.sizes.sum())).bit_length())) - 1
+        self.pairs = np.zeros(self.mask + 1, bool)
         for k, s in enumerate(sequences):
-            self.member[k, s] = True
+            self.pairs[self.slot(k, s)] = True
         self.need = np.maximum(1, self.sizes // 8)
         kept = np.ceil(PARAPHRASE * self.sizes).astype(np.int64)
         anchors = [np.unique(s[np.argsort(seen[s], kind="stable")][: n - m + k]) for s, n, m, k in zip(sequences, self.sizes, kept, self.need, strict=True)]
@@ -310,6 +296,17 @@ class Checks:
         self.holders = holders[np.argsort(terms, kind="stable")]
         self.posted = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(telling)))])
 
+    def slot(self, item, term):
+        return (np.int64(0x9E3779B1) * item + np.int64(0x85EBCA6B) * term >> 7) & self.mask
+
+    def possible(self, item: np.ndarray, pair: np.ndarray, owner: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Whether the telling words (owner's item, pair, term) around each of some places are enough for a match at best."""
+        held = self.pairs[self.slot(owner, term)]
+        pair, term = pair[held], term[held]
+        n, weight = (np.bincount(pair, weights=w, minlength=len(item)) * self.times[item] for w in (None, self.idf[term]))
+        words, size = n + self.plain[item], self.sizes[item]
+        return (words >= COPY * size) | ((words >= PARAPHRASE * size) & (weight >= self.floor[item] - 1e-9))
+
     def open(self, item: int, around: np.ndarray) -> bool:
         """Whether the words alone, in any order, allow a match."""
         self.scratch[around] = True
@@ -414,8 +411,7 @@ def matches(ids, bounds, rows, queries, owners, checks: Checks):
         n = np.searchsorted(telling, end) - low
         pair = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        common = np.bincount(pair, weights=checks.member[item[pair], ids[telling[place]]], minlength=len(n))
-        for k in np.flatnonzero(common >= checks.least[item]):
+        for k in np.flatnonzero(checks.possible(item, pair, item[pair], ids[telling[place]])):
             own, around = checks.sequences[item[k]], ids[start[k] : end[k]]
             if not checks.open(item[k], around):
                 continue
