@@ -28,7 +28,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counted = [n(k).alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS)]
-    return out.select("doc_id", *counted, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    return out.select(
+        "doc_id", *counted, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
