@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import marked, materialize, without
+from loomfield.llm.common import materialize
 
 #: Kinds in their order. Quantifiers are possessive where nothing could be given back, and a match starts
 #: at the head of its run or at the end of the last match, so no text takes quadratic time.
@@ -138,10 +138,11 @@ def _classes(rows: DataFrame, name: str, count: str, of: str) -> DataFrame:
     return materialize(of_name.select(name, F.concat_ws(":", *[f"m{k}" for k in range(4)]).alias(of), F.col("m3").alias(count)))
 
 
-def disclosures(mentions: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+def disclosures(mentions: DataFrame, held: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(entity, of_entity), (term, of_term) and (of_entity, of_term, disclosure) of those at or over GENERALISE, if any.
 
-    `mentions` is (row, entity) without repeats, `texts` (row, text), both of `total` distinct texts. Entities that
+    `mentions` is (row, entity) without repeats, `held` (row, text) of their rows, `texts` all (row, text), each of
+    `total` distinct texts. Entities that
     are in the same texts are one class, and so are terms, so a list of very many makes no pair of each with each.
     """
     entities = mentions.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= LEAST_TEXTS)
@@ -154,8 +155,7 @@ def disclosures(mentions: DataFrame, texts: DataFrame, total: int) -> tuple[Data
     terms = texts.select(F.explode(F.transform(_terms(F.col("text")), lambda w: F.xxhash64(w))).alias("hash"))
     terms = terms.groupBy("hash").agg(F.count("*").alias("with_term"))
     terms = terms.where((F.col("with_term") >= LEAST_TEXTS) & (F.col("with_term") <= (total * most) ** 0.5 * (1 + 1e-9)))
-    wanted = materialize(known.select("row").distinct())
-    own = marked(texts, wanted, "row").where("_maybe").join(wanted, "row").select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    own = held.join(known.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
     own = materialize(own.withColumn("hash", F.xxhash64("term")).join(materialize(terms), "hash").select("row", "term", "with_term"))
     of_entity, of_term = _classes(known, "entity", "with_entity", "of_entity"), _classes(own, "term", "with_term", "of_term")
     left = known.select("row", "entity").join(of_entity, "entity").select("row", "of_entity", "with_entity").distinct()
@@ -173,17 +173,16 @@ def disclosures(mentions: DataFrame, texts: DataFrame, total: int) -> tuple[Data
     return None if strong.isEmpty() else (of_entity, of_term, strong)
 
 
-def _added(known: DataFrame, rows: DataFrame, of_entity: DataFrame, of_term: DataFrame, strong: DataFrame) -> DataFrame:
-    """(row, added): spans of the disclosing terms of rows (row, text), where no found span stands."""
+def _added(known: DataFrame, of_entity: DataFrame, of_term: DataFrame, strong: DataFrame) -> DataFrame:
+    """(row, added): spans of the disclosing terms of `known` (row, found, text), where no found span stands."""
     entity = F.explode(F.array_distinct(F.transform("found", _entity))).alias("entity")
     told = known.select("row", entity).join(of_entity, "entity").select("row", "of_entity").distinct().join(strong, "of_entity")
     told = told.groupBy("row", "of_term").agg(F.max("disclosure").alias("d")).join(of_term, "of_term").select("row", "term", "d")
     told = materialize(told)
-    wanted = materialize(told.select("row").distinct())
-    texts = marked(rows, wanted, "row").where("_maybe").join(wanted, "row").select("row", "text").dropDuplicates(["row"])
+    texts = known.join(told.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", "found", "text")
     all_terms = texts.select("row", F.explode(_found(F.col("text"), TERM, 0, lambda m: F.lit(True), F.lower)).alias("s")).select("row", "s.*")
     hits = all_terms.withColumnRenamed("value", "term").join(told, ["row", "term"]).select("row", "start", "end", "term", "d")
-    base = known.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", F.explode("found").alias("s"))
+    base = texts.select("row", F.explode("found").alias("s"))
     base = base.select("row", "s.start", "s.end", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("d"))
     # A text's spans in order: one overlaps if a found span before it ends after its start, or one behind it starts before its end.
     up_to = lambda *order: Window.partitionBy("row").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -210,20 +209,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), text).alias("row"), F.xxhash64(text).alias("digest"), text.alias("text"))
     known = rows.withColumns({"base": base_spans(F.col("text")), "secrets": secret_spans(F.col("text"))})
-    known = materialize(known.select("id", "row", "digest", "base", F.concat("base", "secrets").alias("found")))
+    found = F.concat("base", "secrets")
+    # The text goes along where it has an entity: nothing else is read of it later.
+    known = materialize(known.select("id", "row", "digest", "base", found.alias("found"), F.when(F.size(found) > 0, F.col("text")).alias("text")))
     # One row stands for each text.
-    first = known.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n"))
-    total = known.select("digest").distinct().count()
-    several = first.where("first < last").select("digest", "first")
+    first = known.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    total = first.count()
+    several = materialize(first.where("first < last").select("digest", "first"))
     copies = materialize(known.select("row", "digest").join(several, "digest").where("row > first").select("row").distinct())
-    mentions = without(known.select("row", "found"), copies, "row").where(F.size("found") > 0)
-    mentions = mentions.select("row", F.explode(F.array_distinct(F.transform("found", _entity))).alias("entity")).distinct()
-    strong = disclosures(mentions, without(rows.select("row", "text"), copies, "row"), total)
-    out = known
+    held = known.where(F.size("found") > 0)
+    once = held.join(copies, "row", "left_anti")
+    mentions = once.select("row", F.explode(F.array_distinct(F.transform("found", _entity))).alias("entity")).distinct()
+    strong = disclosures(mentions, once.dropDuplicates(["row"]).select("row", "text"), rows.select("row", "text").join(copies, "row", "left_anti"), total)
+    out = known.drop("text")
     if strong is None:
         out = out.withColumn("added", F.array().cast(_SPAN))
     else:
-        out = out.join(_added(known, rows.select("row", "text"), *strong), "row", "left")
+        out = out.join(_added(held, *strong), "row", "left")
     spans = F.array_sort(F.concat("found", F.coalesce("added", F.array().cast(_SPAN))))
     return out.select(F.col("id").alias(id_col), "row", "base", spans.alias("spans"))
 
