@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Suffixes and words by which paths are classed.
-TEST_PATH = r"(?i)(^|/)(tests?|specs?|__tests__|mocks?|stories|fixtures)(/|$)|[._-](test|spec|mock|stories)s?\.[a-z]+$|(^|/)test_[^/]*$"
-NOT_DEPLOYED = r"(?i)(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|uv\.lock|cargo\.lock|go\.sum)$|\.(lock|map|snap)$|\.min\.(js|css)$"
-GENERATED_FOLDERS = ("dist", "build", "node_modules", "vendor", "generated", "__generated__", "target", "out")
+#: Folders, endings and names of tests.
+TEST_FOLDERS = ("test", "tests", "__tests__", "spec", "specs", "__mocks__", "mock", "mocks", "fixture", "fixtures", "stories", "e2e")
+TEST_PATH = rf"(^|/)({'|'.join(TEST_FOLDERS)})/|[._-](test|spec|stories|mock)s?\.[a-z]+$|(^|/)test_[^/]+$|/docs?/schema/"
+#: Files and folders whose lines nobody wrote.
+LOCK_FILES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "uv.lock", "poetry.lock", "Gemfile.lock", "Cargo.lock", "composer.lock", "go.sum",
+)
+BUILT_SUFFIXES = (".min.js", ".min.css", ".map")
+GENERATED_FOLDERS = ("dist", "build", "vendor", "third_party", "node_modules", "out", "target", ".venv")
 BOT = r"(?i)\[bot\]|(^|[^a-z])(dependabot|renovate|github-actions|codecov|greenkeeper|snyk-bot)([^a-z]|$)|-bot$"
+#: What looks like a ticket's prefix and is none.
 NOT_TICKETS = (
-    "UTF ISO SHA HTTP HTTPS TLS SSL RFC ES MD MP PDF CSV JSON API UTC GMT ASCII ARM X IPV IPV6 AES RSA SHA256 OAUTH CVE "
-    "COVID H ISO8601 PEP CPU GPU RAM SSH DNS TCP UDP XML HTML CSS"
-).split()
+    "UTF", "ISO", "SHA", "HTTP", "HTTPS", "TLS", "SSL", "RFC", "ES", "MD", "MP", "PDF", "CSV", "JSON", "API", "UTC", "GMT", "ASCII", "ARM", "X",
+    "IPV", "IPV6", "AES", "RSA", "SHA256", "OAUTH", "CVE", "COVID", "H", "ISO8601", "PEP", "CPU", "GPU", "RAM", "SSH", "DNS", "TCP", "UDP", "XML",
+    "HTML", "CSS",
+)
+#: Mail hosts that anybody can have an address at, hosts that tools fill in, and their endings.
+PUBLIC_MAIL = (
+    "gmail.com", "googlemail.com", "hotmail.com", "outlook.com", "live.com", "msn.com", "yahoo.com", "icloud.com", "me.com", "mac.com", "proton.me",
+    "protonmail.com", "aol.com", "gmx.com", "gmx.de", "hey.com", "fastmail.com", "pm.me", "yandex.ru", "mail.com", "qq.com", "163.com",
+)
+PLACEHOLDER_HOSTS = ("example.com", "example.org", "example.net", "localhost", "none", "(none)", "test.com", "email.com", "domain.com")
+PLACEHOLDER_ENDS = (".local", ".localdomain", ".invalid", ".example")
+NOREPLY_HOST = "users.noreply.github.com"
 
 
 def words(text: Column) -> Column:
@@ -130,8 +145,13 @@ def is_test_path(path: Column) -> Column:
 
 
 def is_deployed(path: Column) -> Column:
-    """A path whose lines count as deployed: no lock, minified or generated file."""
-    return ~path.rlike(NOT_DEPLOYED) & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(f) for f in GENERATED_FOLDERS]))
+    """A path whose lines count as deployed: no lock or built file, and in no generated folder."""
+    parts = F.split(path, "/")
+    built = F.lit(False)
+    for suffix in BUILT_SUFFIXES:
+        built = built | path.endswith(suffix)
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return ~(built | F.element_at(parts, -1).isin(*LOCK_FILES) | F.arrays_overlap(folders, F.array(*[F.lit(f) for f in GENERATED_FOLDERS])))
 
 
 def written_source(text: Column, mean: int = 120, long: int = 500, share: float = 0.01) -> Column:
@@ -141,10 +161,12 @@ def written_source(text: Column, mean: int = 120, long: int = 500, share: float
 
 
 def mail_class(mail: Column) -> Column:
-    """placeholder, personal or work."""
-    host = F.lower(F.substring_index(mail, "@", -1))
-    free = host.isin("gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "me.com", "proton.me", "protonmail.com")
-    return F.when(~mail.contains("@") | F.lower(mail).rlike(r"noreply|no-reply|@localhost$|\.local$|@example\."), "placeholder").when(free, "personal").otherwise("work")
+    """placeholder, noreply, personal or work; an address without a host is a placeholder."""
+    host = F.when(mail.contains("@"), F.lower(F.substring_index(mail, "@", -1))).otherwise("")
+    filled = host.isin("", *PLACEHOLDER_HOSTS)
+    for end in PLACEHOLDER_ENDS:
+        filled = filled | host.endswith(end)
+    return F.when(filled, "placeholder").when(host == NOREPLY_HOST, "noreply").when(host.isin(*PUBLIC_MAIL), "personal").otherwise("work")
 
 
 def fold(name: Column) -> Column:

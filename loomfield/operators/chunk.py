@@ -17,7 +17,7 @@ STOP = frozenset(
     "doing done down during each few for from further get got had has have having her here hers him his how into its itself just let "
     "like make more most much must myself need new not now off once only other our ours out over own same she should some such than "
     "that the their theirs them then there these they this those through too under until very was were what when where which while "
-    "who whom why will with would yes you your yours let's dont don't it's i'm i'll okay thanks sure look see use using used one".split()
+    "who whom why will with would yes you your yours lets let's dont don't it's i'm i'll ok okay thanks sure look see use using used one".split()
 )
 SHIFT, MIN_EXCHANGES, MIN_WORDS = 0.12, 2, 4
 

@@ -72,14 +72,18 @@ def rare_terms(frequency: DataFrame, terms: list[str], rows: int, share: float =
     return rare.where(F.col("rare") | (~F.col("any") & (F.col("place") <= keep))).select("term", "df")
 
 
+def similarities(vectors: DataFrame, query: list[float], id_col: str, vec_col: str, *keep: str) -> DataFrame:
+    """(id, keep ..., sim) of every vector with one query vector; a projection, nothing is shuffled or sorted."""
+    return vectors.select(id_col, *keep, F.round(dot(F.col(vec_col), F.array(*[F.lit(float(x)) for x in query])), 6).alias("sim"))
+
+
 def nearest(vectors: DataFrame, query: list[float], id_col: str, vec_col: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(id, sim) of the k vectors nearest to one query vector, exact, with ties by id.
 
     `allowed` restricts to its ids; None means no restriction and an empty table none at all.
     """
     rows = vectors if allowed is None else vectors.join(allowed.select(id_col), id_col, "left_semi")
-    sims = rows.select(id_col, F.round(dot(F.col(vec_col), F.array(*[F.lit(float(x)) for x in query])), 6).alias("sim"))
-    return sims.orderBy(F.desc("sim"), id_col).limit(k)
+    return similarities(rows, query, id_col, vec_col).orderBy(F.desc("sim"), id_col).limit(k)
 
 
 def similar(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:

@@ -25,7 +25,7 @@ def _now() -> Column:
 def code_rank(spark, sf):
     from loomfield.plans.q_search import _vector
 
-    sims = search.nearest(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", 1 << 30).withColumnRenamed("vec_id", "doc_id")
+    sims = search.similarities(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
     bm = ((F.length("text") - F.length(F.replace(F.lower("text"), F.lit("of the"), F.lit("")))) / 6).alias("bm")
     rows = corpus(spark, sf).join(sims, "doc_id").select("doc_id", "text", "path", "sim", bm)
     return search.code_rank(rows, "doc_id", phrase="of the", name="thing").select("doc_id", F.round("rank_score", 4).alias("rank_score"))

@@ -259,8 +259,7 @@ def goal_edges(spark, sf):
 def territory(spark, sf):
     from loomfield.plans.q_search import _vector
 
-    e = table(spark, sf, "embeddings")
-    sims = search.nearest(e, _vector(spark, sf), "vec_id", "embedding", 1 << 30).join(e.select("vec_id", "label"), "vec_id")
+    sims = search.similarities(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", "label")
     m = sims.groupBy("label").agg(F.max("sim").alias("near"), F.avg("sim").alias("mean"))
     return search.standardise(m, "near", "mean").select("label", F.round(0.55 * F.col("z_near") + 0.45 * F.col("z_mean"), 4).alias("interest"))
 

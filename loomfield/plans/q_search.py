@@ -187,7 +187,7 @@ def z_score(spark, sf):
         UNION ALL SELECT doc_id, 'k', row_number() OVER (ORDER BY round(s, 6) DESC, doc_id) FROM bm)
     SELECT doc_id, round(sum(CASE source WHEN 'k' THEN 0.3 ELSE 1 END / (60 + r)), 8) AS rrf FROM l GROUP BY doc_id""")
 def rrf(spark, sf):
-    rows = search.nearest(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", 1 << 30).withColumnRenamed("vec_id", "doc_id")
+    rows = search.similarities(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
     lexical = _bm25(spark, sf).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm"))
     place = lambda r, c, s: search.global_rank(r.select("doc_id", c), "rank", F.desc(c), F.col("doc_id")).select("doc_id", F.lit(s).alias("source"), "rank")
     ranked = place(rows, "sim", "d").unionByName(place(lexical, "bm", "k"))
@@ -202,8 +202,7 @@ def best(spark, sf):
 @query("w02_best_preferring_main", """SELECT label AS file, arg_max(vec_id, (CASE WHEN vec_id % 2 = 0 THEN 10 ELSE 0 END) + sim * 1.0 - vec_id * 1e-9) AS vec_id
     FROM (SELECT *, {sim} AS sim FROM embeddings, {qv}) GROUP BY label""".format(sim=_SIM, qv=_QV))
 def best_main(spark, sf):
-    sims = search.nearest(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", 1 << 30)
-    rows = table(spark, sf, "embeddings").select("vec_id", "label").join(sims, "vec_id")
+    rows = search.similarities(table(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", "label")
     return rows.groupBy(F.col("label").alias("file")).agg(F.max_by("vec_id", F.struct(F.col("vec_id") % 2 == 0, "sim", -F.col("vec_id"))).alias("vec_id"))
 
 

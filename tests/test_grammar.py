@@ -4,6 +4,7 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
 from loomfield.plans.grammar import Fields, parse, predicate, when
@@ -58,3 +59,28 @@ def test_filters_reach_the_scan(spark):
 )
 def test_globs(path, glob, hit):
     assert bool(re.match(tx.glob_regex(glob), path)) == hit
+
+
+@pytest.mark.parametrize(
+    "path, deployed, test",
+    [
+        ("web/dist/app.js", False, False), ("dist", True, False), ("a/.venv/x.py", False, False), ("third_party/x.c", False, False), ("Gemfile.lock", False, False),
+        ("x/composer.lock", False, False), ("my.lock", True, False), ("a/app.min.css", False, False), ("a/app.js.map", False, False), ("generated/x.py", True, False),
+        ("e2e/login.ts", True, True), ("src/__mocks__/db.js", True, True), ("a/docs/schema/x.json", True, True), ("a/b.spec.ts", True, True), ("test_a.py", True, True),
+        ("src/attest/a.py", True, False), ("tests", True, False),
+    ],
+)
+def test_path_classes(spark, path, deployed, test):
+    row = spark.createDataFrame([(path,)], "p string").select(tx.is_deployed(F.col("p")), tx.is_test_path(F.col("p"))).first()
+    assert tuple(row) == (deployed, test)
+
+
+@pytest.mark.parametrize(
+    "mail, kind",
+    [
+        ("a@Gmail.com", "personal"), ("a@163.com", "personal"), ("1+a@users.noreply.github.com", "noreply"), ("a@acme.io", "work"), ("noreply@acme.io", "work"),
+        ("a@box.local", "placeholder"), ("you@example.com", "placeholder"), ("a@(none)", "placeholder"), ("a", "placeholder"), ("a@test.example", "placeholder"),
+    ],
+)
+def test_mail_classes(spark, mail, kind):
+    assert spark.createDataFrame([(mail,)], "m string").select(tx.mail_class(F.col("m"))).first()[0] == kind
