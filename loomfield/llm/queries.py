@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, decontaminate, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
+from loomfield.llm import byte_bpe, decontaminate, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
 from loomfield.llm.common import give_back, remainder
 from loomfield.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
 def quality_model(docs: DataFrame, labels: DataFrame):
@@ -84,6 +85,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep={"held_out": remainder("doc_id", 5) == 0})
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op13_packing": op13_packing,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": """
