@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, decontaminate, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
+from loomfield.llm import byte_bpe, decontaminate, divergence, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
 from loomfield.llm.common import give_back, remainder
 from loomfield.session import table
 
@@ -85,6 +85,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep={"held_out": remainder("doc_id", 5) == 0})
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
@@ -101,6 +105,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op12_source_divergence": op12_source_divergence,
     "op13_packing": op13_packing,
 }
 ORACLES: dict[str, str] = {
@@ -133,4 +138,37 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id <> last THEN last END AS refers_to
         FROM grouped
     """,
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term FROM (SELECT DISTINCT r, lang, term FROM w) GROUP BY lang, term HAVING count(*) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT gn.lang, gn.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p
+            FROM gn JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), ln AS (SELECT lang, sum(total)::HUGEINT AS total FROM gn GROUP BY lang),
+        lp AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n)::HUGEINT + 1) // (any_value(total) + any_value(v)) AS q
+            FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+                FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ), term AS (
+            SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+            FROM p JOIN lp USING (lang, term) WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+            FROM (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term)
+        ) SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
