@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, decontaminate, divergence, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, warc
+from loomfield.llm import byte_bpe, decontaminate, divergence, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, repeats, simhash, suffix_dedup, warc
 from loomfield.llm.common import give_back, remainder
 from loomfield.session import table
 
@@ -85,6 +85,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep={"held_out": remainder("doc_id", 5) == 0})
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents with planted runs; see repeats.with_planted_runs."""
+    out = repeats.find_runs(repeats.with_planted_runs(table(spark, sf_dir, "documents")))
+    best = repeats.strongest(F.col("runs"))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.call_function("div", 1000 * F.col("best.length"), F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -105,6 +117,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
     "op13_packing": op13_packing,
 }
