@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,23 +35,36 @@ LENGTH = 2048
 #: Tokens of a window of the mixture: 32 sequences.
 WINDOW = 32 * LENGTH
 #: Bytes of text that are encoded at once, and encoded words that a worker remembers.
-BLOCK, REMEMBERED = 1 << 22, 1 << 19
+BLOCK, REMEMBERED = 1 << 23, 1 << 20
 #: Windows whose tokens are summed in one step of the running total.
 FAN = 1024
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
+# Kinds of bytes: 1 letters, 2 digits, 3 other visible ASCII, 4 blanks, 0 the rest.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[[0x20, *range(0x09, 0x0E)]] = 4
 _LETTER_LEAD = np.zeros(256, bool)  # two-byte characters of these leads are never white space
 _LETTER_LEAD[0xC3:0xE0] = True
 
 
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether a text may be cut before each byte."""
+    kind = _KIND[raw]
+    before, here = kind[:-1], kind[1:]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = (before != here) & (before > 0) & (before < 4) & (here > 0) & ~((raw[:-1] == 0x27) & (here == 1))
+    cut[2:] |= (kind[2:] == 4) & _LETTER_LEAD[raw[:-2]] & (raw[1:-1] >= 0x80)
+    return cut
+
+
 class Encoder:
     """Ids of texts by a local tokenizer file, each distinct word encoded once.
 
-    The splitting pattern ends a match before each run of white space and looks back at nothing, so a text may be cut there. A cut
-    is made before an ASCII blank whose predecessor is surely no white space.
+    The splitting pattern looks back at nothing and ends a match before each run of white space, and between ASCII letters, digits
+    and other visible characters, but for an apostrophe before letters. So a text may be cut there: before a blank whose
+    predecessor is surely no white space, and between two of these kinds.
     """
 
     def __init__(self, path: str):
@@ -61,39 +76,41 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.flat, self.held = [0], [np.zeros(0, np.uint32)], 0
+        self.known = pa.array([], pa.string())
+        self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _ranks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word the place and the number of its ids in the third array."""
-        if len(self.known) > REMEMBERED or self.held > 8 * REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
             self._forget()
-        new = [w for w in words if w not in self.known]
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(place.is_null())
         for at in range(0, len(new), 4096):
-            for word, got in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, np.uint32)
-                self.known[word] = len(self.first) - 1
-                self.flat.append(ids)
-                self.held += len(ids)
-                self.first.append(self.held)
-        self.flat = [np.concatenate(self.flat)]
-        first = np.array(self.first, np.int64)
-        code = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        return first[code], first[code + 1] - first[code], self.flat[0]
+            some = new.slice(at, 4096)
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+            self.count = np.append(self.count, np.fromiter(map(len, ids), np.int64, len(ids)))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32))
+        if len(new):
+            self.known = pa.concat_arrays([self.known, new])
+            place = pc.index_in(words, value_set=self.known)
+        place = np.asarray(place)
+        return (np.cumsum(self.count) - self.count)[place], self.count[place], self.flat
 
     def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows that `bounds` cut from UTF-8 bytes, end to end, and the rows' bounds in ids."""
-        cut = np.flatnonzero(_BLANK[raw[2:]] & (_VISIBLE[raw[1:-1]] | (_LETTER_LEAD[raw[:-2]] & (raw[1:-1] >= 0x80)))) + 2
-        start = np.union1d(cut, bounds[:-1][bounds[1:] > bounds[:-1]])
-        if not len(start):
+        if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        ends = pa.array(np.append(start, len(raw)), pa.int32())
+        cut = _cuts(raw)
+        cut[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+        start = np.flatnonzero(cut)
+        ends = pa.array(np.append(start, len(raw)).astype(np.int32))
         segments = pa.StringArray.from_buffers(len(start), ends.buffers()[1], pa.py_buffer(raw)).dictionary_encode()
-        first, count, flat = self._ranks(segments.dictionary.to_pylist())
+        first, count, flat = self._ids(segments.dictionary)
         word = np.asarray(segments.indices)
         n = count[word]
         total = np.concatenate([[0], np.cumsum(n)])
-        place = np.repeat(first[word] - total[:-1], n) + np.arange(total[-1])
+        place = np.repeat(first[word] - total[:-1], n)
+        place += np.arange(total[-1])
         return flat[place], total[np.searchsorted(start, bounds)]
 
     def rows(self, raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,12 +129,12 @@ class Encoder:
 
 
 def _safe_stop(raw: np.ndarray, at: int) -> int:
-    """The end of a part of about BLOCK bytes, before a blank after a visible ASCII character; the whole rest where there is none."""
+    """The end of a part of about BLOCK bytes, at a place where a text may be cut; the whole rest where there is none."""
     for stop in range(at + BLOCK, len(raw), BLOCK):
-        near = raw[stop - BLOCK + 1 : stop + 1]
-        cut = np.flatnonzero(_BLANK[near[1:]] & _VISIBLE[near[:-1]])
+        begin = stop - BLOCK + 1
+        cut = np.flatnonzero(_cuts(raw[begin - 1 : stop + 1]))
         if len(cut):
-            return stop - BLOCK + 2 + int(cut[-1])
+            return begin - 1 + int(cut[-1])
     return len(raw)
 
 
