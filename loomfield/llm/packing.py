@@ -138,10 +138,10 @@ def _safe_stop(raw: np.ndarray, at: int) -> int:
     return len(raw)
 
 
-def packets(docs: DataFrame, tokenizer_file: str, end_id: int, length: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def packets(docs: DataFrame, tokenizer_file: str, end_id: int, length: int, id_col: str, text_col: str, source_col: str, width: int = 4) -> DataFrame:
     """(part, at, queue, id_col, doc_tokens, start, length, before, ids): a packet is up to `length` ids of one document.
 
-    `part` and `at` name it; `before` counts the ids of the same queue ahead of it in the part. Ids are little-endian, 4 bytes each.
+    `part` and `at` name it; `before` counts the ids of the same queue ahead of it in the part. Ids are little-endian, `width` bytes each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"part int, at long, queue string, `{id_col}` {kind}, doc_tokens long, start long, length long, before long, ids binary"
@@ -157,7 +157,7 @@ def packets(docs: DataFrame, tokenizer_file: str, end_id: int, length: int, id_c
                 n_rows = len(ends) - 1
                 own = np.diff(ends) + 1
                 stop = ends[1:] + np.arange(1, n_rows + 1)
-                flat = np.full(len(ids) + n_rows, end_id, "<u4")
+                flat = np.full(len(ids) + n_rows, end_id, f"<u{width}")
                 body = np.ones(len(flat), bool)
                 body[stop - 1] = False
                 flat[body] = ids
@@ -171,7 +171,7 @@ def packets(docs: DataFrame, tokenizer_file: str, end_id: int, length: int, id_c
                 for k, (q, s) in enumerate(zip(queue.to_pylist(), size.tolist(), strict=True)):
                     before[k] = sent.get(q, 0)
                     sent[q] = sent.get(q, 0) + s
-                cut = pa.array(np.append(0, np.cumsum(size)) * 4, pa.int32())
+                cut = pa.array(np.append(0, np.cumsum(size)) * width, pa.int32())
                 binary = pa.Array.from_buffers(pa.binary(), len(of), [None, cut.buffers()[1], pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -186,6 +186,27 @@ def packets(docs: DataFrame, tokenizer_file: str, end_id: int, length: int, id_c
     return docs.select(F.col(id_col), queue.alias("queue"), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
+def id_width(tokenizer_file: str, end_id: int) -> int:
+    """Bytes that hold any id."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+
+def widened(rows: DataFrame, column: str, width: int) -> DataFrame:
+    """`rows` with the ids of the last column, `column`, in 4 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_buffer(batch.column(batch.num_columns - 1))
+            flat = np.frombuffer(data, f"<u{width}").astype("<u4")
+            ends = pa.array((bounds * (4 // width)).astype(np.int32))
+            wide = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends.buffers()[1], pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], wide], batch.schema.names)
+
+    return rows if width == 4 else rows.mapInArrow(tidy(run), rows.schema)
+
+
 def _ceil(a: Column, b: Column) -> Column:
     """The least whole number of at least a / b, exactly."""
     whole = lambda c: c.cast("decimal(38,0)")
@@ -242,7 +263,8 @@ def pack(
     an empty table gives no piece; other columns are not read. Sources may be hot: nothing is grouped by source alone but sums
     of partitions. Ids are written once and shuffled once. The order is that of the partitions of `docs`.
     """
-    held = materialize(packets(docs, tokenizer_file, end_id, length, id_col, text_col, source_col))
+    width = id_width(tokenizer_file, end_id)
+    held = materialize(packets(docs, tokenizer_file, end_id, length, id_col, text_col, source_col, width))
     runs = held.groupBy("part", "queue").agg(F.sum("length").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = materialize(runs.select("part", "queue", "n", ahead.alias("parts_ahead")))
@@ -274,7 +296,7 @@ def pack(
     in_tail = F.col("from") >= full * length
     sequence_start = F.when(in_tail, F.element_at(F.array(*[F.lit(t).cast("long") for t in tail]), F.greatest(of_tail, F.lit(0)) + 1)).otherwise(F.floor(F.col("from") / length) * length)
     skipped = F.col("from") - begin
-    return cut.select(
+    out = cut.select(
         id_col,
         F.when(F.col("queue") != "null", F.expr("substring(queue, 2)")).alias("source"),
         (F.col("start") + skipped).alias("start"),
@@ -283,5 +305,6 @@ def pack(
         F.when(in_tail, full + of_tail).otherwise(F.floor(F.col("from") / length)).cast("long").alias("sequence_id"),
         (F.col("from") - sequence_start).cast("long").alias("offset"),
         "window",
-        F.substring(F.col("ids"), (skipped * 4 + 1).cast("int"), (size * 4).cast("int")).alias("ids"),
+        F.substring(F.col("ids"), (skipped * width + 1).cast("int"), (size * width).cast("int")).alias("ids"),
     )
+    return widened(out, "ids", width)
