@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
 from loomfield.operators import cluster, linkage, people
+from loomfield.operators import identity as identities
 from loomfield.plans.registry import query
 from loomfield.session import table
 
@@ -54,10 +55,22 @@ def scores(spark, sf):
 
 @query("r02_resolve")
 def resolve(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 500).alias("block"))
-    a, b = c.select("block", F.col("c_custkey").alias("x")), c.select("block", F.col("c_custkey").alias("y"))
-    pairs = a.join(b, "block").where("x < y").select(F.col("block"), F.concat(F.lit("k"), "x").alias("a"), F.concat(F.lit("k"), "y").alias("b"), (0.5 + (F.col("x") * 7 + F.col("y") * 3) % 50 / 100.0).alias("score"), F.when(F.col("x") % 9 == 0, F.col("x").cast("string")).alias("ua"), F.when(F.col("y") % 9 == 0, F.col("y").cast("string")).alias("ub"))
-    return people.resolve(pairs)
+    """Customers as observations: a work mail or a chat account, a login and a name that a few share; neighbours by account balance as candidates."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.col("c_custkey").cast("string").alias("k"))
+    mail = F.concat(F.lit("email:u"), "k", F.when(F.col("c_custkey") % 4 == 0, "@gmail.com").otherwise(F.concat(F.lit("@n"), F.col("c_nationkey").cast("string"), F.lit(".io"))))
+    account = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("slack:S"), "k"))
+    name = F.concat(F.lit("name:p"), F.pmod(F.xxhash64("c_custkey"), F.lit(40)).cast("string"), F.lit(" n"), F.col("c_nationkey").cast("string"))
+    seen = c.select(F.col("c_custkey").alias("obs"), F.array_compact(F.array(mail, account, F.concat(F.lit("gh:h"), "k"), name)).alias("keys"))
+    next_one = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
+    near = c.select("k", *[F.lead("k", n).over(next_one).alias(f"k{n}") for n in (1, 2)]).select("k", F.explode(F.array("k1", "k2")).alias("other")).where("other IS NOT NULL")
+    score = F.lit(0.5) + F.pmod(F.xxhash64("k", "other"), F.lit(50)) / 100
+    candidates = near.select(F.concat(F.lit("gh:h"), "k").alias("a"), F.concat(F.lit("gh:h"), "other").alias("b"), score.alias("score"))
+    some = lambda n, what: c.where(F.col("c_custkey") % n == 0).select(what.alias("key"))
+    login = F.concat(F.lit("gh:h"), "k")
+    merge = c.where("c_custkey % 50 = 1").select(login.alias("a"), F.concat(F.lit("gh:h"), (F.col("c_custkey") + 1).cast("string")).alias("b"))
+    got = identities.resolve(seen, candidates, some(2, mail), some(97, login), merge, some(60, login))
+    refused = got.rejected.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("refused"))
+    return got.people.join(refused, "key", "left").fillna(0, ["refused"])
 
 
 @query("r05_teams")
