@@ -66,29 +66,6 @@ def join_nearest(new: DataFrame, centres: DataFrame, id_col: str, vec: str, grou
     return sims.groupBy(id_col).agg(F.max(F.struct("sim", (-F.col(group)).alias("g"))).alias("m")).select(id_col, (-F.col("m.g")).alias(group), F.col("m.sim").alias("sim"))
 
 
-def average_linkage(pairs: DataFrame, block: str, goal: float) -> DataFrame:
-    """(member, cluster): agglomerative average linkage over (block, a, b, sim) while the mean similarity reaches `goal`.
-
-    A block is a component of related items, one Arrow group; clusters are named by their least member.
-    """
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sims = {frozenset((a, b)): s for a, b, s in zip(frame["a"], frame["b"], frame["sim"], strict=True)}
-        groups = [(x,) for x in sorted({x for pair in sims for x in pair})]
-        mean = lambda p, q: sum(sims.get(frozenset((x, y)), 0.0) for x in p for y in q) / (len(p) * len(q))
-        while len(groups) > 1:
-            best, i, j = max((mean(p, q), -i, -j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
-            if best < goal:
-                break
-            joined = tuple(sorted(groups[-i] + groups[-j]))
-            groups = sorted([g for k, g in enumerate(groups) if k not in (-i, -j)] + [joined])
-        return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["member", "cluster"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.groupBy(block).applyInPandas(run, f"member {kind}, cluster {kind}")
-
-
 def twins(rows: DataFrame, queries: DataFrame, id_col: str, vec: str, text: str, k: int = 20, least: float = 0.9) -> DataFrame:
     """(query, id, ratio): of the k nearest rows of each query, those whose text is alike by matching blocks."""
     import difflib

@@ -1,15 +1,12 @@
-"""People: typed edges, closeness, identity candidates, greedy resolution, teams."""
+"""People: typed edges, closeness, identity candidates."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.numbers import half_life
 
-JOIN, MAYBE = 0.8, 0.55
-
 
 def edge_weights(acts: DataFrame, weights: dict[str, float], now: Column, days: float = 120) -> DataFrame:
     """(a, b, weight) of undirected acts (a, b, kind, n, last): sum of weight x log1p(n), halved every `days`; a missing time counts a quarter."""
@@ -39,71 +36,6 @@ def candidate_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.round(F.least(F.lit(0.99), total), 6))
 
 
-def resolve(candidates: DataFrame, groups: str = "block") -> DataFrame:
-    """(key, person): identities joined best-first from JOIN on, unless both sides hold different `unique` values.
-
-    Candidates are (block, a, b, score, ua, ub); a block is a component of possible matches, so it is
-    bounded by the people that could be one. Ties go by key.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        person: dict[str, str] = {}
-        unique: dict[str, set] = {}
-        for side, mark in (("a", "ua"), ("b", "ub")):
-            for key, u in zip(frame[side], frame[mark], strict=True):
-                person.setdefault(key, key)
-                unique.setdefault(key, set()).update([u] if isinstance(u, str) else [])
-
-        def root(key: str) -> str:
-            while person[key] != key:
-                key = person[key]
-            return key
-
-        for _, a, b in sorted(zip(-frame["score"], frame["a"], frame["b"], strict=True)):
-            x, y = sorted((root(a), root(b)))
-            if -_ >= JOIN and x != y and len(unique[x] | unique[y]) <= 1:
-                person[y] = x
-                unique[x] |= unique[y]
-        return pd.DataFrame({"key": list(person), "person": [root(k) for k in person]})
-
-    return candidates.groupBy(groups).applyInPandas(run, "key string, person string")
-
-
-def teams(similar: DataFrame, block: str = "block", neighbours: int = 6, least: float = 0.3, rounds: int = 15, most: int = 15) -> DataFrame:
-    """(member, team): label propagation over (block, a, b, sim); a team over `most` is split at a higher similarity."""
-
-    def label(edges: list[tuple], floor: float) -> dict:
-        near: dict = {}
-        for a, b, s in edges:
-            if s >= floor:
-                near.setdefault(a, []).append((s, b))
-                near.setdefault(b, []).append((s, a))
-        near = {k: sorted(v, key=lambda x: (-x[0], x[1]))[:neighbours] for k, v in near.items()}
-        team = {k: k for k in sorted({x for e in edges for x in e[:2]})}
-        for _ in range(rounds):
-            moved = False
-            for k in team:
-                votes: dict = {}
-                for s, other in near.get(k, []):
-                    votes[team[other]] = votes.get(team[other], 0) + s
-                if votes and (best := min(votes, key=lambda t: (-votes[t], t))) != team[k]:
-                    team[k], moved = best, True
-            if not moved:
-                break
-        return team
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        edges = sorted(zip(frame["a"], frame["b"], frame["sim"], strict=True))
-        team = label(edges, least)
-        for name in {t for t in team.values() if list(team.values()).count(t) > most}:
-            inner = [e for e in edges if team[e[0]] == name == team[e[1]]]
-            team |= label(inner, least + 0.15)
-        return pd.DataFrame({"member": list(team), "team": list(team.values())})
-
-    kind = similar.schema["a"].dataType.simpleString()
-    return similar.groupBy(block).applyInPandas(run, f"member {kind}, team {kind}")
-
-
 def ego(edges: DataFrame, me, top: int = 20) -> DataFrame:
     """(person, weight): who is tied to one person, the strongest first; ties by person."""
     mine = edges.where((F.col("a") == F.lit(me)) | (F.col("b") == F.lit(me)))

@@ -148,10 +148,14 @@ def join_nearest(spark, sf):
 
 @query("x51_average_linkage")
 def average_linkage(spark, sf):
+    """Users by how often they act with the same key on the same day; every fiftieth user and the next one are forced together."""
+    from loomfield.operators.agglomerate import average_linkage as linked
     from loomfield.operators.linkage import capped_pairs
 
-    pairs = capped_pairs(table(spark, sf, "conversations"), "conv_id", "role", 15)
-    return cluster.average_linkage(pairs.select(F.lit(0).alias("block"), "a", "b", (F.col("n") / 1000.0).alias("sim")), "block", 0.02)
+    e = table(spark, sf, "events").select("user_id", F.concat_ws(" ", F.to_date("ts").cast("string"), F.get_json_object("props", "$.k")).alias("met"))
+    pairs = capped_pairs(e, "met", "user_id", 15).select("a", "b", (F.col("n") / 8).alias("sim"))
+    forced = e.where("user_id % 50 = 1").select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b")).distinct()
+    return linked(pairs, 0.25, forced)
 
 
 @query("x49_twins")

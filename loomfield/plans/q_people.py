@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import text as tx
 from loomfield.operators import cluster, linkage, people
 from loomfield.operators import identity as identities
+from loomfield.operators import teams as work_teams
 from loomfield.plans.registry import query
 from loomfield.session import table
 
@@ -73,10 +74,38 @@ def resolve(spark, sf):
     return got.people.join(refused, "key", "left").fillna(0, ["refused"])
 
 
+def _work(spark, sf):
+    """Users' areas, channels and groups from events: two thirds of the events of a user are in areas of its crowd, the rest anywhere."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.col("user_id").alias("member"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    own = F.concat_ws("-", F.lit("a"), (F.col("member") % 12).cast("string"), (F.col("k") % 4).cast("string"))
+    anywhere = F.concat(F.lit("s"), (F.col("k") % 50).cast("string"))
+    areas = e.groupBy("member", F.when(F.col("event_id") % 3 != 0, own).otherwise(anywhere).alias("key")).agg(F.count("*").alias("n"))
+    channel = F.concat_ws("-", F.lit("c"), F.floor(F.col("member") / 20).cast("string"), "event_type")
+    channels = e.groupBy("member", channel.alias("key")).agg(F.count("*").alias("n"))
+    groups = e.where("member < 60").select("member", (F.col("member") % 9).alias("key")).distinct()
+    return areas, channels, groups
+
+
 @query("r05_teams")
 def teams(spark, sf):
-    pairs = linkage.capped_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 15)
-    return people.teams(pairs.select(F.lit(0).alias("block"), "a", "b", (F.col("n") / 2.0).alias("sim")))
+    areas, channels, groups = _work(spark, sf)
+    members = areas.select("member").distinct().withColumn("place", F.xxhash64("member"))
+    return work_teams.teams(members, work_teams.work_likeness(areas, channels, groups))
+
+
+@query("r06_work_likeness", """WITH e AS (SELECT event_id, event_type, user_id AS m, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+    own AS (SELECT 0 AS part, m, CASE WHEN event_id % 3 <> 0 THEN concat_ws('-', 'a', m % 12, k % 4) ELSE 's' || (k % 50) END AS key, count(*) AS n FROM e GROUP BY ALL
+        UNION ALL SELECT 1, m, concat_ws('-', 'c', m // 20, event_type), count(*) FROM e GROUP BY ALL),
+    df AS (SELECT part, key, count(*) AS df FROM own GROUP BY ALL), total AS (SELECT count(DISTINCT m) AS t FROM e),
+    w AS (SELECT part, m, key, ln(1 + n) * ln(1 + t / df) AS w FROM own JOIN df USING (part, key), total), norm AS (SELECT part, m, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+    dot AS (SELECT x.part, x.m AS a, y.m AS b, sum(x.w * y.w) AS d FROM w x JOIN w y ON x.part = y.part AND x.key = y.key AND x.m < y.m GROUP BY ALL),
+    cos AS (SELECT dot.part AS part, a, b, d / (na.norm * nb.norm) AS c FROM dot JOIN norm na ON na.part = dot.part AND na.m = a JOIN norm nb ON nb.part = dot.part AND nb.m = b),
+    pairs AS (SELECT a, b FROM cos UNION SELECT x.m, y.m FROM (SELECT DISTINCT m FROM e WHERE m < 60) x, (SELECT DISTINCT m FROM e WHERE m < 60) y WHERE x.m < y.m AND x.m % 9 = y.m % 9)
+    SELECT p.a, p.b, round((0.6 * coalesce(c0.c, 0) + 0.25 * coalesce(c1.c, 0) + CASE WHEN p.a < 60 AND p.b < 60 AND p.a % 9 = p.b % 9 THEN 0.15 ELSE 0 END)
+        / (0.85 + CASE WHEN p.a < 60 AND p.b < 60 THEN 0.15 ELSE 0 END), 6) AS sim
+    FROM pairs p LEFT JOIN cos c0 ON c0.part = 0 AND c0.a = p.a AND c0.b = p.b LEFT JOIN cos c1 ON c1.part = 1 AND c1.a = p.a AND c1.b = p.b""")
+def work_likeness(spark, sf):
+    return work_teams.work_likeness(*_work(spark, sf)).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("a28_shared_hosts", "SELECT host, n FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY host) WHERE n >= 3")

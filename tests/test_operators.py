@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfield.functions import numbers, text as tx
-from loomfield.operators import chunk, evaluate, insights, linkage, ownership, people, search, state
+from loomfield.operators import chunk, evaluate, insights, linkage, ownership, search, state
 
 
 def one(spark, column, **values):
@@ -161,18 +161,6 @@ def test_components_against_closure(spark):
     assert got == least
 
 
-def test_resolution_joins_best_first_and_respects_conflicts(spark):
-    rows = [(1, "a", "b", 0.9, "u1", None), (1, "b", "c", 0.85, None, "u2"), (1, "c", "d", 0.6, "u2", None)]
-    got = {r.key: r.person for r in people.resolve(spark.createDataFrame(rows, "block int, a string, b string, score double, ua string, ub string")).collect()}
-    assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
-
-
-def test_teams(spark):
-    edges = [(0, a, b, 0.9) for a, b in ((1, 2), (2, 3), (1, 3), (7, 8), (8, 9), (7, 9))] + [(0, 3, 7, 0.31)]
-    got = {r.member: r.team for r in people.teams(spark.createDataFrame(edges, "block int, a long, b long, sim double")).collect()}
-    assert got[1] == got[2] == got[3] != got[7] == got[8] == got[9]
-
-
 def test_expected_hits_and_mcnemar(spark):
     rows = spark.createDataFrame([("q", 5), ("q", 3), ("q", 3), ("q", 1)], "q string, n int")
     assert sorted(r.p for r in evaluate.expected_hit(rows, "q", "n", 2).collect()) == [0.0, 0.5, 0.5, 1.0]
