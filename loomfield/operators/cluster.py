@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions.numbers import dot
 from loomfield.functions.text import words
+from loomfield.operators.rounds import written
 
 
 def keywords(docs: DataFrame, group: str, text: Column, top: int = 6, most: float = 0.6) -> DataFrame:
@@ -32,6 +33,43 @@ def kmeans(rows: DataFrame, id_col: str, vec: str, k: int, seed: int = 3) -> Dat
     return found.join(F.broadcast(numbered.select("prediction", "cluster")), "prediction").select(id_col, "cluster")
 
 
+def silhouette(rows: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
+    """(id, label, silhouette) by cosine distance, exactly, without a pair of rows.
+
+    The distances of a unit vector to a cluster sum up to the cluster's size less the product with the cluster's sum of vectors, so
+    one sum a cluster is all that a row needs; the clusters (a few) travel as one row. A row alone in its cluster has 0.
+    """
+    norm = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = rows.withColumn("_norm", norm).select(id_col, label, F.transform(vec, lambda x: x.cast("double") / F.col("_norm")).alias("_u"))
+    parts = unit.select(label, F.posexplode("_u").alias("i", "x")).groupBy(label, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    sums = parts.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("v"))
+    all_sums = sums.agg(F.collect_list(F.struct(F.col(label).alias("of"), "n", "v")).alias("_sums"))
+    far = lambda c: c["n"] - F.aggregate(F.zip_with("_u", c["v"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    reach = F.transform("_sums", lambda c: F.struct(c["of"].alias("of"), c["n"].alias("n"), far(c).alias("d")))
+    known = unit.crossJoin(F.broadcast(all_sums)).select(id_col, label, reach.alias("r"))
+    mine = F.filter("r", lambda c: c["of"] == F.col(label))[0]
+    known = known.withColumns({"own": F.when(mine["n"] > 1, mine["d"] / (mine["n"] - 1)), "near": F.array_min(F.transform(F.filter("r", lambda c: c["of"] != F.col(label)), lambda c: c["d"] / c["n"]))})
+    score = (F.col("near") - F.col("own")) / F.greatest("own", "near")
+    return known.select(id_col, label, F.coalesce(score, F.lit(0.0)).alias("silhouette"))
+
+
+def choose_clusters(rows: DataFrame, id_col: str, vec: str, least: int = 4, most: int = 8) -> DataFrame:
+    """(id, cluster): k-means with the k of `least` to `most` (a third of the rows at most) that has the best mean silhouette.
+
+    Ties go to the smaller k. Fewer rows than twice `least`, or than three for each of `least` clusters, are one cluster. Each k is
+    one k-means and one pass of `silhouette`; clusters are numbered by size, the largest 0.
+    """
+    n = rows.count()
+    best, score = None, -1.0
+    if n >= 2 * least:
+        for k in range(least, min(most, n // 3) + 1):
+            found = written(kmeans(rows, id_col, vec, k))
+            mean = silhouette(rows.select(id_col, vec).join(found, id_col), id_col, vec, "cluster").agg(F.avg("silhouette")).first()[0]
+            if mean > score:
+                best, score = found, mean
+    return best if best is not None else rows.select(id_col, F.lit(0).alias("cluster"))
+
+
 def layout(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
     """(id, x, y, z): the first three principal components, scaled to a spread of one."""
     data = rows.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))

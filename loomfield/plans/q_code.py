@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomfield.operators import areas, branches
+from loomfield.functions import text as tx
+from loomfield.operators import areas, branches, cluster, definitions, names, shell
 from loomfield.plans.registry import query
 from loomfield.session import table
 
@@ -93,3 +94,91 @@ def area_vectors(spark, sf):
     files = areas.adaptive_areas(_tree(spark, sf).join(v, "doc_id"), least=0, share=0.0, levels=2).where("area <> '.'").withColumn("at", F.current_timestamp())
     out = areas.area_vectors(files, author="lang")
     return out.select("area", "n", F.round(F.col("centroid")[0], 6).alias("first"), F.col("owners")[0]["author"].alias("owner"))
+
+
+def shell_calls(spark, sf):
+    """Conversations as shell sessions: by number and turn a checkout, push, commit or pull request, the turn's text as message and result."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    k, t = F.col("conv_id").cast("string"), (F.col("conv_id") + F.col("turn")) % 8
+    say = F.regexp_replace(F.substring("text", 1, 40), "['\"]", "")
+    command = (
+        F.when(t == 0, F.concat(F.lit("cd /w/r"), F.col("conv_id") % 5, F.lit(" && git checkout -b feat/"), k))
+        .when(t == 1, F.concat(F.lit("git add . && git commit -m 'git push origin "), say, F.lit("'")))
+        .when(t == 2, F.lit("git push -u origin HEAD"))
+        .when(t == 3, F.concat(F.lit("git push origin HEAD:fix-"), k))
+        .when(t == 4, F.concat(F.lit('gh pr create --title "'), say, F.lit('"')))
+        .when(t == 5, F.concat(F.lit("gh pr merge "), k, F.when(F.col("conv_id") % 2 == 0, " --repo acme/site").otherwise("")))
+        .when(t == 6, F.concat(F.lit("git switch main; cat <<'EOF'\ngit push origin never\n"), "text", F.lit("\nEOF\n")))
+        .otherwise(F.concat(F.lit("git -C /x checkout old-"), k))
+    )
+    result = F.when(t == 4, F.concat(F.lit("done https://github.com/acme/r"), F.col("conv_id") % 5, F.lit("/pull/"), k)).when(F.col("conv_id") % 7 == 0, F.concat(F.lit("Error: "), "text")).otherwise(F.col("text"))
+    cwd = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 0), F.concat(F.lit("/w/r"), F.col("conv_id") % 5))
+    branch = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("rec-"), k))
+    calls = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), command.alias("command"), result.alias("result"), cwd.alias("cwd"), branch.alias("branch"))
+    origins = spark.range(4).select(F.concat(F.lit("/w/r"), "id").alias("folder"), F.concat(F.lit("acme/r"), "id").alias("repo"))
+    return calls, origins
+
+
+@query("g07_shell_edges")
+def shell_edges(spark, sf):
+    return shell.shell_edges(*shell_calls(spark, sf))
+
+
+def _vocabulary(spark, sf):
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tx.code_words(F.col("text")))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("df"))
+
+
+@query("g10_joined_names")
+def joined_names(spark, sf):
+    """Two words of each document, typed as one, with words of five documents or more as vocabulary."""
+    w = tx.code_words(F.col("text"))
+    d = table(spark, sf, "documents").select(F.lower(F.concat(F.get(w, F.lit(0)), F.get(w, F.lit(3)))).alias("name"))
+    return names.joined_names(d, _vocabulary(spark, sf).where("df >= 5"))
+
+
+@query("g09_fragments")
+def message_fragments(spark, sf):
+    """Turns of conversations as messages."""
+    c = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    return names.fragments(c, _vocabulary(spark, sf))
+
+
+def code_files(spark, sf):
+    """Documents as Python: a function for each line, every third decorated, long lines with a function inside, in classes by ten."""
+    line = F.split("text", "\n")
+    deep = lambda x: F.size(F.split(x, " ")) > 8
+    body = lambda x: F.concat(F.lit("    def f"), F.md5(x).substr(1, 6), F.lit("(self):\n"), F.when(deep(x), "        def inner():\n            return 1\n").otherwise(""), F.lit("        return 2\n"))
+    source = F.array_join(F.transform(line, lambda x, i: F.concat(F.when(i % 10 == 0, F.concat(F.lit("class C"), i, F.lit(":\n"))).otherwise(""), F.when(i % 3 == 0, "    @keep\n").otherwise(""), body(x), F.lit("\n"))), "")
+    d = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", F.lit("src"), "source", "lang", F.concat(F.when(F.col("doc_id") % 9 == 0, "test_").otherwise("m"), "doc_id", F.when(F.col("doc_id") % 7 == 0, ".txt").otherwise(".py"))).alias("path"), source.alias("text"))
+    return d
+
+
+@query("j10_enclosing")
+def enclosing(spark, sf):
+    """The definition around every fifth line of each file."""
+    files = code_files(spark, sf)
+    hits = files.select("path", F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")), F.lit(5))).alias("line"))
+    return definitions.enclosing(hits, definitions.definitions(files))
+
+
+@query("j10_siblings", """WITH f AS (SELECT 'src/' || source || '/' || lang AS folder, CASE WHEN doc_id % 9 = 0 THEN 'test_' ELSE 'm' END || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.txt' ELSE '.py' END AS entry FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY entry) AS r, count(*) OVER (PARTITION BY folder) AS n FROM f),
+    s AS (SELECT a.folder, a.entry, a.n, list(b.entry ORDER BY b.r) AS others FROM p a JOIN p b ON a.folder = b.folder AND a.entry <> b.entry AND b.r <= 9 GROUP BY ALL)
+    SELECT f.folder || '/' || f.entry AS path, coalesce(array_to_string(others[1:8], ' ') || CASE WHEN n > 9 THEN ' +' || (n - 9) || ' more' ELSE '' END, '') AS beside FROM f LEFT JOIN s USING (folder, entry)""")
+def siblings(spark, sf):
+    return definitions.siblings(code_files(spark, sf)).select("path", F.array_join("beside", " ").alias("beside"))
+
+
+@query("r07_silhouette", """WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(1 - list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))) AS total, count(*) AS n FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY ALL),
+    s AS (SELECT vec_id, label, max(CASE WHEN label = other THEN total / n END) AS own, min(CASE WHEN label <> other THEN total / n END) AS near FROM d GROUP BY ALL)
+    SELECT label, count(*) AS n, round(avg(CASE WHEN own IS NULL THEN 0 ELSE (near - own) / greatest(own, near) END), 6) AS silhouette FROM s GROUP BY label""")
+def silhouettes(spark, sf):
+    out = cluster.silhouette(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+@query("r07_choose_clusters")
+def choose_clusters(spark, sf):
+    return cluster.choose_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding")
