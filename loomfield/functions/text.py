@@ -14,7 +14,8 @@ LOCK_FILES = (
 )
 BUILT_SUFFIXES = (".min.js", ".min.css", ".map")
 GENERATED_FOLDERS = ("dist", "build", "vendor", "third_party", "node_modules", "out", "target", ".venv")
-BOT = r"(?i)\[bot\]|(^|[^a-z])(dependabot|renovate|github-actions|codecov|greenkeeper|snyk-bot)([^a-z]|$)|-bot$"
+#: Fixed pattern: names, mails and logins of bots and of programs that write along.
+BOT = r"(?i)\[bot\]|^(dependabot|renovate|github-actions)|noreply@anthropic\.com|^claude$|copilot|cursor ?agent|^codex$|openai|^github-|-bot$|^bot-|^noreply@github\.com$"
 #: What looks like a ticket's prefix and is none.
 NOT_TICKETS = (
     "UTF", "ISO", "SHA", "HTTP", "HTTPS", "TLS", "SSL", "RFC", "ES", "MD", "MP", "PDF", "CSV", "JSON", "API", "UTC", "GMT", "ASCII", "ARM", "X",

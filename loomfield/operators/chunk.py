@@ -46,6 +46,19 @@ def line_chunks(text: Column, size: int = 1500, soft: int = 700) -> Column:
     return F.filter(F.aggregate(lines, start, add, rest), lambda c: ~blank(c["body"]))
 
 
+def text_chunks(text: Column, size: int = 1500, cap: int = 0) -> Column:
+    """`line_chunks` that end at a blank line past two fifths of `size`; one over twice `size`, a very long line, is cut every `size`.
+
+    Pieces of a long line keep its line numbers, and what is left of it is up to twice `size` long. `cap` keeps the first chunks
+    (0: all), as the surveyed engine does for previews.
+    """
+    over = lambda c: F.greatest(F.ceil((F.char_length(c["body"]) - 2 * size) / size), F.lit(0)).cast("int")
+    piece = lambda c, j: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.when(j < over(c), F.substring(c["body"], j * size + 1, F.lit(size))).otherwise(F.substring(c["body"], j * size + 1, F.char_length(c["body"]))).alias("body"))
+    pieces = F.flatten(F.transform(line_chunks(text, size, size * 2 // 5), lambda c: F.transform(F.sequence(F.lit(0), over(c)), lambda j: piece(c, j))))
+    kept = F.filter(pieces, lambda c: c["body"].rlike(r"\S"))
+    return F.slice(kept, 1, cap) if cap else kept
+
+
 def explode_chunks(docs: DataFrame, id_col: str, chunks: Column) -> DataFrame:
     return docs.select(id_col, F.posexplode(chunks).alias("idx", "chunk")).select(id_col, "idx", "chunk.first", "chunk.last", "chunk.body")
 

@@ -79,3 +79,42 @@ def overlaps(vectors: DataFrame, key: str, vec: Column, top: int = 15) -> DataFr
 
     pairs = a.join(F.broadcast(b), (F.col("a") < F.col("b")) & ~F.col("b").startswith(F.concat("a", F.lit("/"))))
     return pairs.select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("sim")).orderBy(F.desc("sim"), "a", "b").limit(top)
+
+
+#: Depth and breadth from which on a person counts as deep or broad.
+DEEP = BROAD = 1.2
+
+
+def roles(work: DataFrame, now: Column) -> DataFrame:
+    """(person, level, depth, breadth, confidence) from what a person has done, each sign adding to depth or breadth.
+
+    `work` has person, owned_areas, blame (best share of an area's lines), owns (is a code owner), top_commits (in the best area),
+    first (first commit), repos and areas (with three commits or more), approved (people), approver_for, maintains, prs, reviews.
+    A lead is deep and broad, a domain expert deep, anyone else a contributor; no level where nothing was seen. Nulls count as 0.
+    """
+    n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+    def scale(value: Column, *steps: tuple[float, float]) -> Column:
+        """The points of the highest step that is reached; steps from the highest."""
+        out = F.lit(0.0)
+        for least, points in reversed(steps):
+            out = F.when(value >= least, points).otherwise(out)
+        return out
+
+    years = F.coalesce(F.date_diff(now, "first") / 365.25, F.lit(0.0))
+    deep = [
+        scale(n("owned_areas"), (3, 1.0), (1, 0.6)), scale(n("blame"), (0.25, 0.8), (0.1, 0.4)), scale(n("owns"), (1, 0.6)), scale(n("top_commits"), (30, 0.4)), scale(years, (4, 0.5), (2, 0.3)),
+    ]
+    spread = [scale(n("repos"), (5, 0.8), (3, 0.5)), scale(n("areas"), (20, 0.6), (10, 0.3))]
+    others = [scale(n("approved"), (5, 0.6), (3, 0.3)), scale(n("approver_for"), (3, 0.4)), scale(n("maintains"), (1, 0.4))]
+    depth, breadth = sum(deep), sum(spread) + sum(others)
+    said = sum((c > 0).cast("int") for c in [*deep, spread[0] + spread[1], *others])
+    acts = n("prs") + n("reviews")
+    sure = F.least(F.lit(0.7), 0.3 + 0.04 * said + F.least(F.lit(0.08), 0.02 * F.log2(1 + acts / 10)))
+    seen = (n("areas") + n("top_commits") + acts > 0) | F.col("first").isNotNull()
+    is_deep, is_broad = F.round(depth, 6) >= DEEP, F.round(breadth, 6) >= BROAD
+    level = F.when(is_deep & is_broad, "lead").when(is_deep, "domain expert").otherwise("contributor")
+    return work.select(
+        "person", F.when(seen, level).alias("level"), F.when(seen, F.round(depth, 1)).otherwise(0.0).alias("depth"), F.when(seen, F.round(breadth, 1)).otherwise(0.0).alias("breadth"),
+        F.when(seen, F.round(sure, 2)).otherwise(0.0).alias("confidence"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import numbers, text as tx
-from loomfield.operators import chunk, cluster, insights, search, state, work
+from loomfield.operators import chunk, cluster, insights, ownership, search, state, work
 from loomfield.plans.fixtures import CORPUS_SQL, OWNERS_SQL, corpus, owners
 from loomfield.plans.registry import query
 from loomfield.session import table
@@ -232,10 +232,35 @@ def merge_work(spark, sf):
     return owners(spark, sf).groupBy((F.col("author") % 10).alias("person")).agg(F.count_distinct("area").alias("areas"), F.sum("lines").alias("lines"), F.max("at").alias("last"))
 
 
-@query("a31_role", "WITH w AS (SELECT l_suppkey AS person, count(DISTINCT p_brand) AS areas, count(*) AS commits FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY person) SELECT person, CASE WHEN areas >= 20 AND commits >= 500 THEN 'lead' WHEN areas >= 10 THEN 'broad' ELSE 'focused' END AS role FROM w")
+@query("a31_role", """WITH w AS (SELECT l_suppkey AS person, p_brand AS area, left(p_brand, 7) AS repo, l_shipdate AS made, l_orderkey AS pr, l_quantity AS q, l_returnflag AS f, l_partkey % 40 AS who FROM lineitem JOIN part ON p_partkey = l_partkey),
+    a AS (SELECT person, area, repo, count(*) AS n, sum(q) AS q FROM w GROUP BY ALL), s AS (SELECT *, q / sum(q) OVER (PARTITION BY area) AS share, row_number() OVER (PARTITION BY area ORDER BY q DESC, person) AS r FROM a),
+    p AS (SELECT person, sum((r = 1)::INT) AS owned, max(share) AS blame, max(n) AS top, count(DISTINCT CASE WHEN n >= 3 THEN repo END) AS repos, sum((n >= 3)::INT) AS areas FROM s GROUP BY person),
+    o AS (SELECT person, min(made) AS first, count(DISTINCT pr) AS prs, sum((f = 'R')::INT) AS reviews, count(DISTINCT CASE WHEN f = 'R' THEN who END) AS approved FROM w GROUP BY person),
+    d AS (SELECT person, prs + reviews AS acts, [CASE WHEN owned >= 3 THEN 1.0 WHEN owned >= 1 THEN 0.6 ELSE 0 END, CASE WHEN blame >= 0.25 THEN 0.8 WHEN blame >= 0.1 THEN 0.4 ELSE 0 END, CASE WHEN person % 9 = 0 THEN 0.6 ELSE 0 END,
+        CASE WHEN top >= 30 THEN 0.4 ELSE 0 END, CASE WHEN y >= 4 THEN 0.5 WHEN y >= 2 THEN 0.3 ELSE 0 END] AS deep,
+        [CASE WHEN repos >= 5 THEN 0.8 WHEN repos >= 3 THEN 0.5 ELSE 0 END + CASE WHEN areas >= 20 THEN 0.6 WHEN areas >= 10 THEN 0.3 ELSE 0 END, CASE WHEN approved >= 5 THEN 0.6 WHEN approved >= 3 THEN 0.3 ELSE 0 END,
+        CASE WHEN person % 5 >= 3 THEN 0.4 ELSE 0 END, CASE WHEN person % 7 = 0 THEN 0.4 ELSE 0 END] AS broad
+        FROM (SELECT *, date_diff('day', first::DATE, DATE '1998-01-01') / 365.25 AS y FROM p JOIN o USING (person))),
+    t AS (SELECT *, list_sum(deep) AS depth, list_sum(broad) AS breadth, len(list_filter(deep || broad, lambda x: x > 0)) AS said FROM d)
+    SELECT person, CASE WHEN round(depth, 6) >= 1.2 AND round(breadth, 6) >= 1.2 THEN 'lead' WHEN round(depth, 6) >= 1.2 THEN 'domain expert' ELSE 'contributor' END AS level, round(depth::DOUBLE, 1) AS depth, round(breadth::DOUBLE, 1) AS breadth,
+        round(least(0.7, 0.3 + 0.04 * said + least(0.08, 0.02 * log2(1 + acts / 10)))::DOUBLE, 2) AS confidence FROM t""")
 def role(spark, sf):
-    w = owners(spark, sf).groupBy(F.col("author").alias("person")).agg(F.count_distinct("area").alias("areas"), F.count("*").alias("commits"))
-    return w.select("person", F.when((F.col("areas") >= 20) & (F.col("commits") >= 500), "lead").when(F.col("areas") >= 10, "broad").otherwise("focused").alias("role"))
+    """Suppliers as people: brands as areas of repositories, quantities as lines, orders as pull requests, returned lines as reviews of one of forty."""
+    w = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("person", F.col("l_suppkey"))
+    a = w.groupBy("person", F.col("p_brand").alias("area"), F.substring("p_brand", 1, 7).alias("repo")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    by_area = Window.partitionBy("area")
+    a = a.withColumns({"share": F.col("q") / F.sum("q").over(by_area), "r": F.row_number().over(by_area.orderBy(F.desc("q"), "person"))})
+    own = a.groupBy("person").agg(
+        F.sum((F.col("r") == 1).cast("int")).alias("owned_areas"), F.max("share").alias("blame"), F.max("n").alias("top_commits"),
+        F.count_distinct(F.when(F.col("n") >= 3, F.col("repo"))).alias("repos"), F.sum((F.col("n") >= 3).cast("int")).alias("areas"),
+    )
+    returned = F.col("l_returnflag") == "R"
+    acts = w.groupBy("person").agg(
+        F.min("l_shipdate").alias("first"), F.count_distinct("l_orderkey").alias("prs"), F.sum(returned.cast("int")).alias("reviews"), F.count_distinct(F.when(returned, F.col("l_partkey") % 40)).alias("approved"),
+    )
+    k = F.col("person")
+    work = own.join(acts, "person").withColumns({"owns": (k % 9 == 0).cast("int"), "approver_for": k % 5, "maintains": (k % 7 == 0).cast("int")})
+    return ownership.roles(work, F.to_timestamp(F.lit("1998-01-01")))
 
 
 @query("u07_topic_rematch", "WITH a AS (SELECT source, list(DISTINCT lang ORDER BY lang) AS x FROM documents GROUP BY source) SELECT a.source AS old, b.source AS new, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS jaccard FROM a JOIN a b ON a.source < b.source")

@@ -46,7 +46,10 @@ def chunks_cover(spark, sf):
 
 @query("g03_text_chunks")
 def text_chunks(spark, sf):
-    return chunk.explode_chunks(table(spark, sf, "documents"), "doc_id", chunk.line_chunks(F.col("text"), 1000, 400))
+    """Each document, and it again on one line, which is cut by length."""
+    d = table(spark, sf, "documents")
+    whole = d.unionByName(d.withColumns({"doc_id": -F.col("doc_id") - 1, "text": F.translate("text", "\n", " ")}))
+    return chunk.explode_chunks(whole, "doc_id", chunk.text_chunks(F.col("text")))
 
 
 @query("g05_segments")
@@ -124,9 +127,11 @@ def written(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.written_source(F.col("text")).alias("written"))
 
 
-@query("p16_bots", "SELECT c_custkey, false AS bot FROM customer")
+@query("p16_bots", "SELECT c_custkey, c_custkey % 6 IN (0, 1, 3, 5) AS bot FROM customer")
 def bots(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", tx.is_bot(F.col("c_name")).alias("bot"))
+    """Customers under six names in turn, of which four are bots'."""
+    name = F.element_at(F.array(*map(F.lit, ("dependabot-x", "Codex", "Sam Abbot", "bot-7", "Claude Botha", "ci-bot"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", tx.is_bot(name).alias("bot"))
 
 
 @query("p14_scope_contains", f"WITH {CORPUS_SQL} SELECT doc_id FROM corpus WHERE path = 'src/src1' OR starts_with(path, 'src/src1/') OR starts_with(path, 'src/src2/en/')")
