@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomfield.plans.registry import query
 from loomfield.session import table
-from loomfield.streaming import usage
+from loomfield.streaming import timers, usage
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
@@ -36,3 +36,12 @@ def last_wins(spark, sf):
     stream = _stream(spark, sf, "events").select("user_id", "event_id", "event_type")
     usage.run_last_wins(stream, ["user_id"], "event_id", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return usage.current(spark, f"{folder}/out")
+
+
+@query("t05_refreshes")
+def refreshes(spark, sf):
+    """Users' events as changes of their transcripts: read an hour after the last, six after the first, and a day apart at least."""
+    folder, hour = _folder(spark), 3_600_000
+    out = timers.refreshes(_stream(spark, sf, "events"), "user_id", "ts", hour, 6 * hour, 24 * hour)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(timers.REFRESH).parquet(f"{folder}/out")
