@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
-from loomfield.operators import cluster, linkage, people
+from loomfield.operators import cluster, linkage, org, people
 from loomfield.operators import identity as identities
 from loomfield.operators import teams as work_teams
 from loomfield.plans.registry import query
@@ -93,6 +93,21 @@ def teams(spark, sf):
     return work_teams.teams(members, work_teams.work_likeness(areas, channels, groups))
 
 
+@query("q13_org")
+def organisation(spark, sf):
+    """Users' teams and roles from events: crowds as repositories, purchases as approvals of the next user of the crowd."""
+    areas, channels, groups = _work(spark, sf)
+    areas = areas.withColumn("repo", F.coalesce(F.get(F.split("key", "-"), F.lit(1)), F.lit("shared")))
+    e = table(spark, sf, "events").withColumn("person", F.col("user_id"))
+    bought = e.where("event_type = 'purchase'")
+    approvals = bought.groupBy(F.col("person").alias("author"), ((F.col("person") + 12 * (F.col("event_id") % 3)) % 48).alias("approver")).agg(F.count("*").alias("n"))
+    share = e.groupBy("person").agg(F.count("*").alias("prs"), F.count_if(F.col("event_type") == "click").alias("reviews"), F.min("ts").cast("timestamp").alias("first"))
+    facts = share.select("person", (F.col("reviews") / F.col("prs") / 2).alias("blame"), (F.col("person") % 8 == 0).alias("owns"), (F.col("first") - F.expr("make_dt_interval(cast(person % 6 AS int) * 365)")).alias("first"), "prs", "reviews")
+    people_ = share.select("person", F.xxhash64("person").alias("place"))
+    got = org.infer(people_, areas, channels, groups.withColumn("maintains", F.col("member") % 4 == 0), approvals, facts, _now())
+    return got.people.join(got.teams.select("team", "name", "size"), "team", "left")
+
+
 @query("r06_work_likeness", """WITH e AS (SELECT event_id, event_type, user_id AS m, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
     own AS (SELECT 0 AS part, m, CASE WHEN event_id % 3 <> 0 THEN concat_ws('-', 'a', m % 12, k % 4) ELSE 's' || (k % 50) END AS key, count(*) AS n FROM e GROUP BY ALL
         UNION ALL SELECT 1, m, concat_ws('-', 'c', m // 20, event_type), count(*) FROM e GROUP BY ALL),
