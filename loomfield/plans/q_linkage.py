@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomfield.operators import evaluate, linkage
+from loomfield.operators import evaluate, linkage, tasks
 from loomfield.plans.registry import query
 from loomfield.session import table
 
@@ -49,3 +49,22 @@ def pair_scores(spark, sf):
     d = table(spark, sf, "documents").select(F.sha1(F.col("text").cast("binary")).alias("h"), "lang", "doc_id")
     pairs = d.select("h", F.col("doc_id").alias("a"), F.col("lang").alias("la")).join(d.select("h", F.col("doc_id").alias("b"), F.col("lang").alias("lb")), "h").where("a < b")
     return evaluate.pair_scores(pairs, pairs.where("la = lb AND la = 'en'"), ["a", "b"])
+
+
+@query("q14_tasks")
+def work_tasks(spark, sf):
+    """Orders as sessions, customers as tickets, suppliers as branches, parts as files, conversations as collected items."""
+    o = table(spark, sf, "orders")
+    k, at = F.col("o_orderkey"), F.unix_timestamp("o_orderdate")
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    first = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("supplier"))
+    o = o.join(first, "o_orderkey", "left")
+    branch = F.when(k % 4 == 0, "main").when(k % 9 == 1, F.concat(F.lit("feat/cu-"), "o_custkey")).otherwise(F.concat(F.lit("s"), "supplier"))
+    title = F.concat_ws(" ", F.when(k % 7 == 0, F.concat(F.lit("CU-"), "o_custkey")), F.lit("work on"), F.concat(F.lit("part"), F.col("o_custkey") % 500), F.concat(F.lit("status"), F.col("o_orderstatus")))
+    sessions = o.select(k.alias("id"), F.concat(F.lit("/r"), F.col("o_custkey") % 10).alias("repo"), branch.alias("branch"), title.alias("title"), at.alias("started"), (at + 3600).alias("updated"))
+    said = o.where(k % 3 == 0).select(k.alias("id"), F.concat(F.lit("CU-"), "o_custkey").alias("key"), F.lit(2).alias("n"))
+    edits = line.where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("path"))
+    commits = o.where(k % 11 == 0).select(F.concat(F.lit("/r"), F.col("o_custkey") % 10).alias("repo"), F.concat(F.lit("c"), k).alias("sha"), at.alias("at"), F.concat(F.lit("CU-"), "o_custkey", F.lit(": fix")).alias("subject"), (k % 2 == 0).alias("mine"))
+    c = table(spark, sf, "customer")
+    items = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("CU-"), "c_custkey")).alias("key"), F.lit(None).cast("string").alias("branch"), F.col("c_name").alias("title"), F.concat(F.lit("see CU-"), F.col("c_custkey") + 1, F.lit(" and XX-1")).alias("text"), F.lit(0).cast("long").alias("at"), (F.col("c_custkey") % 10 == 0).alias("pr"), (F.col("c_custkey") % 2 == 0).alias("mine"))
+    return tasks.group_work(sessions, said, edits, commits, items).cards
