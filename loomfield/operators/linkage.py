@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUNDS = 64
@@ -62,3 +62,36 @@ def file_kin(edits: DataFrame, session: str, file: str, least: float = 0.25, cap
     out = both.join(total.withColumnsRenamed({"s": "a", "t": "ta"}), "a").join(total.withColumnsRenamed({"s": "b", "t": "tb"}), "b")
     sim = F.col("both") / (F.col("ta") + F.col("tb") - F.col("both"))
     return out.select("a", "b", F.round(sim, 6).alias("sim")).where(F.col("sim") >= least)
+
+
+def band_pairs(rows: DataFrame, item: str, by: str, at: str, width: int) -> DataFrame:
+    """(a, b), a < b: items with equal `by` whose whole numbers `at` are up to `width` apart.
+
+    Joined on `by` and stretches of `width`, each row with its own stretch and the next: what a key costs grows with the pairs that
+    are near, not with the square of its rows.
+    """
+    slot = F.floor(F.col(at) / width)
+    own = rows.select(F.col(by).alias("k"), F.col(item).alias("i"), F.col(at).alias("t"), slot.alias("slot"))
+    early = own.select("k", F.col("i").alias("x"), F.col("t").alias("tx"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("slot").alias("from"))
+    late = own.select("k", F.col("i").alias("y"), F.col("t").alias("ty"), "slot")
+    near = early.join(late, ["k", "slot"]).where((F.col("ty") - F.col("tx")).between(0, width) & ((F.col("slot") > F.col("from")) | (F.col("ty") > F.col("tx")) | (F.col("x") < F.col("y"))))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+
+
+def alike_sets(rows: DataFrame, item: str, members: str, share: float = 0.5) -> DataFrame:
+    """(a, b), a < b: items whose arrays of distinct members share `share` of all their members or more.
+
+    With n members, two such sets share one of the n - ceil(share x n) + 1 that are rarest overall; only these are joined, so a
+    member that very many have is in a join only for sets that have little else.
+    """
+    own = rows.select(F.col(item).alias("i"), F.col(members).alias("ws")).where(F.size("ws") > 0)
+    each = own.select("i", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    ranked = each.join(each.groupBy("w").agg(F.count("*").alias("df")), "w")
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("df", "w")))
+    rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("i", "n", "w")
+    other = rare.select(F.col("i").alias("b"), F.col("n").alias("m"), "w")
+    sized = F.least("n", "m") >= share * F.greatest("n", "m")
+    pairs = rare.withColumnRenamed("i", "a").join(other, "w").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    held = lambda c: own.select(F.col("i").alias(c), F.col("ws").alias(f"{c}_ws"))
+    both = pairs.join(held("a"), "a").join(held("b"), "b")
+    return both.where(F.size(F.array_intersect("a_ws", "b_ws")) >= share * F.size(F.array_union("a_ws", "b_ws"))).select("a", "b")

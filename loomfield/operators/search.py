@@ -95,10 +95,14 @@ def similar(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k
     return ranked.where(F.col("rank") <= k)
 
 
-def z(column: str, partition: list[str]) -> Column:
-    """Population z-score within groups."""
-    over = Window.partitionBy(*partition)
-    return (F.col(column) - F.avg(column).over(over)) / (F.stddev_pop(column).over(over) + 1e-9)
+def z(rows: DataFrame, column: str, group: str) -> DataFrame:
+    """`rows` with `z`, the population z-score of a column within groups; null where the value is.
+
+    Moments are aggregated by group before they are shuffled, and joined back: a hot group's rows stay where they are.
+    """
+    moments = rows.groupBy(F.col(group).alias("_group")).agg(F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_spread"))
+    joined = rows.join(moments, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*rows.columns, ((F.col(column) - F.col("_mean")) / (F.col("_spread") + 1e-9)).alias("z"))
 
 
 def standardise(rows: DataFrame, *columns: str) -> DataFrame:

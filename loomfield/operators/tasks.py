@@ -138,7 +138,7 @@ def group_work(sessions: DataFrame, said: DataFrame, edits: DataFrame, commits:
     edges = on_branch
     for more in (on_key, names, pairs, committed, opened, own_key, in_text, alone):
         edges = edges.union(more)
-    members = written(group(edges).select(F.col("component").alias("task"), "node"))
+    members = written(group(written(edges.distinct())).select(F.col("component").alias("task"), "node"))
 
     kind, name = F.substring("node", 1, 1), F.expr("substring(node, 3)")
     facts = members.select("task", "node", kind.alias("kind"), name.alias("name"))

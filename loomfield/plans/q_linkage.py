@@ -60,7 +60,7 @@ def work_tasks(spark, sf):
     first = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("supplier"))
     o = o.join(first, "o_orderkey", "left")
     branch = F.when(k % 4 == 0, "main").when(k % 9 == 1, F.concat(F.lit("feat/cu-"), "o_custkey")).otherwise(F.concat(F.lit("s"), "supplier"))
-    title = F.concat_ws(" ", F.when(k % 7 == 0, F.concat(F.lit("CU-"), "o_custkey")), F.lit("work on"), F.concat(F.lit("part"), F.col("o_custkey") % 500), F.concat(F.lit("status"), F.col("o_orderstatus")))
+    title = F.concat_ws(" ", F.when(k % 7 == 0, F.concat(F.lit("CU-"), "o_custkey")), F.lit("work on"), F.concat(F.lit("part"), F.col("o_custkey") % 500), F.concat(F.lit("crowd"), F.col("o_custkey") % 50))
     sessions = o.select(k.alias("id"), F.concat(F.lit("/r"), F.col("o_custkey") % 10).alias("repo"), branch.alias("branch"), title.alias("title"), at.alias("started"), (at + 3600).alias("updated"))
     said = o.where(k % 3 == 0).select(k.alias("id"), F.concat(F.lit("CU-"), "o_custkey").alias("key"), F.lit(2).alias("n"))
     edits = line.where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("path"))

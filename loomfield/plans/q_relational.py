@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomfield.operators import state
+from loomfield.operators import linkage, state
 from loomfield.plans.fixtures import CORPUS_SQL, corpus
 from loomfield.plans.registry import query
 from loomfield.session import table
@@ -78,9 +78,8 @@ def interval(spark, sf):
 
 @query("n17_band_self_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'purchase' AND a.event_id < b.event_id AND abs(epoch(a.ts) - epoch(b.ts)) <= 86400")
 def band(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'purchase'")
-    a, b = e.select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta")), e.select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("tb"))
-    return a.join(b, "user_id").where((F.col("a") < F.col("b")) & (F.abs(F.unix_micros(F.col("ta").cast("timestamp")) - F.unix_micros(F.col("tb").cast("timestamp"))) <= 86_400_000_000)).select("a", "b")
+    e = table(spark, sf, "events").where("event_type = 'purchase'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return linkage.band_pairs(e, "event_id", "user_id", "us", 86_400_000_000)
 
 
 @query("n18_half_of_words", """WITH w AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[\\p{L}\\p{N}]+')) AS w FROM pages), n AS (SELECT page_id, count(*) AS n FROM w GROUP BY page_id),
@@ -88,10 +87,7 @@ def band(spark, sf):
     SELECT a, b FROM c JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE 2 * common >= x.n + y.n - common""")
 def half_of_words(spark, sf):
     own = table(spark, sf, "pages").select("page_id", F.array_distinct(tx.words(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("ws"))
-    w = own.select("page_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    other = w.select(F.col("page_id").alias("b"), F.col("n").alias("nb"), "w")
-    pairs = w.withColumnsRenamed({"page_id": "a", "n": "na"}).join(other, "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return pairs.where("2 * both >= na + nb - both").select("a", "b")
+    return linkage.alike_sets(own, "page_id", "ws")
 
 
 @query("n19_reference_join", "SELECT l_partkey, o_custkey, min(o_orderkey) AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")

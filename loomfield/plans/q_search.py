@@ -179,7 +179,7 @@ def hybrid(spark, sf):
 
 @query("w03_z_score", "SELECT doc_id, lang, round((n_chars - avg(n_chars) OVER w) / (stddev_pop(n_chars) OVER w + 1e-9), 5) AS z FROM documents WINDOW w AS (PARTITION BY lang)")
 def z_score(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", F.round(search.z("n_chars", ["lang"]), 5).alias("z"))
+    return search.z(table(spark, sf, "documents"), "n_chars", "lang").select("doc_id", "lang", F.round("z", 5).alias("z"))
 
 
 @query("q21_rrf", f"""WITH {_BM25}, {_DENSE}, l AS (

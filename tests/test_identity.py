@@ -72,7 +72,7 @@ def frames(spark, observations, candidates, work, split, merge, me):
     )
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_same_as_one_by_one(spark, seed):
     rng = random.Random(seed)
     hosts = ["acme.io", "gmail.com", "corp.dev"]

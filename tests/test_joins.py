@@ -1,0 +1,32 @@
+"""Joins of near and alike rows against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import functions as F
+
+from loomfield.operators import linkage, search
+
+
+def test_band_pairs(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.choice(["u", "u", "v", None]), rng.choice([None, *range(-40, 60)])) for k in range(150)]
+    got = linkage.band_pairs(spark.createDataFrame(rows, "i int, k string, t int"), "i", "k", "t", 7)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and a[1] == b[1] and None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 7}
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+
+
+def test_alike_sets(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.sample("abcdefghij", rng.randint(0, 6)) + ["all"] * (k % 3 > 0)) for k in range(80)] + [(80, None)]
+    frame = spark.createDataFrame(rows, "i int, ws array<string>")
+    for share in (0.5, 0.75, 1.0):
+        want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and len({*x} & {*y}) >= share * len({*x} | {*y})}
+        assert sorted((r.a, r.b) for r in linkage.alike_sets(frame, "i", "ws", share).collect()) == sorted(want)
+
+
+def test_z_scores_of_groups(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0), (None, 5.0), ("b", None)]
+    got = search.z(spark.createDataFrame(rows, "g string, x double"), "x", "g").select("g", F.round("z", 6).alias("z")).collect()
+    assert sorted(((r.g or "", r.z) for r in got), key=str) == [("", 0.0), ("", 0.0), ("a", -1.0), ("a", 1.0), ("b", None)]
