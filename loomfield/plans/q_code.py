@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomfield.functions import text as tx
+from loomfield.functions import items, text as tx
 from loomfield.operators import areas, branches, cluster, definitions, names, shell
 from loomfield.plans.registry import query
 from loomfield.session import table
@@ -182,3 +182,30 @@ def silhouettes(spark, sf):
 @query("r07_choose_clusters")
 def choose_clusters(spark, sf):
     return cluster.choose_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+def _issues(spark, sf):
+    """Orders as JSON of two services: one keeps its fields under `fields`, the other doesn't."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey").cast("string")
+    named = F.struct(F.col("o_orderstatus").alias("name"), F.lit(1).alias("id"))
+    inner = F.struct(F.concat(F.lit(" order "), k, F.lit("\nmore")).alias("summary"), named.alias("status"), F.array("o_orderpriority", F.lit("x")).alias("labels"), F.col("o_totalprice").alias("avatar"))
+    one = F.to_json(F.struct(F.concat(F.lit("O-"), k).alias("key"), F.concat(F.lit("https://api.x/"), k).alias("url"), F.concat(F.lit("https://x/"), k).alias("permalink"), inner.alias("fields"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created")))
+    two = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit("").alias("title"), F.concat(F.lit("cust "), "o_custkey").alias("name"), F.struct(F.col("o_custkey").alias("n"), F.array(named, named).alias("by")).alias("votes"), (F.unix_timestamp("o_orderdate") * 1000).alias("created")))
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, one).otherwise(two).alias("item"))
+
+
+@query("j06_items", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'O-' || o_orderkey ELSE o_orderkey::VARCHAR END AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'order ' || o_orderkey ELSE 'cust ' || o_custkey END AS title,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'https://x/' || o_orderkey ELSE '' END AS url, epoch(o_orderdate)::BIGINT AS made FROM orders""")
+def items_columns(spark, sf):
+    v = F.col("v")
+    known = _issues(spark, sf).withColumn("v", items.parsed(F.col("item"))).withColumn("key", items.key(v))
+    return known.select("o_orderkey", "key", items.title(v, F.col("key")).alias("title"), items.url(v).alias("url"), items.when(v, "updated", "created").alias("made"))
+
+
+@query("j06_fields", """SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['key', 'url', 'permalink', 'created', 'summary', 'status', 'labels'] ELSE ['id', 'name', 'votes', 'created'] END) AS field,
+    unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['O-' || o_orderkey, 'https://api.x/' || o_orderkey, 'https://x/' || o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), 'order ' || o_orderkey || chr(10) || 'more', o_orderstatus, o_orderpriority || ', x']
+        ELSE [o_orderkey::VARCHAR, 'cust ' || o_custkey, 'n: ' || o_custkey || chr(10) || '  by: ' || o_orderstatus || ', ' || o_orderstatus, (epoch(o_orderdate)::BIGINT * 1000)::VARCHAR] END) AS text,
+    unnest(CASE WHEN o_orderkey % 2 = 0 THEN [true, true, true, true, true, true, false] ELSE [true, true, false, true] END) AS simple FROM orders""")
+def items_fields(spark, sf):
+    return _issues(spark, sf).select("o_orderkey", F.explode(items.fields(F.col("item"))).alias("f")).select("o_orderkey", "f.field", "f.text", "f.simple")
