@@ -27,7 +27,7 @@ def branch_states(commits: DataFrame, changes: DataFrame, base: DataFrame) -> Da
     `changes` are (repo, sha, path, sign, line) of all commits, `base` the default branch's (repo, sha, at). States: `merged`, all
     its commits are in base; `squashed`, its whole change is one commit there, no older than its first; `rebased`, each of its
     changes is; `partly`, the change of its first commits (the most, in squashed_at) is one commit, but it went on; else `open`.
-    A commit without changes counts for none of these but `merged`. A branch is one group of its commits' sums, never of lines.
+    A commit without changes counts for `merged` only; a branch of such commits is `open` if they aren't in base. A branch is one group of its commits' sums, never of lines.
     """
     ids = change_ids(changes, "repo", "sha")
     own = commits.join(base.select("repo", "sha", F.lit(True).alias("in_base")).dropDuplicates(["repo", "sha"]), ["repo", "sha"], "left")
@@ -46,7 +46,7 @@ def branch_states(commits: DataFrame, changes: DataFrame, base: DataFrame) -> Da
         F.max("n").alias("commits"),
         F.bool_and("in_base").alias("merged"),
         F.bool_or(in_one & (F.col("nth") == F.col("n"))).alias("squashed"),
-        F.bool_and(F.coalesce(F.col("single_at") >= F.col("began"), F.lit(False))).alias("rebased"),
+        F.coalesce(F.bool_and(F.when(F.col("own_one").isNotNull(), F.coalesce(F.col("single_at") >= F.col("began"), F.lit(False)))), F.lit(False)).alias("rebased"),
         F.max(F.when(in_one, F.col("nth"))).alias("squashed_at"),
         F.max("at").alias("last"),
     )

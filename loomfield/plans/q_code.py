@@ -39,13 +39,13 @@ def _repository(spark, sf):
     s AS (SELECT branch, n + (branch % 8 = 4)::INT AS commits, last, CASE WHEN branch % 4 = 1 THEN 'merged' WHEN branch % 8 = 4 THEN 'partly' WHEN branch % 4 = 0 OR (branch % 4 = 2 AND n = 1) THEN 'squashed'
         WHEN branch % 4 = 2 THEN 'rebased' ELSE 'open' END AS state, n FROM b),
     i AS (SELECT *, date_diff('day', last::DATE, DATE '2001-08-15')::INT AS idle_days FROM s)
-    SELECT branch, commits, state, CASE WHEN state IN ('squashed', 'partly') THEN n::INT END AS squashed_at, idle_days,
+    SELECT branch, commits, state, CASE WHEN state IN ('squashed', 'partly') THEN n::INT ELSE 0 END AS squashed_at, idle_days,
         CASE WHEN idle_days < 60 OR branch % 100 = 0 OR state IN ('open', 'partly') THEN 'keep' WHEN state = 'merged' THEN 'remove' ELSE 'review' END AS verdict FROM i""")
 def branch_states(spark, sf):
     commits, changes, base = _repository(spark, sf)
     states = branches.branch_states(commits, changes, base)
     checked_out = commits.where("branch % 100 = 0").select("repo", "branch").distinct()
-    return branches.branch_verdicts(states, checked_out, F.to_timestamp(F.lit("2001-08-15")), 60).drop("repo")
+    return branches.branch_verdicts(states, checked_out, F.to_timestamp(F.lit("2001-08-15")), 60).drop("repo").fillna(0, ["squashed_at"])
 
 
 @query("x37_worktrees", """WITH t AS (SELECT c_custkey AS k, '/w/n' || c_nationkey || '/t' || c_custkey AS path, c_custkey % 7 <> 0 AS here, c_custkey % 11 = 0 AS locked, c_custkey % 3 AS ahead, c_custkey % 2 = 0 AS pushed, (c_custkey % 5 = 0)::INT AS uncommitted FROM customer),

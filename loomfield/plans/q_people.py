@@ -60,10 +60,10 @@ def resolve(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.col("c_custkey").cast("string").alias("k"))
     mail = F.concat(F.lit("email:u"), "k", F.when(F.col("c_custkey") % 4 == 0, "@gmail.com").otherwise(F.concat(F.lit("@n"), F.col("c_nationkey").cast("string"), F.lit(".io"))))
     account = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("slack:S"), "k"))
-    name = F.concat(F.lit("name:p"), F.pmod(F.xxhash64("c_custkey"), F.lit(40)).cast("string"), F.lit(" n"), F.col("c_nationkey").cast("string"))
+    name = F.concat(F.lit("name:p"), F.pmod(F.xxhash64("c_custkey"), F.lit(80)).cast("string"), F.lit(" n"), F.col("c_nationkey").cast("string"))
     seen = c.select(F.col("c_custkey").alias("obs"), F.array_compact(F.array(mail, account, F.concat(F.lit("gh:h"), "k"), name)).alias("keys"))
     next_one = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-    near = c.select("k", *[F.lead("k", n).over(next_one).alias(f"k{n}") for n in (1, 2)]).select("k", F.explode(F.array("k1", "k2")).alias("other")).where("other IS NOT NULL")
+    near = c.select("k", F.lead("k").over(next_one).alias("other")).where("other IS NOT NULL")
     score = F.lit(0.5) + F.pmod(F.xxhash64("k", "other"), F.lit(50)) / 100
     candidates = near.select(F.concat(F.lit("gh:h"), "k").alias("a"), F.concat(F.lit("gh:h"), "other").alias("b"), score.alias("score"))
     some = lambda n, what: c.where(F.col("c_custkey") % n == 0).select(what.alias("key"))
