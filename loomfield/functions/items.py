@@ -76,18 +76,19 @@ def short(value):
 
 def shown(value, depth: int = 0) -> str:
     """A value as text: objects as indented lines `name: text` to a depth of two, lists in a line or as entries."""
-    value = short(value)
-    if isinstance(value, list):
-        parts = [shown(x, depth + 1) for x in value[:ENTRIES]]
-        if not any(isinstance(short(x), dict | list) for x in value):
-            return ", ".join(filter(None, parts))
-        return "".join(f"\n{'  ' * (depth + 1)}- {p.strip()}" for p in parts if p)
-    if not isinstance(value, dict):
-        return str(value)
-    if depth >= DEPTH:
-        return ""
-    told = [f"{k}: {shown(x, depth + 1)}" for k, x in value.items() if not NOISE.search(k) and x not in (None, "", [], {})]
-    return "".join("\n" + "  " * (depth + 1) + line for line in told)
+    value, below = short(value), "\n" + "  " * (depth + 1)
+    match value:
+        case dict() if depth < DEPTH:
+            told = {k: x for k, x in value.items() if x not in (None, "", [], {}) and not NOISE.search(k)}
+            return "".join(f"{below}{k}: {shown(x, depth + 1)}" for k, x in told.items())
+        case dict():
+            return ""
+        case list():
+            texts = [text for x in value[:ENTRIES] if (text := shown(x, depth + 1))]
+            nested = any(isinstance(short(x), dict | list) for x in value)
+            return "".join(f"{below}- {text.strip()}" for text in texts) if nested else ", ".join(texts)
+        case _:
+            return str(value)
 
 
 def _told(text: str | None) -> list[dict]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby, islice, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,25 +20,26 @@ NAME = r"^[^A-Za-z]*((?:[a-z][a-z0-9]*)|(?:[A-Z][A-Z0-9]*))[^A-Za-z0-9]*$"
 def _splits(word: str, known: set[str], prefix: bool) -> list[str]:
     """The first READINGS ways to cut `word` into two or more known parts, by place of the first cut, then the second, and so on.
 
-    The last part may be the start of a word if `prefix`. Places from which the end can't be reached aren't entered, so the work is
-    that of the readings found.
+    The last part may be the start of a word if `prefix`. First, from the end, it is found from which places the end can be
+    reached; only these are entered, so the work is that of the readings found.
     """
-    n = len(word)
-    last = lambda i: n - i >= 2 and (word[i:] in known or prefix)
-    ends = [False] * (n + 1)
-    for i in range(n - 2, 1, -1):
-        ends[i] = last(i) or any(word[i:j] in known and ends[j] for j in range(i + 2, n - 1))
-    found: list[str] = []
+    size = len(word)
+    ends = {i for i in range(2, size - 1) if prefix or word[i:] in known}
+    steps: dict[int, list[int]] = {}
+    reached = set(ends)
+    for i in range(size - 4, -1, -1):
+        steps[i] = [j for j in range(i + 2, size - 1) if j in reached and word[i:j] in known]
+        if steps[i]:
+            reached.add(i)
 
-    def walk(i: int, parts: tuple[str, ...]) -> None:
-        if parts and last(i):
-            found.append(" ".join([*parts, word[i:]]))
-        for j in range(i + 2, n - 1):
-            if len(found) < READINGS and ends[j] and word[i:j] in known:
-                walk(j, (*parts, word[i:j]))
+    def cuts(i: int) -> Iterator[tuple[int, ...]]:
+        """Places of the cuts after i, where a list comes before those that go on from it."""
+        for j in steps.get(i, ()):
+            if j in ends:
+                yield (j,)
+            yield from ((j, *more) for more in cuts(j))
 
-    walk(0, ())
-    return found[:READINGS]
+    return [" ".join(word[a:b] for a, b in pairwise((0, *found, size))) for found in islice(cuts(0), READINGS)]
 
 
 def joined_names(names: DataFrame, vocabulary: DataFrame, name: str = "name", prefix: bool = False) -> DataFrame:
@@ -69,26 +72,22 @@ def _code_words(text: str) -> list[str]:
 
 def _fragments(message: str, often: dict[str, int]) -> tuple[list[str], bool]:
     """Fixed parts of a message, longest first, then parts with one word left out, rarest first; whether it had values in it."""
+
+    def is_value(token: str) -> bool:
+        words = _code_words(token)
+        return token.isdecimal() or (bool(words) and all(often.get(w, 0) == 0 for w in words))
+
+    runs = [(value, "".join(tokens).strip()) for value, tokens in groupby(re.findall(r"\d+|\s+|[^\s\d]+", message), key=is_value)]
+    fixed = sorted((text for value, text in runs if not value and len(text) >= FRAGMENT), key=len, reverse=True)
     parts = []
-    for text in re.split(r"\d+", message):
-        held = ""
-        for token in re.findall(r"\s+|\S+", text):
-            words = _code_words(token)
-            if words and not any(often.get(w, 0) for w in words):
-                parts.append(held)
-                held = ""
-            else:
-                held += token
-        parts.append(held)
-    fixed = [p.strip() for p in parts if len(p.strip()) >= FRAGMENT]
-    apart = []
-    for part in fixed:
-        tokens = part.split()
-        for i, token in enumerate(tokens):
-            rarity = min((often.get(w, 0) for w in _code_words(token)), default=0)
-            apart += [(rarity, -len(p), p) for p in (" ".join(tokens[:i]), " ".join(tokens[i + 1 :]))]
-    listed = [*sorted(fixed, key=len, reverse=True), *(p for _, _, p in sorted(apart))]
-    return list(dict.fromkeys(p for p in listed if len(p) >= FRAGMENT and p != message)), len(parts) > 1
+    for text in fixed:
+        words = text.split()
+        for n, left_out in enumerate(words):
+            rarity = min((often.get(w, 0) for w in _code_words(left_out)), default=0)
+            parts += [(rarity, -len(side), side) for side in map(" ".join, (words[:n], words[n + 1 :])) if len(side) >= FRAGMENT]
+    ordered = dict.fromkeys(fixed) | dict.fromkeys(side for *_, side in sorted(parts))
+    ordered.pop(message, None)
+    return list(ordered), any(value for value, _ in runs)
 
 
 def fragments(messages: DataFrame, frequencies: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -20,13 +20,16 @@ PR_MERGE = r"\bgh pr merge\s+(\d+)"
 PR_URL = r"https://github\.com/([\w.-]+/[\w.-]+)/pull/(\d+)"
 REPO_FLAG = r"(?:-R|--repo)\s+([\w.-]+/[\w.-]+)"
 CD = r"\bcd\s+(\S+)"
+HEREDOC = r"(?s)<<-?\s*(['\"]?)(\w+)\1[^\n]*\n.*?\n\s*\2\s*(?:\n|$)"
+#: Quoted text that doesn't follow -c, or what is between, or a lone quote.
+TOKENS = r"""((?<!-c )(?<!-c)(?:"(?:[^"\\\n]|\\.)*"|'[^'\n]*')|[^"']+|["'])"""
 
 
 def shell_code(command: Column) -> Column:
     """A command without bodies of here-documents and without quoted text that only names git or gh; text after -c is code and stays."""
-    bare = F.regexp_replace(command, r"(?s)<<-?\s*(['\"]?)(\w+)\1[^\n]*\n.*?\n\s*\2\s*(?:\n|$)", "\n")
+    bare = F.regexp_replace(command, HEREDOC, "\n")
     # Quoted text must be taken in turn from the left, or what is between two quoted texts would count as quoted.
-    tokens = F.regexp_extract_all(bare, F.lit(r"""((?<!-c )(?<!-c)(?:"(?:[^"\\\n]|\\.)*"|'[^'\n]*')|[^"']+|["'])"""), F.lit(1))
+    tokens = F.regexp_extract_all(bare, F.lit(TOKENS), F.lit(1))
     quoted = lambda t: (F.length(t) > 1) & F.substring(t, 1, 1).isin("'", '"') & t.rlike(r"\b(?:git|gh) ")
     return F.array_join(F.transform(tokens, lambda t: F.when(quoted(t), '""').otherwise(t)), "")
 

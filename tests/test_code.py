@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from datetime import datetime
+from itertools import islice
 
 from pyspark.sql import functions as F
 
@@ -49,23 +50,16 @@ def test_worktrees(spark):
 
 
 def plain_areas(paths, share, least):
-    dirs = [p.rsplit("/", 1)[0] if "/" in p else "." for p in paths]
-    limit, kept = max(least, share * len(dirs)), {"."}
-
-    def split(prefix, depth):
-        kids = Counter(d.split("/")[depth] for d in dirs if d != "." and (not prefix or d.startswith(prefix + "/")) and len(d.split("/")) > depth)
-        for k, n in kids.items():
-            a = f"{prefix}/{k}" if prefix else k
-            kept.add(a)
-            if n > limit and depth < 3:
-                split(a, depth + 1)
-
-    split("", 0)
+    """Each folder's longest start, of four levels at most, of which every shorter start holds more than the limit."""
+    folders = [tuple(p.split("/")[:-1]) for p in paths]
+    held = Counter(f[:n] for f in folders for n in range(1, len(f) + 1))
+    limit = max(least, share * len(paths))
     out = []
-    for d in dirs:
-        while d not in kept and "/" in d:
-            d = d.rsplit("/", 1)[0]
-        out.append(d if d in kept else ".")
+    for f in folders:
+        n = min(1, len(f))
+        while n < min(4, len(f)) and held[f[:n]] > limit:
+            n += 1
+        out.append("/".join(f[:n]) or ".")
     return out
 
 
@@ -83,19 +77,25 @@ def test_adaptive_areas(spark):
     assert areas.adaptive_areas(spark.createDataFrame([], "repo string, path string")).collect() == []
 
 
-PUSH = re.compile(r"\bgit (?:-C \S+ )?push\b[^\n;&|]*?\borigin\s+(?:HEAD:)?([\w][\w./-]*)")
-BARE = re.compile(r"\bgit (?:-C \S+ )?push\b(?![^\n;&|]*\borigin\s+[\w][\w./-]*)")
-NEW = re.compile(r"\bgit (?:-C \S+ )?(?:checkout -[bB]|switch -[cC])\s+([\w][\w./-]*)")
-OLD = re.compile(r"\bgit (?:-C \S+ )?(?:checkout|switch)\s+([\w][\w./-]*)\s*(?:$|[;&|])")
-HEREDOC = re.compile(r"<<-?\s*(['\"]?)(\w+)\1[^\n]*\n.*?\n\s*\2\s*(?:\n|$)", re.S)
-QUOTED = re.compile(r"""(?<!-c )(?<!-c)("(?:[^"\\\n]|\\.)*"|'[^'\n]*')""")
+PUSH, BARE, NEW, OLD, COMMIT = (re.compile(p) for p in (shell.PUSH, shell.PUSH_BARE, shell.CHECKOUT_NEW, shell.CHECKOUT, shell.COMMIT))
+
+
+def plain_code(command):
+    """The command token by token."""
+    tokens = re.findall(shell.TOKENS, re.sub(shell.HEREDOC, "\n", command or ""))
+    return "".join('""' if t[0] in "\"'" and len(t) > 1 and re.search(r"\b(?:git|gh) ", t) else t for t in tokens)
+
+
+def test_quoted_text():
+    assert plain_code("echo \"git a\" git push \"x\"") == 'echo "" git push "x"' and plain_code("sh -c 'git x'") == "sh -c 'git x'"
+    assert plain_code("cat <<E\ngit push\nE\nls") == "cat \nls"
 
 
 def plain_edges(calls, origins):
     """One session after another, one call after another."""
     out, state = [], defaultdict(lambda: ["", ""])
     for session, seq, command, result, cwd, recorded in sorted(calls, key=lambda c: (c[0], c[1])):
-        code = QUOTED.sub(lambda m: '""' if re.search(r"\b(?:git|gh) ", m[1]) else m[1], HEREDOC.sub("\n", command or ""))
+        code = plain_code(command)
         result = result or ""
         folder, branch = state[session]
         folder = cwd or folder
@@ -108,7 +108,7 @@ def plain_edges(calls, origins):
         found += [("branch", key(b), f"git push {b}") for b in PUSH.findall(code) if b not in shell.GENERIC]
         if on and on not in shell.GENERIC and "error" not in result.lower()[:200]:
             found += [("branch", key(on), f"git push {on}")] if BARE.search(code) and not PUSH.search(code) else []
-            found += [("branch", key(on), "git commit")] if re.search(r"\bgit (?:-C \S+ )?commit\b", code) else []
+            found += [("branch", key(on), "git commit")] if COMMIT.search(code) else []
         url = re.search(r"https://github\.com/([\w.-]+/[\w.-]+)/pull/(\d+)", result)
         found += [("pr", f"{url[1]}#{url[2]}", "gh pr create")] if url and re.search(r"\bgh pr create\b", code) else []
         flag = re.search(r"(?:-R|--repo)\s+([\w.-]+/[\w.-]+)", code)
@@ -147,20 +147,16 @@ def test_mentions(spark):
 
 
 def plain_readings(word, known, prefix):
-    out = []
+    """All ways to go on from a place, lazily."""
 
-    def walk(i, parts):
-        if len(out) >= 8:
-            return
-        rest = word[i:]
-        if parts and (rest in known or (prefix and len(rest) >= 2)):
-            out.append(" ".join([*parts, rest]))
+    def ways(i):
         for j in range(i + 2, len(word) - 1):
             if word[i:j] in known:
-                walk(j, [*parts, word[i:j]])
+                if prefix or word[j:] in known:
+                    yield f"{word[i:j]} {word[j:]}"
+                yield from (f"{word[i:j]} {rest}" for rest in ways(j))
 
-    walk(0, [])
-    return set(out)
+    return set(islice(ways(0), 8))
 
 
 def test_joined_names(spark):
@@ -189,13 +185,10 @@ def test_fragments(spark):
 
 
 def plain_enclosing(source, line):
-    best = None
-    for node in ast.walk(ast.parse(source)):
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-            start = min([node.lineno] + [d.lineno for d in node.decorator_list])
-            if start <= line <= node.end_lineno and (best is None or start >= best[1]):
-                best = (node.name, start, node.end_lineno)
-    return best
+    kinds = ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef
+    spans = [(min(x.lineno for x in (d, *d.decorator_list)), d.end_lineno, d.name) for d in ast.walk(ast.parse(source)) if isinstance(d, kinds)]
+    start, end, name = max((s for s in spans if s[0] <= line <= s[1]), default=(0, 0, None))
+    return (name, start, end) if name else None
 
 
 def test_enclosing_and_excerpts(spark):

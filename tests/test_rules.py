@@ -13,21 +13,21 @@ from loomfield.operators import chunk, ownership
 
 
 def plain_chunks(text, size, cap=0):
-    lines = text.split("\n")
-    out, start, n = [], 0, 0
-    for i, line in enumerate(lines):
-        n += len(line) + 1
-        if n >= size or (n > size * 2 // 5 and not line.strip()):
-            body = "\n".join(lines[start : i + 1])
-            while len(body) > size * 2:
-                out.append((start + 1, i + 1, body[:size]))
-                body = body[size:]
-            out.append((start + 1, i + 1, body))
-            start, n = i + 1, 0
-    if start < len(lines):
-        out.append((start + 1, len(lines), "\n".join(lines[start:])))
-    out = [c for c in out if c[2].strip()]
-    return out[:cap] if cap else out
+    """Lines are dealt into groups, groups into pieces."""
+    groups, length = [[]], 0
+    for n, line in enumerate(text.split("\n"), 1):
+        groups[-1].append((n, line))
+        length += len(line) + 1
+        if length >= size or (length > size * 2 // 5 and not line.strip()):
+            groups.append([])
+            length = 0
+    pieces = []
+    for group in filter(None, groups):
+        body = "\n".join(line for _, line in group)
+        cuts = [size * k for k in range(1 + max(0, math.ceil(len(body) / size) - 2))]
+        pieces += [(group[0][0], group[-1][0], body[a:b]) for a, b in zip(cuts, [*cuts[1:], len(body)], strict=True)]
+    pieces = [p for p in pieces if p[2].strip()]
+    return pieces[: cap or None]
 
 
 def test_long_lines_are_cut(spark):

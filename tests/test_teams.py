@@ -13,33 +13,31 @@ from loomfield.plans import registry
 
 
 def plain_teams(members, sim, bar=0.3, big=15):
-    near = {}
-    for a in members:
-        ranked = sorted(((sim.get((min(a, b), max(a, b)), 0), b) for b in members if b != a), reverse=True)
-        near[a] = [(round(s * teams.UNIT), b) for s, b in ranked[:6] if s >= bar]
-    label = {a: a for a in members}
-    for _ in range(15):
-        changed = False
-        for a in members:
-            votes = Counter()
-            for s, b in near[a]:
-                votes[label[b]] += s
-            if votes:
-                best = max(votes.items(), key=lambda kv: (kv[1], kv[0]))[0]
-                if best != label[a] and votes[best] > votes.get(label[a], 0):
-                    label[a], changed = best, True
-        if not changed:
-            break
-    groups = defaultdict(list)
-    for a in members:
-        groups[label[a]].append(a)
-    out = []
-    for g in groups.values():
-        if len(g) > big and bar < 0.7:
-            out += plain_teams(g, sim, bar + 0.15, big)
-        elif len(g) >= 2:
-            out.append(g)
-    return out
+    """Labels move one at a time; a large team is taken apart by the same rule with a higher bar."""
+
+    def nearest(a):
+        others = [(round(sim.get((min(a, b), max(a, b)), 0) * teams.UNIT), b) for b in members if b != a]
+        return [x for x in sorted(others)[::-1][:6] if x[0] >= bar * teams.UNIT]
+
+    near, label = {a: nearest(a) for a in members}, dict(zip(members, members, strict=True))
+
+    def move(a):
+        votes = defaultdict(int)
+        for weight, b in near[a]:
+            votes[label[b]] += weight
+        first = max(votes, key=lambda x: (votes[x], x), default=label[a])
+        moves = first != label[a] and votes[first] > votes[label[a]]
+        label[a] = first if moves else label[a]
+        return moves
+
+    sweeps = iter(range(15))
+    while next(sweeps, None) is not None and any([move(a) for a in members]):
+        pass
+    found = []
+    for name in dict.fromkeys(label.values()):
+        team = [m for m in members if label[m] == name]
+        found += plain_teams(team, sim, bar + 0.15, big) if len(team) > big and bar < 0.7 else [team] * (len(team) > 1)
+    return found
 
 
 def graph(seed, n, blocks, inner, noise):
