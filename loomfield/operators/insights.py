@@ -53,7 +53,12 @@ def rank_share(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.withColumn("percentile", 100 * (beaten + 0.5 * F.col("_same")) / F.col("_all_n")).drop("_same", "_all_n")
 
 
-def momentum(series: list[Column], quiet: Column) -> Column:
-    """A label from six weekly counts, oldest first, and the days since the last activity."""
-    early, late = sum(series[:3], F.lit(0)), sum(series[3:], F.lit(0))
-    return F.when(early + late == 0, "quiet").when(quiet >= 14, "stalled").when(late >= early, "momentum").otherwise("cooling")
+def momentum(series: list[Column], quiet: Column, left: Column) -> Column:
+    """A status from weekly counts, oldest first, the days since the last activity and the steps left.
+
+    momentum: two this week at least, and no fewer than the mean of the three weeks before; stalled: quiet for a week with
+    something left; cooling: active in this week or the last; else quiet.
+    """
+    now, before = series[-1], series[-4:-1]
+    rising = (now >= 2) & (3 * now >= sum(before, F.lit(0)))
+    return F.when(rising, "momentum").when((quiet >= 7) & (left > 0), "stalled").when((now > 0) | (series[-2] > 0), "cooling").otherwise("quiet")

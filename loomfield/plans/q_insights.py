@@ -85,13 +85,15 @@ def streaks(spark, sf):
     return insights.streaks(days, ["user_id"], "day", F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-30")))
 
 
-@query("a17_momentum", f"""WITH b AS (SELECT user_id, floor((epoch_us({NOW_SQL}) - epoch_us(ts)) / (5 * 86400000000))::BIGINT AS w, ts FROM events),
-    s AS (SELECT user_id, count(*) FILTER (WHERE w IN (3, 4, 5)) AS early, count(*) FILTER (WHERE w IN (0, 1, 2)) AS late, date_diff('day', max(ts)::DATE, {NOW_SQL}::DATE) AS quiet FROM b GROUP BY user_id)
-    SELECT user_id, CASE WHEN early + late = 0 THEN 'quiet' WHEN quiet >= 14 THEN 'stalled' WHEN late >= early THEN 'momentum' ELSE 'cooling' END AS label FROM s""")
+@query("a17_momentum", f"""WITH b AS (SELECT *, {_WINDOW} AS w FROM events),
+    s AS (SELECT user_id, event_type, count(*) FILTER (WHERE w = 0) AS w0, count(*) FILTER (WHERE w = 1) AS w1, count(*) FILTER (WHERE w BETWEEN 1 AND 3) AS before,
+        (epoch_us({NOW_SQL}) - epoch_us(max(ts))) / 8.64e10 AS quiet, count(*) FILTER (WHERE value > 100) AS open FROM b GROUP BY ALL)
+    SELECT user_id, event_type, CASE WHEN w0 >= 2 AND 3 * w0 >= before THEN 'momentum' WHEN quiet >= 7 AND open > 0 THEN 'stalled' WHEN w0 > 0 OR w1 > 0 THEN 'cooling' ELSE 'quiet' END AS label FROM s""")
 def momentum(spark, sf):
-    rows = events(spark, sf).withColumn("w", insights.window_back(F.col("ts"), _now(), 5))
-    sums = rows.groupBy("user_id").agg(*[F.count_if(F.col("w") == k).alias(f"w{k}") for k in range(6)], F.date_diff(_now(), F.max("ts")).alias("quiet"))
-    return sums.select("user_id", insights.momentum([F.col(f"w{k}") for k in (5, 4, 3, 2, 1, 0)], F.col("quiet")).alias("label"))
+    rows = events(spark, sf).withColumn("w", insights.window_back(F.col("ts"), _now()))
+    quiet = (F.unix_micros(_now()) - F.unix_micros(F.max("ts").cast("timestamp"))) / 8.64e10
+    sums = rows.groupBy("user_id", "event_type").agg(*[F.count_if(F.col("w") == k).alias(f"w{k}") for k in range(6)], quiet.alias("quiet"), F.count_if(F.col("value") > 100).alias("open"))
+    return sums.select("user_id", "event_type", insights.momentum([F.col(f"w{k}") for k in (5, 4, 3, 2, 1, 0)], F.col("quiet"), F.col("open")).alias("label"))
 
 
 @query("a18_week", "SELECT date_trunc('week', ts)::DATE::VARCHAR AS week, isodow(ts) - 1 AS weekday, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL")
