@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("search", "rows", "ownership", "insights", "relational", "linkage", "people", "work", "more", "rest", "code", "streams", "statistics"):
+for _module in ("search", "rows", "ownership", "insights", "relational", "linkage", "people", "work", "more", "rest", "code", "streams", "statistics", "projects"):
     importlib.import_module(f"loomfield.plans.q_{_module}")
