@@ -212,26 +212,36 @@ def tidy(run):
 FILTER_BITS = 24
 
 
-def marked(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """`rows` with `_maybe`: whether `column` may be among those of `ids`; never false for one that is, null included.
+def fresh(rows: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `rows` has it, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def marked(rows: DataFrame, ids: DataFrame, column: str, mark: str = "_maybe") -> DataFrame:
+    """`rows` with `mark`, a new name: whether `column` may be among those of `ids`; never false for one that is, null included.
 
     A filter of a fixed size (2^18 rows of 64 bits at most, so it can be broadcast) spares a join the rows that have no
-    partner; what passes is still joined. With very many ids it lets everything through.
+    partner; what passes is still joined. With very many ids it lets everything through. Other columns may have any names.
     """
+    low_name, word, bits = (fresh(rows, n) for n in ("_low", "_word", "_bits"))
     low = lambda c: F.xxhash64(c).bitwiseAND((1 << FILTER_BITS) - 1)
-    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")
-    words = ids.select(low(F.col(column)).alias("_low")).groupBy(F.shiftright("_low", 6).alias("_word")).agg(F.bit_or(bit("_low")).alias("_bits"))
-    hashed = rows.withColumn("_low", low(F.col(column))).withColumn("_word", F.shiftright("_low", 6))
-    joined = hashed.join(F.broadcast(words), "_word", "left")
-    held = F.coalesce(F.col("_bits").bitwiseAND(bit("_low")) != 0, F.lit(False))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], held.alias("_maybe"))
+    bit = F.expr(f"shiftleft(1L, cast({low_name} & 63 AS int))")
+    words = ids.select(low(F.col(column)).alias(low_name)).groupBy(F.shiftright(low_name, 6).alias(word)).agg(F.bit_or(bit).alias(bits))
+    hashed = rows.withColumn(low_name, low(F.col(column))).withColumn(word, F.shiftright(low_name, 6))
+    joined = hashed.join(F.broadcast(words), word, "left")
+    held = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], held.alias(mark))
 
 
 def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """`rows` whose `column` is not in the written table `gone`; rows that cannot be in it are not shuffled. Null stays."""
-    known = marked(rows, gone, column)
-    apart = known.where(~F.col("_maybe")).drop("_maybe")
-    return apart.unionByName(known.where("_maybe").drop("_maybe").join(gone, column, "left_anti"))
+    mark = fresh(rows, "_maybe")
+    known = marked(rows, gone, column, mark)
+    apart = known.where(~F.col(mark)).drop(mark)
+    return apart.unionByName(known.where(F.col(mark)).drop(mark).join(gone, column, "left_anti"))
 
 
 def by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import materialize
+from loomfield.llm.common import fresh, materialize
 
 RATIO = 0.1
 #: A line on fewer pages of a host stays, whatever its share.
@@ -45,21 +45,18 @@ def drop_lines(
 
     Lines end at \\n and are compared without spaces, tabs and carriage returns at their ends; lines that
     are blank stay. A page counts once for a line it repeats, and every repeat is dropped. Repeated rows
-    are pages of their own; columns of these two names are replaced. A null text stays null with no lines, and rows without a host stay as they
-    are. A page may end up empty; its row stays.
+    are pages of their own; columns of these two names are replaced, others may have any name. A null text stays null with no lines,
+    and rows without a host stay as they are. A page may end up empty; its row stays.
     """
-    salt = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(SALTS))
+    host, found, salt, row_salt, left = (fresh(docs, n) for n in ("_host", "_lines", "_salt", "_row_salt", "_kept"))
     known = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages))
-    known = known.select(
-        F.col("host").alias("_host"), F.col("lines").alias("_lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    )
-    rows = docs.select("*", salt.cast("int").alias("_row_salt"))
+    known = known.select(F.col("host").alias(host), F.col("lines").alias(found), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    rows = docs.select("*", F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(SALTS)).cast("int").alias(row_salt))
     # The planner broadcasts the sets if the written table is below its threshold, else it joins on the salted host.
-    joined = rows.join(known, (F.col(host_col) == F.col("_host")) & (F.col("_row_salt") == F.col("_salt")), "left")
+    joined = rows.join(known, (F.col(host_col) == F.col(host)) & (F.col(row_salt) == F.col(salt)), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept = F.when(
-        F.col("_lines").isNotNull(), F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_lines", _key(x)), F.lit(False)))
-    ).otherwise(lines)
-    out = joined.select(*[docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")], F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), kept.alias("_kept"))
-    out = out.withColumn("n_dropped", F.when(F.col("_kept").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(0))
-    return out.withColumn(text_col, F.array_join("_kept", "\n")).drop("_kept")
+    kept = F.when(F.col(found).isNotNull(), F.filter(lines, lambda x: ~F.coalesce(F.array_contains(found, _key(x)), F.lit(False)))).otherwise(lines)
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    out = joined.select(*others, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), kept.alias(left))
+    out = out.withColumn("n_dropped", F.when(F.col(left).isNotNull(), F.col("n_lines") - F.size(left)).otherwise(0))
+    return out.withColumn(text_col, F.array_join(left, "\n")).drop(left)

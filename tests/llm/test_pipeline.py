@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomfield.llm import line_dedup
 from loomfield.llm import near_copies as nc
 from loomfield.llm.common import materialize
 
@@ -168,3 +170,23 @@ def test_lines_stage_drops_what_a_count_drops(spark):
     got = {r.doc_id: r for r in corpus_pipeline.lines(spark, docs, SF).collect()}
     assert len(got) == len(rows) and got[3].text == "unique 3" and got[3].n_chars == 8
     assert got[100].text == "text 0\nmenu line" and got[200].text is None and got[201].text == "menu line"
+
+
+INTERNAL = ("_host", "_lines", "_salt", "_row_salt", "_kept", "_maybe", "_low", "_word", "_bits", "__lines", "N_LINES", "n_dropped", "host", "lines", "page", "node", "first", "component", "rep", "id", "a", "b", "row")
+
+
+def test_extra_columns_may_have_any_name(spark):
+    """Names that the operators use within: the same rows stay, with the same texts, and the columns keep their values."""
+    rng = random.Random(5)
+    base = [(i, "shared line\n" + prose(rng, 60), "s") for i in range(12)]
+    base += [(100, base[0][1], "s"), (101, None, "s"), (102, "alone " + prose(rng, 40), None)]
+    plain = spark.createDataFrame(base, "doc_id long, text string, source string")
+    extra = plain.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in INTERNAL])
+    kept = {tuple(r) for r in nc.drop_near_copies(plain, "doc_id", "text").select("doc_id", "text").collect()}
+    got = nc.drop_near_copies(extra, "doc_id", "text")
+    assert got.columns == extra.columns and {tuple(r) for r in got.select("doc_id", "text").collect()} == kept and len(kept) == 14
+    assert all(r[n] == f"{n} {r.doc_id}" for r in got.collect() for n in INTERNAL)
+    lines = lambda rows: {tuple(r) for r in line_dedup.drop_lines(rows, "source", "text").select("doc_id", "text", "n_lines", "n_dropped").collect()}
+    assert lines(extra) == lines(plain) and any(r[3] for r in lines(plain))
+    dropped = line_dedup.drop_lines(extra, "source", "text").collect()
+    assert all(r[n] == f"{n} {r.doc_id}" for r in dropped for n in INTERNAL if n.lower() not in ("n_lines", "n_dropped"))
