@@ -62,6 +62,16 @@ class Vocabulary:
         self.table[low[::-1]] = np.arange(len(self.hashes))[::-1]
         self.spilled = np.flatnonzero(self.table[low] != np.arange(len(low)))
 
+    def parts(self) -> tuple:
+        """Plain arrays to broadcast: an instance would be pickled by reference, and executors have no copy of the package."""
+        return self.hashes, self.bits, self.table, self.spilled
+
+    @classmethod
+    def of(cls, parts: tuple) -> Vocabulary:
+        self = cls.__new__(cls)
+        self.hashes, self.bits, self.table, self.spilled = parts
+        return self
+
     def ids(self, words: np.ndarray) -> np.ndarray:
         got = self.table[(words & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
         got = np.where((got >= 0) & (self.hashes[got] == words), got, -1)
@@ -99,11 +109,12 @@ def term_rows(ids: np.ndarray, bounds: np.ndarray, telling: np.ndarray, omega: n
 
 def sketch(docs: DataFrame, text_col: str, vocabulary: Vocabulary, telling: np.ndarray, omega: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Passages of all documents, passages with each term, and the sketch (terms x columns)."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, telling, omega))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.parts(), telling, omega))
     width = omega.shape[1]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, terms, columns = shared.value
+        parts, terms, columns = shared.value
+        words = Vocabulary.of(parts)
         total = np.zeros((len(columns) + 1, width + 1))
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
@@ -243,10 +254,11 @@ def _search(docs: DataFrame, items: list[tuple], frequency: tuple[np.ndarray, np
     queries = np.array(queries, np.float32)
     queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
     names = [x[0] for x in items]
-    shared = docs.sparkSession.sparkContext.broadcast((words, telling, rows, queries, np.array(owners), sequences, answers, names, seen, idf))
+    shared = docs.sparkSession.sparkContext.broadcast((words.parts(), telling, rows, queries, np.array(owners), sequences, answers, names, seen, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, telling, rows, queries, owners, sequences, answers, names, seen, idf = shared.value
+        parts, telling, rows, queries, owners, sequences, answers, names, seen, idf = shared.value
+        words = Vocabulary.of(parts)
         checks = Checks(telling, sequences, answers, seen, idf)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))

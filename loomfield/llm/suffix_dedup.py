@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +44,21 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-@cache
+#: Tables that a task has made; functools.cache would be pickled by reference, and executors have no copy of the package.
+_MADE: dict = {}
+
+
 def _bytes_table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64)
+    if ("bytes", seed) not in _MADE:
+        _MADE["bytes", seed] = np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64)
+    return _MADE["bytes", seed]
 
 
-@cache
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    one = np.ones(1, np.uint64)
-    return np.concatenate([one, np.cumprod(np.full(size, _BASE))]), np.concatenate([one, np.cumprod(np.full(size, _BACK))])
+    if ("powers", size) not in _MADE:
+        one = np.ones(1, np.uint64)
+        _MADE["powers", size] = tuple(np.concatenate([one, np.cumprod(np.full(size, base))]) for base in (_BASE, _BACK))
+    return _MADE["powers", size]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
