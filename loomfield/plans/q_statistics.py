@@ -123,9 +123,9 @@ def record(spark, sf):
 
 @query("q10_kpis", f"""WITH {_GAME}, k AS (SELECT person, win, unnest(['tokens', 'cost', 'cache', 'per_commit', 'per_thread']) AS item, unnest([total::DOUBLE, price, cache_share, wtok / nullif(commits, 0), wtok / nullif(thread_closed, 0)]) AS v FROM g),
     a AS (SELECT person, item, max(CASE WHEN item LIKE 'per%' AND v = 0 THEN NULL ELSE v END) FILTER (WHERE win = 0) AS value, median(CASE WHEN item LIKE 'per%' AND v = 0 THEN NULL ELSE v END) FILTER (WHERE win BETWEEN 1 AND 4) AS base FROM k GROUP BY ALL)
-    SELECT person, item, round(value, 3) AS value, round(base, 3) AS base, round(CASE WHEN base <> 0 THEN (value - base) / base END, 6) AS delta FROM a""")
+    SELECT person, item, round(value, 6) AS value, round(base, 6) AS base, round(CASE WHEN base <> 0 THEN (value - base) / base END, 6) AS delta FROM a""")
 def kpis(spark, sf):
-    return st.kpis(_game(spark, sf)).select("person", "item", F.round("value", 3).alias("value"), F.round("base", 3).alias("base"), F.round("delta", 6).alias("delta"))
+    return st.kpis(_game(spark, sf)).select("person", "item", F.round("value", 6).alias("value"), F.round("base", 6).alias("base"), F.round("delta", 6).alias("delta"))
 
 
 _REVIEWS = f"""{_EVENTS}, rv AS (SELECT user_id AS person, (user_id * 7 + event_id) % 150 AS author, event_id % 12 AS repo, floor(value * 3600)::BIGINT / 3600 AS hours, ts AS made FROM events WHERE event_type = 'click'),
