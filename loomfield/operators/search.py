@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions.numbers import dot
 from loomfield.functions.text import snippet, words
+from loomfield.operators.vectors import block_products
 from loomfield.plans.grammar import Fields, Query, predicate
 
 K1, B = 1.2, 0.75
@@ -87,10 +88,8 @@ def nearest(vectors: DataFrame, query: list[float], id_col: str, vec_col: str, k
 
 
 def similar(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(query, id, sim, rank): the k nearest of each query vector, itself excluded. The queries are a stated, bounded set."""
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"))
-    pairs = vectors.crossJoin(F.broadcast(q)).where(F.col(id_col) != F.col("query"))
-    sims = pairs.select("query", F.col(id_col).alias("id"), F.round(dot(F.col(vec_col), F.col("qv")), 6).alias("sim"))
+    """(query, id, sim, rank): the k nearest of each query vector, itself excluded. The queries may grow with the vectors (see `block_products`)."""
+    sims = block_products(vectors, queries, id_col, vec_col, k)
     ranked = sims.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id")))
     return ranked.where(F.col("rank") <= k)
 

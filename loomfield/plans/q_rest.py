@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import numbers, text as tx
 from loomfield.operators import chunk, cluster, insights, ownership, search, state, work
 from loomfield.plans.fixtures import CORPUS_SQL, OWNERS_SQL, corpus, owners
+from loomfield.operators.vectors import block_products
 from loomfield.plans.registry import query
 from loomfield.session import table
 from loomfield.sources import connectors, files, transcripts
@@ -274,9 +275,7 @@ def rematch(spark, sf):
 @query("r15_goal_edges", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.2")
 def goal_edges(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("qv"))
-    pairs = e.crossJoin(F.broadcast(q)).where("a <> vec_id")
-    return pairs.where(F.round(numbers.dot(F.col("qv"), F.col("embedding")), 6) >= 0.2).select("a", F.col("vec_id").alias("b"))
+    return block_products(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", least=0.2).select(F.col("query").alias("a"), F.col("id").alias("b"))
 
 
 @query("r11_territory", """WITH t AS (SELECT label, vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS sim FROM embeddings), m AS (SELECT label, max(sim) AS near, avg(sim) AS mean FROM t GROUP BY label)

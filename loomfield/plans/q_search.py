@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import text as tx
 from loomfield.functions.numbers import cosine, dot
 from loomfield.operators import evaluate, search
+from loomfield.operators.vectors import block_products
 from loomfield.plans.fixtures import CORPUS_SQL, corpus
 from loomfield.plans.grammar import Fields, parse, predicate
 from loomfield.plans.registry import query
@@ -132,8 +133,7 @@ def empty_scope(spark, sf):
     FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0""")
 def dot_with_queries(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    return e.crossJoin(F.broadcast(q)).select("query", F.col("vec_id").alias("id"), F.round(dot(F.col("qv"), F.col("embedding")), 6).alias("sim"))
+    return block_products(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", but_self=False)
 
 
 @query("r12_similar", """WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS sim

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomfield.operators import linkage, search
+from loomfield.operators import linkage, search, vectors
 
 
 def test_band_pairs(spark):
@@ -30,3 +30,18 @@ def test_z_scores_of_groups(spark):
     rows = [("a", 1.0), ("a", 3.0), (None, 5.0), (None, 5.0), ("b", None)]
     got = search.z(spark.createDataFrame(rows, "g string, x double"), "x", "g").select("g", F.round("z", 6).alias("z")).collect()
     assert sorted(((r.g or "", r.z) for r in got), key=str) == [("", 0.0), ("", 0.0), ("a", -1.0), ("a", 1.0), ("b", None)]
+
+
+def test_best_of_blocks_of_vectors(spark, monkeypatch):
+    """The best by products of blocks are those of all pairs, copies and ties included, and no pair is a row before."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = random.Random(5)
+    rows = [(k, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for k in range(100)]
+    frame = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    best = search.similar(frame, frame.where("id % 10 = 0"), "id", "v", 5)
+    dots = {q: sorted((-sum(x * y for x, y in zip(u, v)), k) for k, v in rows if k != q) for q, u in rows if q % 10 == 0}
+    want = {(q, k, -s, r) for q, near in dots.items() for r, (s, k) in enumerate(near[:5], 1)}
+    assert {(r.query, r.id, r.sim, r["rank"]) for r in best.collect()} == want
+    some = vectors.block_products(frame, frame.where("id % 10 = 0"), "id", "v", k=5)
+    assert some.count() <= 10 * 5 * (100 // 16 + 6)
+    assert "NestedLoop" in best._jdf.queryExecution().executedPlan().toString() and vectors.block_products(frame, frame, "id", "v", but_self=False).count() == 100 * 100
