@@ -45,3 +45,20 @@ def test_best_of_blocks_of_vectors(spark, monkeypatch):
     some = vectors.block_products(frame, frame.where("id % 10 = 0"), "id", "v", k=5)
     assert some.count() <= 10 * 5 * (100 // 16 + 6)
     assert "NestedLoop" in best._jdf.queryExecution().executedPlan().toString() and vectors.block_products(frame, frame, "id", "v", but_self=False).count() == 100 * 100
+
+
+def test_coworkers_of_tasks_with_the_same_folders(spark):
+    """Counts are those of all pairs of a task and a commit, but commits are counted once for tasks with the same folders."""
+    from datetime import datetime
+
+    from loomfield.operators import work
+
+    rng = random.Random(6)
+    touched = [(t, t if t < 25 else rng.randint(0, 9), f"f{rng.randint(0, 2)}") for t in range(30) for _ in range(3)]
+    commits = [(s, rng.randint(0, 30), datetime(2024, 1, rng.randint(1, 28)), f"f{rng.randint(0, 2)}/x") for s in range(60)]
+    got = work.coworkers(spark.createDataFrame(touched, "task long, me long, folder string"), spark.createDataFrame(commits, "sha long, author long, at timestamp, path string"), F.to_timestamp(F.lit("2024-01-28")))
+    pairs = {(t, a, s, at) for t, me, f in touched for s, a, at, path in commits if path.startswith(f) and a != me and at >= datetime(2024, 1, 7)}
+    want = {(t, a): (len({p[2] for p in pairs if p[:2] == (t, a)}), max(p[3] for p in pairs if p[:2] == (t, a))) for t, a, *_ in pairs}
+    assert {(r.task, r.author): (r.commits, r["last"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(folder" in plan
