@@ -3,14 +3,18 @@
 The order of the joins is that of a list of edges gone through one by one. Here many are decided at once: the edge that is first
 for both its sides meets them just as it would in the list, as no edge before it touches either. So each round merges all such
 pairs. Sides that can't be one stay so whatever else joins them (a mail address or account is on one side only), so edges between
-them leave early. A round groups and joins on sides; no side's edges or keys are gathered in a task.
+them leave early. A round groups and joins on sides.
+
+A name that many have is first for one of its edges only, so it takes a round for each. But edges that aren't connected never meet:
+each connected part of up to SMALL edges is gone through in the list's order by one task, and rounds are left for larger ones.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
@@ -18,6 +22,10 @@ from loomfield.operators.linkage import group
 from loomfield.operators.rounds import written
 
 JOIN, MAYBE = 0.8, 0.55
+#: Connected edges that one task goes through; a hundred bytes or so each.
+SMALL = 500_000
+#: Fixed texts: why two sides can't be one, the first that holds.
+WHY = ("you split one of these identities", "two different chat accounts", "two different work mails with commits at one domain")
 
 
 @dataclass
@@ -33,9 +41,9 @@ class Resolved:
 def conflict(x: str, y: str) -> Column:
     """Why two sides (structs split, accounts, domains) can't be one person; null if they can."""
     return (
-        F.when(F.col(f"{x}.split") | F.col(f"{y}.split"), "you split one of these identities")
-        .when(F.col(f"{x}.account") & F.col(f"{y}.account"), "two different chat accounts")
-        .when(F.arrays_overlap(f"{x}.domains", f"{y}.domains"), "two different work mails with commits at one domain")
+        F.when(F.col(f"{x}.split") | F.col(f"{y}.split"), WHY[0])
+        .when(F.col(f"{x}.account") & F.col(f"{y}.account"), WHY[1])
+        .when(F.arrays_overlap(f"{x}.domains", f"{y}.domains"), WHY[2])
     )
 
 
@@ -51,6 +59,57 @@ def traits(keys: DataFrame, work: DataFrame, split: DataFrame) -> DataFrame:
     return known.groupBy("side").agg(fields.alias("t"))
 
 
+def _one_by_one(frame: pd.DataFrame) -> pd.DataFrame:
+    """(part, nth, why) of the edges of one connected part that merge (no why) or are refused, in their order."""
+    root: dict[str, str] = {}
+    facts: dict[str, tuple[bool, bool, set[str]]] = {}
+
+    def find(k: str) -> str:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for e in frame.sort_values("nth").itertuples(index=False):
+        for k, split, account, domains in ((e.a, e.x_split, e.x_account, e.x_domains), (e.b, e.y_split, e.y_account, e.y_domains)):
+            if k not in root:
+                root[k], facts[k] = k, (bool(split), bool(account), set(domains))
+        a, b = sorted((find(e.a), find(e.b)))
+        if a == b:
+            continue
+        x, y = facts[a], facts[b]
+        why = WHY[0] if x[0] or y[0] else WHY[1] if x[1] and y[1] else WHY[2] if not x[2].isdisjoint(y[2]) else None
+        if why is None:
+            root[b] = a
+            less, more = sorted((x[2], y[2]), key=len)
+            more |= less
+            facts[a] = (False, x[1] or y[1], more)
+            del facts[b]
+        out.append((e.part, e.nth, why))
+    return pd.DataFrame(out, columns=["part", "nth", "why"])
+
+
+def merge_edges(edges: DataFrame, sides: DataFrame, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """As `merge_best_first`, but connected parts of up to `small` edges are settled by a task each; merged edges have the first names."""
+    part = group(edges.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("part"))
+    parted = written(edges.select("a", "b", "turn").join(part, "a"))
+    large = written(parted.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > (SMALL if small is None else small)))
+    order = Window.partitionBy("part").orderBy("turn")
+    rest = written(parted.join(F.broadcast(large), "part", "left_anti").withColumn("nth", F.row_number().over(order)))
+    for c, t in (("a", "x"), ("b", "y")):
+        fields = [F.coalesce(f"t.{f}", F.lit(False)).alias(f"{t}_{f}") for f in ("split", "account")]
+        rest_with = (rest if t == "x" else rest_with).join(sides.select(F.col("side").alias(c), *fields, F.col("t.domains").alias(f"{t}_domains")), c)
+    kind = edges.schema["a"].dataType.simpleString()
+    settled = written(rest_with.drop("turn").groupBy("part").applyInPandas(_one_by_one, f"part {kind}, nth int, why string"))
+    done = rest.join(settled, ["part", "nth"])
+    merged, refused = done.where("why IS NULL").select("a", "b", "turn"), done.where("why IS NOT NULL").select("turn", "why")
+    if large.isEmpty():
+        return merged, refused
+    more, no = merge_best_first(parted.join(large, "part", "left_semi").drop("part"), sides)
+    return merged.unionByName(more), refused.unionByName(no)
+
+
 def merge_best_first(edges: DataFrame, sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merged and refused edges of (a, b, turn, ...) between sides (side, t), in the order of `turn`, which must be unique.
 
@@ -106,7 +165,7 @@ def resolve(observations: DataFrame, candidates: DataFrame, work: DataFrame, spl
     listed = written(by_name.unionByName(likely))
     of = lambda rows, c, name: rows.join(side.select(F.col("key").alias(c), F.col("side").alias(name)), c)
     edges = of(of(listed, "p", "a"), "q", "b").where("a <> b")
-    merged, refused = merge_best_first(edges, written(traits(side, work, split)))
+    merged, refused = merge_edges(edges, written(traits(side, work, split)))
 
     forced = merge.select("a", "b", F.lit("user").alias("kind"))
     mine = me.select("key").distinct().join(keys, "key").join(off, "key", "left_anti")

@@ -100,6 +100,22 @@ def test_vetoes_and_overrides(spark):
     assert person == plain(*data)[0]
 
 
+def test_a_name_that_many_have_takes_no_round_for_each(spark, monkeypatch):
+    """Connected edges are settled in a task; rounds, which large parts still take, give the same."""
+    observations = [(o, [f"gh:{o}", *([f"slack:{o}"] if o % 5 == 0 else []), f"name:n{o % 2}"]) for o in range(40)]
+    data = (observations, [(f"gh:{o}", f"gh:{o + 1}", 0.9) for o in range(0, 40, 7)], set(), {"gh:3"}, [], [])
+    rounds = []
+    real = identity.merge_best_first
+    monkeypatch.setattr(identity, "merge_best_first", lambda *a: rounds.append(1) or real(*a))
+    got = identity.resolve(*frames(spark, *data))
+    assert {r.key: r.person for r in got.people.collect()} == plain(*data)[0] and not rounds
+    assert {(r.a, r.b) for r in got.rejected.collect()} == plain(*data)[1]
+    few = ([o for o in observations if o[0] < 8], data[1], set(), {"gh:3"}, [], [])
+    monkeypatch.setattr(identity, "SMALL", 1)
+    got = identity.resolve(*frames(spark, *few))
+    assert {r.key: r.person for r in got.people.collect()} == plain(*few)[0] and rounds
+
+
 def test_empty_tables(spark):
     got = identity.resolve(*frames(spark, [], [], [], [], [], []))
     assert got.people.collect() == got.joins.collect() == got.rejected.collect() == got.maybe.collect() == []
