@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.text import ancestors
+from loomfield.operators.rounds import written
 
 
 def thread_state(sinks: DataFrame, thread: str, now: Column, loose_days: int = 3) -> DataFrame:
@@ -106,10 +107,16 @@ def apply_claims(members: DataFrame, holders: DataFrame) -> DataFrame:
 
 def related(sinks: DataFrame, files: DataFrame, top: int = 5) -> DataFrame:
     """(a, b, reason): cards that share a sink, then cards that share files; one reason a pair, the `top` of each card."""
-    pairs = lambda rows, key, why, rank: rows.select(key, F.col("card").alias("a")).join(rows.select(key, F.col("card").alias("b")), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", F.lit(why).alias("reason"), F.lit(rank).alias("p"), "n")
-    both = pairs(sinks.distinct(), "sink", "sink", 0).unionByName(pairs(files.distinct(), "file", "files", 1))
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("p"))).where("r = 1")
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("p", F.desc("n"), "b")))
+    named = lambda rows, key, c: rows.select(key, F.col("card").alias(c))
+    pairs = lambda mine, rows, key, why, rank: mine.join(named(rows, key, "b"), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", F.lit(why).alias("reason"), F.lit(rank).alias("p"), "n")
+    sinks, files = sinks.distinct(), files.distinct()
+    first = Window.partitionBy("a").orderBy("p", F.desc("n"), "b")
+    by_sink = pairs(named(sinks, "sink", "a"), sinks, "sink", "sink", 0).withColumn("r", F.row_number().over(first)).where(F.col("r") <= top)
+    by_sink = written(by_sink.select("a", "b", "reason", "p", "n", "r"))
+    # Sinks go before files, so a card with `top` others by sinks needs no pair by files.
+    full = by_sink.where(F.col("r") == top).select("a")
+    by_file = pairs(named(files, "file", "a").join(full, "a", "left_anti"), files, "file", "files", 1).join(by_sink.select("a", "b"), ["a", "b"], "left_anti")
+    ranked = by_sink.drop("r").unionByName(by_file).withColumn("r", F.row_number().over(first))
     return ranked.where(F.col("r") <= top).select("a", "b", "reason")
 
 

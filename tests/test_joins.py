@@ -62,3 +62,19 @@ def test_coworkers_of_tasks_with_the_same_folders(spark):
     assert {(r.task, r.author): (r.commits, r["last"]) for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set(folder" in plan
+
+
+def test_related_pairs_by_files_only_where_sinks_are_few(spark):
+    from loomfield.operators import work
+
+    rng = random.Random(8)
+    sinks = {(rng.randint(0, 19), f"s{rng.randint(0, 9)}") for _ in range(30)}
+    files = {(rng.randint(0, 24), f"f{rng.randint(0, 9)}") for _ in range(60)}
+    n = lambda rows, a, b: len({k for c, k in rows if c == a} & {k for c, k in rows if c == b})
+    want = set()
+    for a in range(25):
+        near = [(0, -n(sinks, a, b), b, "sink") if n(sinks, a, b) else (1, -n(files, a, b), b, "files") for b in range(25) if a != b and (n(sinks, a, b) or n(files, a, b))]
+        want |= {(a, b, why) for _, _, b, why in sorted(near)[:5]}
+    got = work.related(spark.createDataFrame(list(sinks), "card long, sink string"), spark.createDataFrame(list(files), "card long, file string"))
+    assert {(r.a, r.b, r.reason) for r in got.collect()} == want
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
