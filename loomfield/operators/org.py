@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomfield.operators.ownership import roles
 from loomfield.operators.rounds import written
-from loomfield.operators.teams import teams, work_likeness
+from loomfield.operators.teams import likeness, teams
 
 
 @dataclass
@@ -69,14 +69,11 @@ def infer(people: DataFrame, areas: DataFrame, channels: DataFrame, groups: Data
     three nearest there as part of its confidence, and more for being in the listed group that the team is named for. Each person
     of `people` has one row; those without work have neither team nor level.
     """
-    like = written(work_likeness(areas, channels, groups))
+    like = likeness(areas, channels, groups)
     of = written(teams(people.select(F.col("person").alias("member"), "place"), like))
     named = written(name_teams(of, areas, channels, groups))
 
-    both = like.select("a", "b", "sim").unionByName(like.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    side = lambda c, t: of.select(F.col("member").alias(c), F.col("team").alias(t))
-    inside = both.join(side("a", "team"), "a").join(side("b", "other"), "b").where("team = other")
-    near = inside.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where("r <= 3")
+    near = like.nearest(of.select("member", F.col("team").alias("grp")), 3)
     near = near.groupBy(F.col("a").alias("member")).agg(F.avg("sim").alias("near"))
     mine = of.join(named.select("team", "listed"), "team").join(groups.select("member", F.col("key").cast("string").alias("listed")).distinct().withColumn("is_in", F.lit(0.15)), ["member", "listed"], "left")
     sure = F.round(F.least(F.lit(0.9), 0.3 + F.coalesce("near", F.lit(0.0)) + F.coalesce("is_in", F.lit(0.0))), 2)
