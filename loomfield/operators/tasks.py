@@ -85,6 +85,40 @@ def same_topic(sessions: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
     return both.where(F.size(F.array_intersect("a_words", "b_words")) * 2 >= F.size(F.array_union("a_words", "b_words"))).select("a", "b")
 
 
+def topic_links(sessions: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
+    """(a, b) that tie the same sessions together as the pairs of `same_topic` do, but few: as components need them.
+
+    Sessions of one repository with the same words are a stretch while none is over DAYS after the one before; such are tied in a
+    star. Stretches with other words, or of no repository, are tied once for any two of their sessions that `same_topic` pairs.
+    In a slot of DAYS any two stretches are near; with the next slot, the last of the one is compared with the first of the other.
+    What two stretches can still share from a word on, the rarest first, must be half of all; so a common word joins few of them.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(TITLE_WORD), F.lit(1)))
+    own = sessions.withColumn("words", F.array_sort(F.filter(words, lambda w: ~w.isin(*stop)) if stop else words)).where((F.size("words") >= 2) & F.col("at").isNotNull())
+    in_order = Window.partitionBy("repo", "words").orderBy("at", "id")
+    begins = F.coalesce(F.col("at") - F.lag("at").over(in_order) > DAYS * DAY, F.lit(True))
+    own = own.withColumn("head", F.when(begins, F.col("id")))
+    own = written(own.withColumn("head", F.last("head", True).over(in_order)).select("id", "repo", "words", "at", "head"))
+    star = own.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+
+    stretch = own.select("head", "repo", "words").distinct()
+    each = stretch.select("head", "repo", F.size("words").alias("size"), F.explode("words").alias("word"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy("head", "repo").orderBy("df", "word")
+    ranked = each.join(df, "word").withColumn("rest", F.col("size") - F.row_number().over(rare_first) + 1).where(F.col("rest") >= F.ceil(F.col("size") / 2))
+    slots = own.groupBy("head", F.floor(F.col("at") / (DAYS * DAY)).alias("slot")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    rows = written(ranked.join(slots, "head"))
+    early = rows.select("word", F.col("head").alias("a"), F.col("repo").alias("repo_a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"), "last", F.col("slot").alias("from"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    late = rows.select("word", F.col("head").alias("b"), F.col("repo").alias("repo_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"), "first", "slot")
+    near = (F.col("slot") > F.col("from")) & (F.col("first") - F.col("last") <= DAYS * DAY) | (F.col("slot") == F.col("from")) & (F.col("a") < F.col("b"))
+    enough = F.least("rest_a", "rest_b") * 3 >= F.col("size_a") + F.col("size_b")
+    pairs = early.join(late, ["word", "slot"]).where(near & enough & (F.col("a") != F.col("b"))).where("repo_a IS NULL OR repo_b IS NULL OR repo_a = repo_b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bag = lambda c: stretch.select(F.col("head").alias(c), F.col("words").alias(f"{c}_words"))
+    both = pairs.join(bag("a"), "a").join(bag("b"), "b").where(F.size(F.array_intersect("a_words", "b_words")) * 2 >= F.size(F.array_union("a_words", "b_words")))
+    return star.union(both.select("a", "b"))
+
+
 def group_work(sessions: DataFrame, said: DataFrame, edits: DataFrame, commits: DataFrame, items: DataFrame, stop: tuple[str, ...] = STOP) -> Tasks:
     """Tasks of sessions (id, repo, branch, title, started, updated), what they say (id, key, n), their edits (id, path), commits (repo,
     sha, at, subject, mine) and items (id, key, branch, title, text, at, pr, mine); times in seconds.
@@ -127,7 +161,7 @@ def group_work(sessions: DataFrame, said: DataFrame, edits: DataFrame, commits:
     picked = weak.where(at_home).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("less"), "key"))["key"].alias("key"))
     names = strong.select("id", "key").union(picked.select("id", "key")).select(node("s", "id").alias("a"), node("t", "key").alias("b"))
 
-    pairs = same_files(s, edits).union(same_topic(s, stop)).select(node("s", "a").alias("a"), node("s", "b").alias("b"))
+    pairs = same_files(s, edits).union(topic_links(s, stop)).select(node("s", "a").alias("a"), node("s", "b").alias("b"))
     committed = subject.select(node("c", "sha").alias("a"), node("t", "key").alias("b"))
     opened = items.join(short, "branch").select(node("i", "id").alias("a"), branch_node.alias("b"))
     own_key = items.where("key IS NOT NULL").select(node("i", "id").alias("a"), node("t", "key").alias("b"))

@@ -137,3 +137,27 @@ def test_empty_tables(spark):
 def test_query(spark):
     out = registry.QUERIES["q14_tasks"](spark, "/root/testdata/sf0.001").collect()
     assert len(out) > 20 and max(r.sessions for r in out) > 1 and any(r.tickets and r.branches and r.commits for r in out)
+
+
+def test_topic_links_tie_the_same_sessions(spark):
+    """The components of all pairs, from few links: sessions with the same words are tied once each, however many are near."""
+    rng = random.Random(8)
+    words = ["fix", "login", "page", "cache", "flaky", "test", "deploy", *(f"w{k}" for k in range(6))]
+    some = [(k, rng.choice(["/r1", "/r2", None]), " ".join(rng.sample(words, rng.randint(0, 4))), rng.randrange(40 * tasks.DAY)) for k in range(160)]
+    many = [(1000 + k, "/r1", "fix the login page", 100 * tasks.DAY + 60 * k) for k in range(60)] + [(1100 + k, "/r1", "login page", 103 * tasks.DAY + 60 * k) for k in range(40)] + [(1200, "/r1", "login page", None)]
+    sessions = spark.createDataFrame(some + many, "id long, repo string, title string, at long").cache()
+    links = [tuple(r) for r in tasks.topic_links(sessions).collect()]
+    pairs = [tuple(r) for r in tasks.same_topic(sessions).collect()]
+
+    def parts(edges):
+        root = {k: k for k, *_ in some + many}
+        for _ in root:
+            low = [(x, min(root[a], root[b])) for a, b in edges for x in (a, b)]
+            if all(root[x] <= m for x, m in low):
+                return root
+            for x, m in low:
+                root[x] = min(root[x], m)
+        return root
+
+    assert parts(links) == parts(pairs) and len(set(parts(pairs).values())) > 5
+    assert sum(a >= 1000 for a, _ in links) < 110 < 1000 < sum(a >= 1000 for a, _ in pairs)
