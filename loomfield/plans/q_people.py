@@ -176,7 +176,5 @@ def representatives(spark, sf):
 @query("r06_set_similarity", """WITH s AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS k FROM lineitem), n AS (SELECT a, count(*) AS n FROM s GROUP BY a)
     SELECT x.a AS a, y.a AS b, round(count(*) / (max(nx.n) + max(ny.n) - count(*)), 6) AS sim FROM s x JOIN s y ON x.k = y.k AND x.a < y.a JOIN n nx ON nx.a = x.a JOIN n ny ON ny.a = y.a GROUP BY ALL""")
 def set_similarity(spark, sf):
-    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("k")).distinct()
-    sized = s.withColumn("n", F.count("*").over(Window.partitionBy("a")))
-    both = sized.join(sized.withColumnsRenamed({"a": "b", "n": "m"}), "k").where("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
-    return both.select("a", "b", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("sim"))
+    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("k"))
+    return linkage.set_similarity(s).select("a", "b", F.round("sim", 6).alias("sim"))
