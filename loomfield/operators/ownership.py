@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.numbers import risk
+from loomfield.operators.linkage import parts_for
 
 SHARE, STALE_DAYS, INACTIVE_DAYS = 0.1, 365, 90
 
@@ -66,10 +67,13 @@ def experts(hits: DataFrame, blame: DataFrame, top: int = 8, files: int = 4) ->
 def shared_files(blame: DataFrame, least: int = 2, most: int = 12) -> DataFrame:
     """(a, b, files, lines): author pairs of files that `least` to `most` authors wrote; lines is the smaller part's sum."""
     own = blame.groupBy("file", "author").agg(F.sum("lines").alias("lines"))
-    sized = own.withColumn("n", F.count("*").over(Window.partitionBy("file"))).where(F.col("n").between(least, most)).drop("n")
+    sized = own.withColumn("n", F.count("*").over(Window.partitionBy("file"))).where(F.col("n").between(least, most))
+    # As many tasks as the pairs need; the pairs of two authors meet before any are added up.
+    parts = parts_for(sized.select(((F.col("n") - 1) / 2).alias("n")))
+    sized = sized.drop("n")
     other = sized.select("file", F.col("author").alias("b"), F.col("lines").alias("lb"))
     pairs = sized.withColumnsRenamed({"author": "a", "lines": "la"}).join(other, "file").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("files"), F.sum(F.least("la", "lb")).alias("lines"))
+    return pairs.repartition(parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("files"), F.sum(F.least("la", "lb")).alias("lines"))
 
 
 def overlaps(vectors: DataFrame, key: str, vec: Column, top: int = 15) -> DataFrame:
