@@ -29,7 +29,7 @@ def pairs(spark, sf):
 
 
 @query("n25_file_kin", """WITH o AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS f FROM lineitem), n AS (SELECT count(DISTINCT s) AS n FROM o), i AS (SELECT f, count(*) AS df, ln((max(n) + 1) / (count(*) + 1)) AS w FROM o, n GROUP BY f),
-    r AS (SELECT * FROM o JOIN i USING (f)), t AS (SELECT s, sum(w) AS t FROM r GROUP BY s), b AS (SELECT a.s AS a, b.s AS b, sum(a.w) AS common FROM r a JOIN r b ON a.f = b.f AND a.s < b.s AND a.df <= 50 GROUP BY ALL)
+    r AS (SELECT * FROM o JOIN i USING (f)), t AS (SELECT s, sum(w) AS t FROM r GROUP BY s), b AS (SELECT a.s AS a, b.s AS b, sum(a.w) AS common FROM r a JOIN r b ON a.f = b.f AND a.s < b.s GROUP BY ALL)
     SELECT a, b, round(common / (x.t + y.t - common), 6) AS sim FROM b JOIN t x ON x.s = a JOIN t y ON y.s = b WHERE round(common / (x.t + y.t - common), 6) >= 0.25""")
 def kin(spark, sf):
     return linkage.file_kin(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")

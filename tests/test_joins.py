@@ -118,6 +118,29 @@ def test_file_kin_by_one_and_more_files(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and len(want) > 9
 
 
+def test_file_kin_of_files_that_very_many_have(spark):
+    """No file is left out by how many have it; pairs are those of a loop, with large sessions, nulls and sessions of common files alone."""
+    rng = random.Random(9)
+    rows = {(s, f) for s in range(90) for f in ["all"] * (s != 7) + ["most"] * (s % 8 > 0) + [f"f{rng.randrange(40)}" for _ in range(rng.choice([0, 0, 1, 2, 3, 30]))]}
+    edits = [*sorted(rows), (None, "f1"), (None, "most"), (3, None)]
+    held, df = {}, {}
+    for s, f in rows:
+        held.setdefault(s, set()).add(f)
+    for _, f in edits:
+        df[f] = df.get(f, 0) + 1
+    w = {f: math.log((len(held) + 1) / (n + 1)) for f, n in df.items() if f}
+    t = {s: sum(w[f] for f in fs) for s, fs in held.items()}
+    frame = spark.createDataFrame([*edits, edits[0]], "s long, f string")
+    for least in (0.1, 0.25, 0.6):
+        both = {(a, b): sum(w[f] for f in held[a] & held[b]) for a in held for b in held if a < b and held[a] & held[b]}
+        want = {(a, b): c / (t[a] + t[b] - c) for (a, b), c in both.items() if round(c / (t[a] + t[b] - c), 6) >= least}
+        got = {(r.a, r.b): r.sim for r in linkage.file_kin(frame, "s", "f", least).collect()}
+        assert got.keys() == want.keys() and len(want) > 200
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    same = spark.createDataFrame([(1, "x"), (2, "x")], "s long, f string")
+    assert [(r.a, r.b, math.isnan(r.sim)) for r in linkage.file_kin(same, "s", "f").collect()] == [(1, 2, True)]
+
+
 def test_set_similarity_and_parts(spark):
     """Tasks grow with the pairs, not with the session's number of partitions."""
     rows, held = few_and_many(4)
