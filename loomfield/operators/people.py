@@ -19,23 +19,13 @@ def edge_weights(acts: DataFrame, weights: dict[str, float], now: Column, days:
     return rows.where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("weight"))
 
 
-def closeness(edges: DataFrame, me, top: str = "weight", own: DataFrame | None = None) -> DataFrame:
-    """(person, closeness): direct weight plus a quarter of the best path over one other, by the largest.
-
-    `own` are the edges that touch `me`, where they can be had without the others. All edges are gone through once, as they
-    come: each meets the (small) table of who is tied to `me`, and only the best of a person is kept.
-    """
-    mine = (edges if own is None else own).where((F.col("a") == F.lit(me)) | (F.col("b") == F.lit(me)))
-    direct = mine.select(F.when(F.col("a") == F.lit(me), F.col("b")).otherwise(F.col("a")).alias("via"), F.col(top).alias("w"))
-    direct = written(direct)  # read twice, one row a person
-    most = direct.agg(F.max("w").alias("most"))
-    sides = F.array(F.struct(F.col("a").alias("via"), F.col("b").alias("person")), F.struct(F.col("b").alias("via"), F.col("a").alias("person")))
-    both = edges.select(F.explode(sides).alias("s"), F.col(top).alias("w2")).select("s.via", "s.person", "w2").where(F.col("person") != F.lit(me))
-    path = both.join(F.broadcast(direct), "via")
-    best = path.crossJoin(F.broadcast(most)).groupBy("person").agg(F.max(F.col("w") * F.col("w2") / F.col("most")).alias("p"))
-    raw = direct.select(F.col("via").alias("person"), "w").join(best, "person", "full_outer").select("person", (F.coalesce("w", F.lit(0.0)) + 0.25 * F.coalesce("p", F.lit(0.0))).alias("raw"))
+def closeness(direct: DataFrame, best: DataFrame) -> DataFrame:
+    """(person, closeness): direct weight (via, w) plus a quarter of the best path over one other (person, p: the product of its two weights), by the largest."""
+    share = lambda x, y: F.when(F.col(y) == 0, F.lit(float("nan"))).otherwise(F.col(x) / F.col(y))
+    paths = best.crossJoin(F.broadcast(direct.agg(F.max("w").alias("most")))).select("person", share("p", "most").alias("p"))
+    raw = direct.select(F.col("via").alias("person"), "w").join(paths, "person", "full_outer").select("person", (F.coalesce("w", F.lit(0.0)) + 0.25 * F.coalesce("p", F.lit(0.0))).alias("raw"))
     raw = written(raw)  # its largest is asked of it too
-    return raw.crossJoin(F.broadcast(raw.agg(F.max("raw").alias("top")))).select("person", F.round(F.col("raw") / F.col("top"), 6).alias("closeness"))
+    return raw.crossJoin(F.broadcast(raw.agg(F.max("raw").alias("top")))).select("person", F.round(share("raw", "top"), 6).alias("closeness"))
 
 
 def candidate_scores(pairs: DataFrame) -> DataFrame:
