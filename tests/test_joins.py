@@ -65,6 +65,21 @@ def test_coworkers_of_tasks_with_the_same_folders(spark):
     assert "collect_set(folder" in plan
 
 
+def test_coworkers_leave_as_many_tasks_as_there_are_cores(spark):
+    """The rows of the join are many more than what is shuffled, so its tasks are not merged by how little they read."""
+    from datetime import datetime
+
+    from loomfield.operators import work
+
+    touched = [(t, t, f"f{t % 2}") for t in range(40)]
+    commits = [(a * 100 + k, a, datetime(2024, 1, 20 + k), f"f{a % 2}/x") for a in range(40) for k in range(a % 3)]
+    got = work.coworkers(spark.createDataFrame(touched, "task long, me long, folder string"), spark.createDataFrame(commits, "sha long, author long, at timestamp, path string"), F.to_timestamp(F.lit("2024-01-28")))
+    want = {(t, a): (a % 3, datetime(2024, 1, 19 + a % 3)) for t in range(40) for a in range(t % 2, 40, 2) if a != t and a % 3}
+    assert {(r.task, r.author): (r.commits, r["last"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert f", {8 * spark.sparkContext.defaultParallelism})" in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_related_pairs_by_files_only_where_sinks_are_few(spark):
     from loomfield.operators import work
 
